@@ -11,17 +11,18 @@ from kinset.operators.copies import Distinct, distinct_sequences, restore
 from kinset.operators.joins import attach, join_keys
 from kinset.operators.leader import assign_leaders
 from kinset.operators.near import close_pairs, is_dense
-from kinset.plans.session import settle
+from kinset.plans.limits import LIMITS
+from kinset.plans.session import is_empty, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Map each vertex of ``edges(src, dst)`` to the smallest vertex it reaches.
 
-    Contraction rounds: every vertex points to its smallest neighbour (or
-    itself), the pointers are followed twice, and the edges are rewritten
-    between what they lead to. A vertex that is not the smallest around it
-    disappears, so at most half of them remain after a round, and the rounds
-    grow with the logarithm of the vertices.
+    Contraction rounds: every vertex points to its smallest neighbour, or to
+    itself if that is smaller. The pointers form trees whose roots are smaller
+    than all their neighbours; following them twice as far each time reaches
+    the roots in logarithmically many steps. Each tree becomes its root and the
+    edges are rewritten, so at most half of the vertices remain.
     """
     left = settle(edges.select("src", "dst").where("src <> dst").distinct())
     rounds = []
@@ -31,14 +32,22 @@ def components(edges: DataFrame) -> DataFrame:
             break
         ends = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         point = ends.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("_low"))
-        point = settle(point.select("id", F.least("id", "_low").alias("to")))
-        onward = point.select(F.col("id").alias("to"), F.col("to").alias("root"))
-        hop = settle(attach(point, onward, ["to"], 2 * n, "inner").select("id", "root"))
-        rounds.append(hop)
+        point = settle(point.select("id", F.least("id", "_low").alias("root")))
+        while True:
+            for step in ("_next", "_last"):
+                at = "root" if step == "_next" else "_next"
+                onward = point.select(F.col("id").alias(at), F.col("root").alias(step))
+                hop = attach(point if step == "_next" else hop, onward, [at], 2 * n, "inner")
+            hop = settle(hop)
+            point = hop.select("id", F.col("_last").alias("root"))
+            if is_empty(hop.where("_next <> _last")):
+                break
+        rounds.append(point)
         for end in ("src", "dst"):
-            moved = hop.withColumnRenamed("id", end)
-            left = attach(left, moved, [end], n, "inner").drop(end)
-            left = left.withColumnRenamed("root", end)
+            to = point.select(F.col("id").alias(end), F.col("root").alias("_to"))
+            left = attach(left, to, [end], n, "inner").drop(end).withColumnRenamed("_to", end)
+            if n > LIMITS.plain_join_rows:
+                left = settle(left)
         left = settle(left.where("src <> dst").distinct())
     if not rounds:
         return left.select(F.col("src").alias("id"), F.col("dst").alias("root"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinset.plans.limits import LIMITS
+from kinset.plans.session import is_empty, settle
 
 
 def all_of(conditions: Sequence[Column]) -> Column:
@@ -46,13 +47,15 @@ def attach(
     """
     if rows <= LIMITS.plain_join_rows:
         return join_keys(fact, dim, keys, how)
-    hot = (
+    hot = settle(
         fact.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > rows // LIMITS.hot_share)
         .select(*keys)
     )
-    hot_dim = join_keys(dim, F.broadcast(hot), keys, "left_semi")
+    if is_empty(hot):
+        return join_keys(fact, dim, keys, how)
+    hot_dim = settle(join_keys(dim, F.broadcast(hot), keys, "left_semi"))
     hot_rows = join_keys(
         join_keys(fact, F.broadcast(hot), keys, "left_semi"), F.broadcast(hot_dim), keys, how
     )

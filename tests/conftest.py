@@ -12,7 +12,6 @@ def spark():
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
         spark__driver__memory="6g",
-        spark__sql__codegen__cache__maxEntries="2000",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
@@ -21,8 +20,14 @@ def spark():
 @pytest.fixture
 def tight(monkeypatch):
     """Limits so low that small inputs take the ways for large ones."""
-    monkeypatch.setattr(LIMITS, "bucket_rows", 4)
+    monkeypatch.setattr(LIMITS, "bucket_rows", 10)
     monkeypatch.setattr(LIMITS, "pairs_per_row", 2)
+    return LIMITS
+
+
+@pytest.fixture
+def skewed(monkeypatch):
+    """Joins split off hot keys even on small inputs."""
     monkeypatch.setattr(LIMITS, "plain_join_rows", 5)
     monkeypatch.setattr(LIMITS, "hot_share", 10)
     return LIMITS
