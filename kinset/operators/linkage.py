@@ -27,7 +27,7 @@ LINKAGES = ("single", "average", "complete")
 def _mutual(scored: DataFrame, group: Sequence[str]) -> DataFrame:
     """Edges that are the first choice of both their ends."""
     columns = [*group, "a", "b", "score", "size_a", "size_b"]
-    choice = F.struct("score", "rank_a", "rank_b", *columns)
+    choice = F.struct("score", "rank_a", "rank_b", *[c for c in columns if c != "score"])
     ranked = scored.select(*columns, "rank_a", "rank_b")
     ends = ranked.select(F.col("a").alias("_end"), choice.alias("_edge")).unionByName(
         ranked.select(F.col("b").alias("_end"), choice.alias("_edge"))
@@ -149,7 +149,7 @@ def _merge_table(
     rounds: list[DataFrame], edges: DataFrame, group: Sequence[str], sign: int = 1
 ) -> DataFrame:
     columns = [
-        *group, "left_id", "right_id", "height", "size", "_order", "_round",
+        *group, "left_id", "right_id", "height", "size", "_order", "_round", "_tie_a", "_tie_b",
     ]
     if not rounds:
         rounds = [
@@ -166,9 +166,11 @@ def _merge_table(
         # Rounding keeps sums taken in another order from changing the order.
         F.round("score", 12).alias("_order"),
         "_round",
+        (F.col("a") if sign > 0 else -F.col("b")).alias("_tie_a"),
+        (F.col("b") if sign > 0 else -F.col("a")).alias("_tie_b"),
     )
     numbered = with_ordinal(
-        merges.select(*columns), ["_order", "_round", "left_id", "right_id"], group, "step"
+        merges.select(*columns), ["_order", "_round", "_tie_a", "_tie_b"], group, "step"
     )
     return numbered.select(*group, "step", "left_id", "right_id", "height", "size")
 
