@@ -12,7 +12,7 @@ from kinset.operators.joins import attach, join_keys
 from kinset.operators.leader import assign_leaders
 from kinset.operators.near import close_pairs, is_dense
 from kinset.plans.limits import LIMITS
-from kinset.plans.session import is_empty, settle
+from kinset.plans.session import settle, settle_counted
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,12 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
     the roots in logarithmically many steps. Each tree becomes its root and the
     edges are rewritten, so at most half of the vertices remain.
     """
-    left = settle(edges.select("src", "dst").where("src <> dst").distinct())
+    left, n = settle_counted(edges.select("src", "dst").where("src <> dst").distinct())
     rounds = []
-    while True:
-        n = left.count()
-        if n == 0:
-            break
+    while n > 0:
         ends = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         point = ends.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("_low"))
         point = settle(point.select("id", F.least("id", "_low").alias("root")))
@@ -38,9 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
                 at = "root" if step == "_next" else "_next"
                 onward = point.select(F.col("id").alias(at), F.col("root").alias(step))
                 hop = attach(point if step == "_next" else hop, onward, [at], 2 * n, "inner")
-            hop = settle(hop)
+            hop, moving = settle_counted(hop, F.col("_next") != F.col("_last"))
             point = hop.select("id", F.col("_last").alias("root"))
-            if is_empty(hop.where("_next <> _last")):
+            if moving == 0:
                 break
         rounds.append(point)
         for end in ("src", "dst"):
@@ -48,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
             left = attach(left, to, [end], n, "inner").drop(end).withColumnRenamed("_to", end)
             if n > LIMITS.plain_join_rows:
                 left = settle(left)
-        left = settle(left.where("src <> dst").distinct())
+        left, n = settle_counted(left.where("src <> dst").distinct())
     if not rounds:
         return left.select(F.col("src").alias("id"), F.col("dst").alias("root"))
     # Later rounds only name what earlier ones led to, so they are smaller.

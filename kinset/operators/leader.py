@@ -11,7 +11,7 @@ from kinset.operators.copies import Distinct, distinct_sequences, restore
 from kinset.operators.groups import with_ordinal
 from kinset.operators.near import candidate_load, close_pairs, union_all
 from kinset.plans.limits import LIMITS
-from kinset.plans.session import is_empty, settle
+from kinset.plans.session import is_empty, settle, settle_counted
 
 
 def first_leaders(edges: DataFrame) -> DataFrame:
@@ -22,17 +22,18 @@ def first_leaders(edges: DataFrame) -> DataFrame:
     undecided neighbour leads, all its neighbours are covered, and the edges of
     covered vertices go. This gives the same leaders as the sequential order.
     """
-    edges = settle(edges.select("src", "dst"))
+    edges, n = settle_counted(edges.select("src", "dst"))
     left, covered = edges, []
-    while not is_empty(left):
-        preceded = left.select(F.col("dst").alias("src")).distinct()
-        leading = left.select("src").distinct().join(preceded, "src", "left_anti")
-        now = settle(left.join(leading, "src", "left_semi").select("dst").distinct())
+    while n > 0:
+        preceded = left.select(F.col("dst").alias("src")).distinct().withColumn("_wait", F.lit(1))
+        marked = settle(left.join(preceded, "src", "left"))
+        now = marked.where("_wait is null").select("dst").distinct()
         covered.append(now)
-        left = left.join(now, "dst", "left_anti")
-        left = settle(left.join(now.withColumnRenamed("dst", "src"), "src", "left_anti"))
+        left = marked.drop("_wait").join(now, "dst", "left_anti")
+        left = left.join(now.withColumnRenamed("dst", "src"), "src", "left_anti")
+        left, n = settle_counted(left)
     if covered:
-        followers = union_all(covered).withColumnRenamed("dst", "src")
+        followers = union_all(covered).distinct().withColumnRenamed("dst", "src")
         edges = edges.join(followers, "src", "left_anti")
     return edges.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("cluster_id"))
 

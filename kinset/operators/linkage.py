@@ -19,7 +19,7 @@ from kinset.operators.copies import Distinct, distinct_sequences, restore
 from kinset.operators.groups import group_sizes, with_ordinal
 from kinset.operators.joins import attach, join_keys
 from kinset.operators.near import close_pairs, distance_pairs, union_all
-from kinset.plans.session import is_empty, settle
+from kinset.plans.session import settle, settle_counted
 
 LINKAGES = ("single", "average", "complete")
 
@@ -44,7 +44,6 @@ def _merge_edges(edges: DataFrame, merged: DataFrame, group: Sequence[str]) -> D
     moves = renamed.select(F.col("a").alias("_old"), F.col("a").alias("_new"), "_size").unionByName(
         renamed.select(F.col("b").alias("_old"), F.col("a").alias("_new"), "_size")
     )
-    moves = settle(moves)
     n = edges.count()
     for end in ("a", "b"):
         step = moves.select(
@@ -127,8 +126,8 @@ def agglomerate(
             scored = scored.where(F.col("score") < sign * thres)
         order = (F.col("a"), F.col("b")) if sign > 0 else (-F.col("b"), -F.col("a"))
         scored = scored.withColumn("rank_a", order[0]).withColumn("rank_b", order[1])
-        merged = settle(_mutual(scored, group))
-        if is_empty(merged):
+        merged, n_merged = settle_counted(_mutual(scored, group))
+        if n_merged == 0:
             break
         rounds.append(merged.withColumn("_round", F.lit(len(rounds))))
         moved = _merge_edges(edges, merged, group)
@@ -293,8 +292,8 @@ def average_below(distinct: Distinct, thres: float) -> DataFrame:
     while True:
         scored = edges.withColumn("score", mean).where(F.col("score") < thres)
         scored = scored.withColumn("rank_a", F.col("a")).withColumn("rank_b", F.col("b"))
-        merged = settle(_mutual(scored, group))
-        if is_empty(merged):
+        merged, n_merged = settle_counted(_mutual(scored, group))
+        if n_merged == 0:
             break
         rounds.append(merged.withColumn("_round", F.lit(len(rounds))))
         moved = _merge_edges(edges, merged, group)

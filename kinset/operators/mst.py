@@ -12,7 +12,7 @@ from kinset.operators.components import components
 from kinset.operators.copies import Distinct, distinct_sequences
 from kinset.operators.joins import attach, join_keys
 from kinset.operators.near import close_pairs, is_dense, union_all
-from kinset.plans.session import is_empty, settle
+from kinset.plans.session import is_empty, settle, settle_counted
 
 
 def spanning_forest(edges: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -31,8 +31,8 @@ def spanning_forest(edges: DataFrame, group: Sequence[str]) -> DataFrame:
         entry.alias("_edge"),
     )
     chosen = []
-    left = settle(left.groupBy("_a", "_b").agg(F.min("_edge").alias("_edge")))
-    while not is_empty(left):
+    left, n = settle_counted(left.groupBy("_a", "_b").agg(F.min("_edge").alias("_edge")))
+    while n > 0:
         ends = left.select(F.col("_a").alias("_c"), "_edge", "_a", "_b").unionByName(
             left.select(F.col("_b").alias("_c"), "_edge", "_a", "_b")
         )
@@ -41,14 +41,13 @@ def spanning_forest(edges: DataFrame, group: Sequence[str]) -> DataFrame:
         chosen.append(taken.select("_edge.*"))
         roots = components(taken.select(F.col("_a").alias("src"), F.col("_b").alias("dst")))
         roots = settle(roots)
-        n = left.count()
         for end in ("_a", "_b"):
             left = attach(left, roots.withColumnRenamed("id", end), [end], n)
             left = left.withColumn(end, F.coalesce("root", end)).drop("root")
         left = left.where("_a <> _b").select(
             F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"), "_edge"
         )
-        left = settle(left.groupBy("_a", "_b").agg(F.min("_edge").alias("_edge")))
+        left, n = settle_counted(left.groupBy("_a", "_b").agg(F.min("_edge").alias("_edge")))
     columns = [*group, "src", "dst", "dist", "src_comp", "dst_comp"]
     return union_all(chosen).select(*columns) if chosen else edges.select(*columns).limit(0)
 

@@ -18,7 +18,7 @@ from kinset.operators.groups import group_sizes, with_ordinal
 from kinset.operators.joins import all_of, attach, join_keys, same_keys
 from kinset.operators.signatures import signature
 from kinset.plans.limits import LIMITS
-from kinset.plans.session import is_empty, settle
+from kinset.plans.session import is_empty, settle, settle_counted, spread
 
 STRATEGIES = ("auto", "block", "segment", "pivot", "allpairs")
 
@@ -111,8 +111,9 @@ def close_pairs(
     pair by pair, for callers that need connectivity and no distances.
     """
     group, metric = distinct.group, distinct.metric
-    left = distinct.table if left is None else left
+    left = spread(distinct.table if left is None else left)
     two_sided = right is not None
+    right = spread(right) if two_sided else None
     columns = [*group, "id", *carry, *(["comp"] if comp and "comp" not in carry else [])]
     sig = signature(metric, thres, within)
     carried = [*carry, *(["comp"] if comp and "comp" not in carry else [])]
@@ -266,7 +267,7 @@ def _every_pair(distinct: Distinct, carry: Sequence[str], max_pairs: int | None)
             f"{expected} pairs exceed max_pairs={allowed}; use near_pairs with a threshold"
         )
     group = distinct.group
-    table = distinct.table.withColumn("_all", F.lit(0))
+    table = spread(distinct.table).withColumn("_all", F.lit(0))
     if distinct.widest > LIMITS.bucket_rows:
         sizes = group_sizes(table, [*group, "_all"]).withColumnRenamed("n", "_na")
         sizes = sizes.withColumn("_nb", F.col("_na"))
@@ -326,7 +327,7 @@ def _pivot_pairs(distinct: Distinct, thres: float, carry: Sequence[str]) -> Data
     the join key, so close strings lie in the same or neighbouring bands.
     """
     group, metric = distinct.group, distinct.metric
-    table = distinct.table.withColumn("_all", F.lit(0))
+    table = spread(distinct.table).withColumn("_all", F.lit(0))
     keys = [*group, "_all"]
     mark = F.xxhash64("seq")
     pivots = table.groupBy(*keys).agg(
@@ -490,8 +491,8 @@ def nearest(
             pending.select("id", "_want").join(counts, "id").where("_has >= _want").select("id")
         )
         found.append(ranked.join(done.withColumnRenamed("id", "src"), "src", "left_semi"))
-        pending = settle(pending.join(done, "id", "left_anti"))
-        if is_empty(pending):
+        pending, waiting = settle_counted(pending.join(done, "id", "left_anti"))
+        if waiting == 0:
             break
         radius *= 2
     own = distinct.table.select(

@@ -8,16 +8,17 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinset.operators.components import single_linkage
+from kinset.operators.components import components, single_linkage
 from kinset.operators.condense import Leaves, condense, two_stage
+from kinset.operators.copies import Distinct, distinct_sequences
 from kinset.operators.groups import group_sizes, top_groups
 from kinset.operators.joins import attach
 from kinset.operators.labels import cluster_counts
 from kinset.operators.leader import leader_clusters
 from kinset.operators.linkage import linkage_clusters
 from kinset.operators.mst import cut, mst_edges
-from kinset.operators.near import union_all
-from kinset.plans.session import is_empty, settle
+from kinset.operators.near import close_pairs, is_dense, union_all
+from kinset.plans.session import is_empty, settle, settle_counted
 
 METHODS: dict[str, Callable[..., DataFrame]] = {
     "mst": single_linkage,
@@ -115,27 +116,31 @@ def threshold_sweep(
 ) -> DataFrame:
     """Number of clusters over all groups at each threshold.
 
-    ``linkage`` builds the spanning forest at the largest threshold once: a
-    forest with e edges leaves records - e clusters, so every smaller cut is a
-    count of its edges. ``condense`` builds the leaves at ``inner`` once and
-    coarsens them at every cut.
+    ``linkage`` searches the close pairs at the largest threshold once. Going
+    up the thresholds, the components below each are merged into single
+    vertices, so every step works on what the smaller ones left. Where close
+    pairs are dense, the spanning forest is built instead: with e edges below a
+    threshold it leaves records - e clusters. ``condense`` builds the leaves at
+    ``inner`` once and coarsens them at every cut.
     """
     spark = df.sparkSession
     steps = spark.createDataFrame([(float(t),) for t in cuts], "thres double")
     if method == "linkage":
-        forest = mst_edges(df, group, metric, max(cuts))
-        heights = forest.groupBy("dist").agg(F.count(F.lit(1)).alias("_edges"))
-        records = df.agg(F.count(F.lit(1)).alias("_records"))
-        # Both tables hold one row per threshold or distinct height.
-        counted = (
-            steps.join(F.broadcast(heights), heights["dist"] < steps["thres"], "left")
-            .groupBy("thres")
-            .agg(F.coalesce(F.sum("_edges"), F.lit(0)).alias("_edges"))
-        )
-        total = records.first()[0]
-        return counted.select(
-            "thres", (F.lit(total).cast("bigint") - F.col("_edges")).alias("clusters")
-        )
+        records = df.count()
+        distinct = distinct_sequences(df, group, metric)
+        if max(cuts) > 0 and is_dense(distinct, distinct.table, max(cuts)):
+            forest = mst_edges(df, group, metric, max(cuts))
+            # One row per distinct height, at most one per possible distance.
+            heights = forest.groupBy("dist").agg(F.count(F.lit(1)).alias("_edges"))
+            counted = (
+                steps.join(heights, heights["dist"] < steps["thres"], "left")
+                .groupBy("thres")
+                .agg(F.coalesce(F.sum("_edges"), F.lit(0)).alias("_edges"))
+            )
+            return counted.select(
+                "thres", (F.lit(records).cast("bigint") - F.col("_edges")).alias("clusters")
+            )
+        return _sweep_counts(distinct, records, sorted(set(cuts)))
     if method != "condense":
         raise ValueError(f"method must be 'linkage' or 'condense', not {method!r}")
     leaves = Leaves(df, group, metric, inner)
@@ -153,6 +158,31 @@ def threshold_sweep(
     return union_all(counts)
 
 
+def _sweep_counts(distinct: Distinct, records: int, cuts: Sequence[float]) -> DataFrame:
+    spark = distinct.table.sparkSession
+    clusters, counts = records - distinct.records + distinct.rows, []
+    edges, n = None, 0
+    for t in cuts:
+        if t <= 0:
+            counts.append((float(t), records))
+            continue
+        if edges is None:
+            close = close_pairs(distinct, thres=max(cuts)).select("src", "dst", "dist")
+            edges, n = settle_counted(close)
+        roots, merged = settle_counted(
+            components(edges.where(F.col("dist") < t)), F.col("id") != F.col("root")
+        )
+        clusters -= merged
+        counts.append((float(t), clusters))
+        later = edges.where(F.col("dist") >= t)
+        for end in ("src", "dst"):
+            to = roots.select(F.col("id").alias(end), "root")
+            later = attach(later, to, [end], n)
+            later = later.withColumn(end, F.coalesce("root", end)).drop("root")
+        edges, n = settle_counted(later.where("src <> dst"))
+    return spark.createDataFrame(counts, "thres double, clusters bigint")
+
+
 def compare_methods(
     df: DataFrame,
     group: Sequence[str],

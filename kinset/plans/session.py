@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "kinset", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,5 +57,21 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_counted(df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+    """``settle``, with the number of rows (or of rows for which ``which`` holds)
+    observed while they are written, at no extra job."""
+    seen = Observation()
+    wanted = F.lit(1) if which is None else F.when(which, 1)
+    table = settle(df.observe(seen, F.count(wanted).alias("n")))
+    return table, seen.get["n"]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core: adaptive execution sizes partitions by
+    bytes, too coarse for joins whose work is comparing what little they read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
