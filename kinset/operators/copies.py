@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinset.functions.distance import check_metric
@@ -28,6 +28,19 @@ class Distinct:
     uneven: bool
     longest: int
 
+    def attach_to(self, df: DataFrame, dim: DataFrame, how: str = "left") -> DataFrame:
+        """Join records with a table of one row per group and sequence; the
+        copies are counted already, so hot sequences are known."""
+        keys = [*self.group, "seq"]
+        counts = self.table.select(*keys, F.col("copies").alias("_n"))
+        return attach(df, dim, keys, self.records, how, counts)
+
+
+def comparable(metric: str) -> Column:
+    """Whether a record's sequence has distances at all."""
+    present = F.col("seq").isNotNull()
+    return present & (F.length("seq") > 0) if metric == "hamming" else present
+
 
 def collapse(df: DataFrame, group: Sequence[str], metric: str) -> DataFrame:
     """One row per group and sequence, carrying the smallest id and the count.
@@ -35,10 +48,7 @@ def collapse(df: DataFrame, group: Sequence[str], metric: str) -> DataFrame:
     Rows without a sequence are close to nothing and are left out; so are empty
     sequences under the Hamming metric, whose distance is undefined.
     """
-    kept = df.where(F.col("seq").isNotNull())
-    if metric == "hamming":
-        kept = kept.where(F.length("seq") > 0)
-    return kept.groupBy(*group, "seq").agg(
+    return df.where(comparable(metric)).groupBy(*group, "seq").agg(
         F.min("id").cast("bigint").alias("id"), F.count(F.lit(1)).alias("copies")
     )
 
@@ -85,9 +95,11 @@ def restore(df: DataFrame, distinct: Distinct, assigned: DataFrame) -> DataFrame
     known = known.select(
         *group, "seq", F.coalesce("cluster_id", "id").alias("_cluster")
     )
-    members = attach(df.select(*group, "id", "seq"), known, [*group, "seq"], distinct.records)
-    return members.select(
-        *group,
-        F.col("id").cast("bigint").alias("id"),
-        F.coalesce("_cluster", F.col("id").cast("bigint")).alias("cluster_id"),
+    number = F.col("id").cast("bigint")
+    usable = comparable(distinct.metric)
+    members = distinct.attach_to(df.where(usable).select(*group, "id", "seq"), known)
+    placed = members.select(
+        *group, number.alias("id"), F.coalesce("_cluster", number).alias("cluster_id")
     )
+    alone = df.where(~usable).select(*group, number.alias("id"), number.alias("cluster_id"))
+    return placed.unionByName(alone)

@@ -37,20 +37,28 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
 
 
 def attach(
-    fact: DataFrame, dim: DataFrame, keys: Sequence[str], rows: int, how: str = "left"
+    fact: DataFrame,
+    dim: DataFrame,
+    keys: Sequence[str],
+    rows: int,
+    how: str = "left",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``fact`` (about ``rows`` rows) with ``dim`` (one row per key).
 
     Keys that hold more than 1/``hot_share`` of the fact rows are joined apart
     by broadcast: there are at most ``hot_share`` of them, so that table is small
-    whatever the data, and their fact rows are not moved at all.
+    whatever the data, and their fact rows are not moved at all. ``counts`` (keys
+    and ``_n``) saves counting the fact rows where that has been done already.
     """
     if rows <= LIMITS.plain_join_rows:
         return join_keys(fact, dim, keys, how)
+    if counts is None:
+        counts = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = settle(
-        fact.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > rows // LIMITS.hot_share)
+        counts.where(F.col("_n") > rows // LIMITS.hot_share)
+        .orderBy(F.desc("_n"))
+        .limit(LIMITS.hot_share)
         .select(*keys)
     )
     if is_empty(hot):

@@ -191,9 +191,8 @@ def linkage_merges(
     merges = agglomerate(pairs, group, linkage)
     distinct = distinct_sequences(df, group, metric)
     own = distinct.table.select(*group, "seq", F.col("id").alias("left_id"))
-    copies = attach(
-        df.select(*group, "id", "seq"), own, [*group, "seq"], distinct.records, "inner"
-    ).where("id <> left_id")
+    copies = distinct.attach_to(df.select(*group, "id", "seq"), own, "inner")
+    copies = copies.where("id <> left_id")
     copies = with_ordinal(
         copies.select(*group, "left_id", F.col("id").cast("bigint").alias("right_id")),
         ["left_id", "right_id"], group, "step",

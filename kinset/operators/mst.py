@@ -113,9 +113,7 @@ def mst_edges(
         if is_empty(table):
             break
     own = distinct.table.select(*group, "seq", F.col("id").alias("src"))
-    copies = attach(
-        df.select(*group, "id", "seq"), own, [*group, "seq"], distinct.records, "inner"
-    ).where("id <> src")
+    copies = distinct.attach_to(df.select(*group, "id", "seq"), own, "inner").where("id <> src")
     if thres is not None and thres <= 0:
         copies = copies.where(F.lit(False))
     trees.append(

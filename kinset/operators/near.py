@@ -167,7 +167,10 @@ def close_pairs(
                 found.append(pairs(a, a if b is None else b, keys, swapped))
                 return
             rows = distinct.rows * 8
-            flagged = [attach(m, crowded, ["_bucket"], rows) for m in marked]
+            flagged = [
+                attach(m, crowded, ["_bucket"], rows, counts=crowded.withColumn("_n", F.col(n)))
+                for m, n in zip(marked, ("_na", "_nb"))
+            ]
             fa, fb = flagged[0], flagged[-1]
             calm = F.col("_na").isNull()
             found.append(pairs(fa.where(calm), fb.where(calm), keys, swapped))
@@ -270,8 +273,9 @@ def _every_pair(distinct: Distinct, carry: Sequence[str], max_pairs: int | None)
     table = spread(distinct.table).withColumn("_all", F.lit(0))
     if distinct.widest > LIMITS.bucket_rows:
         sizes = group_sizes(table, [*group, "_all"]).withColumnRenamed("n", "_na")
-        sizes = sizes.withColumn("_nb", F.col("_na"))
-        table = attach(table, sizes, [*group, "_all"], distinct.rows)
+        sizes = settle(sizes.withColumn("_nb", F.col("_na")))
+        counts = sizes.withColumn("_n", F.col("_na"))
+        table = attach(table, sizes, [*group, "_all"], distinct.rows, counts=counts)
         a = _tiles(table, "_ta", "_na", "_tb", "_nb")
         b = _tiles(table, "_tb", "_nb", "_ta", "_na")
         keys = ["_all", "_ta", "_tb"]
@@ -331,9 +335,12 @@ def _pivot_pairs(distinct: Distinct, thres: float, carry: Sequence[str]) -> Data
     keys = [*group, "_all"]
     mark = F.xxhash64("seq")
     pivots = table.groupBy(*keys).agg(
-        F.min_by("seq", mark).alias("_p1"), F.max_by("seq", mark).alias("_p2")
+        F.min_by("seq", mark).alias("_p1"),
+        F.max_by("seq", mark).alias("_p2"),
+        F.count(F.lit(1)).alias("_n"),
     )
-    table = attach(table, pivots, keys, distinct.rows)
+    pivots = settle(pivots)
+    table = attach(table, pivots.drop("_n"), keys, distinct.rows, counts=pivots)
     if metric == "hamming":
         d = F.floor(F.lit(thres) * F.length("seq"))
         measure = hamming_count
@@ -425,9 +432,7 @@ def expand_copies(
     if expected > allowed:
         raise ValueError(f"{int(expected)} record pairs exceed max_pairs={allowed}")
     named = distinct.table.select(*group, "seq", F.col("id").alias("_seq_id"))
-    records = attach(
-        df.select(*group, "id", "seq"), named, [*group, "seq"], distinct.records, "inner"
-    ).select("_seq_id", F.col("id").alias("_id"))
+    records = distinct.attach_to(df.select(*group, "id", "seq"), named, "inner").select("_seq_id", F.col("id").alias("_id"))
     firsts = records.withColumnsRenamed({"_seq_id": "src", "_id": "_a"})
     seconds = records.withColumnsRenamed({"_seq_id": "dst", "_id": "_b"})
     across = pairs.join(firsts, "src").join(seconds, "dst")
@@ -469,8 +474,10 @@ def nearest(
         ).select("_seq_id", F.col("id").alias("_record"))
     )
     sizes = group_sizes(grouped.table.withColumn("_all", F.lit(0)), [*keys, "_all"])
+    sizes = settle(sizes)
     pending = attach(
-        grouped.table.withColumn("_all", F.lit(0)), sizes, [*keys, "_all"], grouped.rows
+        grouped.table.withColumn("_all", F.lit(0)), sizes, [*keys, "_all"], grouped.rows,
+        counts=sizes.withColumn("_n", F.col("n")),
     )
     pending = pending.withColumn("_want", F.least(F.lit(k), F.col("n") - 1)).where("_want > 0")
     pending = settle(pending.drop("_all", "n"))
@@ -509,7 +516,7 @@ def nearest(
     known = join_keys(
         distinct.table.select(*group, "seq", F.col("id").alias("src")), lists, ["src"], "left"
     )
-    joined = attach(records, known, [*group, "seq"], distinct.records, "inner")
+    joined = distinct.attach_to(records, known, "inner")
     mine = F.slice(F.filter("_near", lambda x: x["nearest"] != F.col("id")), 1, k)
     out = joined.select(*group, "id", F.posexplode(mine).alias("_rank", "_hit"))
     return out.select(

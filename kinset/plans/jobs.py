@@ -66,8 +66,12 @@ def route_by_size(
     for i in reversed(range(len(rules) - 1)):
         rule = F.when(F.col("n") < bounds[i], i).otherwise(rule)
     records = df.select(*group, "id", "seq", F.lit(0).alias("_all"))
-    routes = group_sizes(records, [*group, "_all"]).withColumn("_rule", rule).drop("n")
-    routed = settle(attach(records, settle(routes), [*group, "_all"], df.count(), "inner"))
+    routes, groups = settle_counted(group_sizes(records, [*group, "_all"]).withColumn("_rule", rule))
+    rows = routes.agg(F.sum("n")).first()[0] if groups else 0
+    counts = routes.withColumnRenamed("n", "_n")
+    routed = settle(
+        attach(records, routes.drop("n"), [*group, "_all"], rows, "inner", counts)
+    )
     parts = []
     for i, (_, method) in enumerate(rules):
         mine = routed.where(F.col("_rule") == i).select(*group, "id", "seq")

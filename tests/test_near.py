@@ -22,7 +22,7 @@ def expected(rows, metric, thres):
     return {k: round(d, 9) for k, d in models.pairs(rows, metric).items() if d < thres}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 @pytest.mark.parametrize("thres", [0.2, 0.51])
 @pytest.mark.parametrize("strategy", ["auto", "block", "pivot", "allpairs"])
 def test_hamming_strategies(spark, seed, thres, strategy):
@@ -31,16 +31,18 @@ def test_hamming_strategies(spark, seed, thres, strategy):
     assert as_map(got) == expected(rows, "hamming", thres)
 
 
-@pytest.mark.parametrize("thres", [0.2, 0.51, 1.5])
-@pytest.mark.parametrize("strategy", ["block", "pivot", "allpairs"])
+@pytest.mark.parametrize(
+    "thres,strategy",
+    [(0.2, "block"), (0.51, "block"), (1.5, "block"), (0.51, "pivot"), (0.51, "allpairs")],
+)
 def test_hamming_crowded(spark, tight, thres, strategy):
     rows = models.random_rows(5, n=60, groups=2)
     got = near_pairs(table(spark, rows), ["g"], "hamming", thres, strategy)
     assert as_map(got) == expected(rows, "hamming", thres)
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-@pytest.mark.parametrize("thres", [0.14, 1.0, 1.5, 3])
+@pytest.mark.parametrize("seed", [3])
+@pytest.mark.parametrize("thres", [0.14, 1.0, 3])
 @pytest.mark.parametrize("strategy", ["segment", "pivot"])
 def test_edit_strategies(spark, seed, thres, strategy):
     rows = models.random_rows(seed, length=1, spread=8)
