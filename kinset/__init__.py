@@ -41,7 +41,7 @@ from kinset.plans.jobs import (
     threshold_sweep,
 )
 from kinset.plans.session import build_session
-from kinset.sources.readers import read_annotated, read_fasta, read_grouped, split_rejects
+from kinset.sources.readers import as_sequences, read_annotated, read_fasta, read_grouped, split_rejects
 from kinset.sources.writers import write_clusters, write_labels
 
 __all__ = [name for name in dir() if not name.startswith("_")]
