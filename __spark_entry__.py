@@ -16,6 +16,24 @@ from kinset.functions.records import to_int
 from kinset.operators.linkage import agglomerate
 from kinset.plans.jobs import compare_counts
 
+try:  # The llm package and its pipeline can be left out.
+    from kinset.llm.queries import QUERIES as LLM_QUERIES
+    from kinset.llm.queries import SQL as LLM_SQL
+except ModuleNotFoundError as error:
+    if not (error.name or "").startswith("kinset.llm"):
+        raise
+    LLM_QUERIES, LLM_SQL = {}, {}
+if LLM_QUERIES:
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as error:
+        if error.name != "corpus_pipeline":
+            raise
+    else:
+        LLM_QUERIES = LLM_QUERIES | {"pipeline": corpus_pipeline.run}
+        if corpus_pipeline.ORACLE_SQL:
+            LLM_SQL = LLM_SQL | {"pipeline": corpus_pipeline.ORACLE_SQL}
+
 LG = ["v_call", "j_call", "junction_length"]
 BRAND = ["p_brand"]
 TIGHT, WIDE = 0.06, 0.14
@@ -200,7 +218,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "linkage_complete": _linkage("complete"),
         "linkage_average": _linkage("average"),
         "agglomerate_average": _agglomerate,
-    }
+    } | LLM_QUERIES
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -413,4 +431,4 @@ def oracle_sql() -> dict[str, str]:
                   union all select {_G}, 'two_stage', id, cluster_id from two)
             select method, {_G}, count(distinct cluster_id) as clusters, count(*) as records
             from m join top using ({_G}) group by all""",
-    }
+    } | LLM_SQL
