@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from kinset.llm.text import process_store
 
@@ -350,7 +351,7 @@ def encode_texts(
     """
     others = [c for c in df.columns if c not in (ids, decoded)]
     kinds = {f.name: f for f in df.schema.fields}
-    schema = df.select(*others).schema.add(ids, "array<int>").add(decoded, "string")
+    schema = df.select(*others).schema.add(ids, T.ArrayType(T.IntegerType())).add(decoded, T.StringType())
     assert text in kinds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
