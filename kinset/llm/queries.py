@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinset.llm.phrases import edited_fingerprints
 from kinset.llm.pieces import encode_texts
 
 
@@ -19,6 +20,15 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_phrase_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return edited_fingerprints(docs).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Digest of the ids of every document and of the text decoded from them."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -32,6 +42,7 @@ def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_phrase_fingerprints": op2_phrase_fingerprints,
     "op4_sentencepiece": op4_sentencepiece,
 }
 

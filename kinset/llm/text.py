@@ -51,11 +51,14 @@ class SpanHasher:
         self.up = self.down = np.ones(1, np.uint64)
 
     def sums(self, codes: np.ndarray) -> np.ndarray:
-        n = len(codes) + 1
+        return self.value_sums(self.table[codes])
+
+    def value_sums(self, values: np.ndarray) -> np.ndarray:
+        n = len(values) + 1
         if len(self.up) < n:
             self.up, self.down = powers(_P, n + n // 4), powers(_P_INV, n + n // 4)
         out = np.zeros(n, np.uint64)
-        np.cumsum(self.table[codes] * self.up[: n - 1], out=out[1:])
+        np.cumsum(values * self.up[: n - 1], out=out[1:])
         return out
 
     def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
