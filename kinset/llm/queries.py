@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinset.llm.phrases import edited_fingerprints
 from kinset.llm.pieces import encode_texts
+from kinset.llm.toxicity import CUT, score, train
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,9 +42,28 @@ def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Rows with this remainder of crc32(doc_id) by 4 are never learnt from.
+HELD_OUT = 2
+
+
+def held_out() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == HELD_OUT
+
+
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of every document from a network fitted on the rows that are not held out."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    net = train(docs, table(spark, sf, "labels"), ~held_out())
+    return score(docs, net).select(
+        "doc_id", held_out().alias("held_out"), "score",
+        (F.col("score") >= CUT).cast("int").alias("predicted"), "cut", "rejected",
+    )
+
+
 QUERIES = {
     "op2_phrase_fingerprints": op2_phrase_fingerprints,
     "op4_sentencepiece": op4_sentencepiece,
+    "op8_toxicity": op8_toxicity,
 }
 
 SQL: dict[str, str] = {}
