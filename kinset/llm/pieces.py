@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from kinset.llm.text import process_store
 MARK = "▁"
 UNKNOWN = -1
 #: Units kept in each of the two halves of the cache, and the longest ones kept.
-CACHE, CACHED_LENGTH = 120_000, 40
+CACHE, CACHED_LENGTH = 250_000, 40
 #: Pairs of tokens, and steps of the automaton, kept.
 PAIRS, STEPS = 600_000, 600_000
 
@@ -102,6 +103,12 @@ class PieceModel:
                 normal.append(i)
                 if MARK in self.pieces[i].lstrip(MARK) or len(self.pieces[i]) > 1 and "\n" in self.pieces[i]:
                     raise ValueError(f"piece {i} has a space mark or line feed inside")
+        #: Text of each id; None for bytes.
+        self.surface: list[str | None] = [
+            None if i in self.byte_of else "" if i in self.control else
+            " ⁇ " if i == self.unk else self.pieces[i].replace(MARK, " ")
+            for i in range(n)
+        ]
         order = sorted(normal, key=lambda i: -lib.get_score(i))
         #: Merge order; pieces of one score share a rank, and the leftmost merges first.
         self.rank: dict[int, int] = {}
@@ -243,6 +250,10 @@ class PieceModel:
 
     def decode_unit(self, ids: list[int]) -> str:
         """Text of ids, with space marks as spaces; bytes that are no UTF-8 become U+FFFD."""
+        try:
+            return "".join([self.surface[i] for i in ids])
+        except TypeError:  # bytes among them
+            pass
         out, run = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -251,8 +262,7 @@ class PieceModel:
             if run:
                 out.append(_utf8(run))
                 run = bytearray()
-            if i not in self.control:
-                out.append(" ⁇ " if i == self.unk else self.pieces[i].replace(MARK, " "))
+            out.append(self.surface[i])
         if run:
             out.append(_utf8(run))
         return "".join(out)
@@ -302,7 +312,7 @@ class UnitCoder:
     def unit(self, unit: str, marked: int) -> tuple[bytes, str]:
         if (found := self.old[marked].get(unit)) is None:
             ids = self.model.encode_unit(MARK + unit if marked else unit)
-            found = np.array(ids, np.int32).tobytes(), self.model.decode_unit(ids)
+            found = array("i", ids).tobytes(), self.model.decode_unit(ids)
         if len(unit) <= CACHED_LENGTH:
             self.young[marked][unit] = found
         return found
