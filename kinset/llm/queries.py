@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinset.llm.ngram_join import ngram_jaccard_join
 from kinset.llm.phrases import edited_fingerprints
 from kinset.llm.pieces import encode_texts
 from kinset.llm.toxicity import CUT, score, train
@@ -21,6 +22,12 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of all documents that 4-word shingles link at 0.85."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return ngram_jaccard_join(docs, words=4, num=85, den=100)
+
+
 def op2_phrase_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -61,6 +68,7 @@ def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_phrase_fingerprints": op2_phrase_fingerprints,
     "op4_sentencepiece": op4_sentencepiece,
     "op8_toxicity": op8_toxicity,

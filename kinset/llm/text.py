@@ -136,7 +136,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     width = min(k, n)
     factors = random_words(11, width) | np.uint64(1)
-    out = np.full(n - width + 1, np.uint64(width) * np.uint64(_P), np.uint64)
+    out = np.full(n - width + 1, width * _P % (1 << 64), np.uint64)
     for i in range(width):
         out += words[i : n - width + 1 + i] * factors[i]
     return mix(out)
@@ -154,3 +154,58 @@ def distinct(hashes: np.ndarray) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+class WordHasher:
+    """Hashes of the words of texts, by the bytes that belong to words."""
+
+    def __init__(self, in_word: np.ndarray | None = None, lower: bool = True):
+        self.in_word = word_table() if in_word is None else in_word
+        self.bytes = lower_table() if lower else np.arange(256, dtype=np.uint8)
+        self.hasher = SpanHasher(256)
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words of rows, and how many words begin before each row."""
+        starts, ends, first = word_spans(data, offsets, self.in_word)
+        return self.hasher.spans(self.hasher.sums(self.bytes[data]), starts, ends), first
+
+
+def each_text(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Sub-batches of a text column: first row, end row, their bytes, offsets from 0."""
+    data, offsets = text_buffers(column)
+    for a, b in pieces(offsets, size):
+        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+
+def pack(texts: list[bytes]) -> list[bytes]:
+    """Texts compressed one by one, to be moved by a shuffle."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+    return [squeeze(t) for t in texts]
+
+
+def unpack(blobs: list[bytes]) -> list[bytes]:
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(b) for b in blobs]
+
+
+def packed_texts(df, key: str, text: str):
+    """``key`` and ``_packed``, the compressed text (null: empty) of each row."""
+    from pyspark.sql import types as T
+
+    kind = df.schema[key].dataType
+    schema = T.StructType([T.StructField(key, kind), T.StructField("_packed", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                texts = part.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(pack(texts), pa.binary())], names=[key, "_packed"]
+                )
+
+    return df.select(key, text).mapInArrow(run, schema)
