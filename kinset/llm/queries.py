@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from kinset.llm.ngram_join import ngram_jaccard_join
 from kinset.llm.phrases import edited_fingerprints
 from kinset.llm.pieces import encode_texts
+from kinset.llm.repeats import remove_repeats
+from kinset.llm.substrings import remove_known_runs
 from kinset.llm.toxicity import CUT, score, train
 
 
@@ -49,6 +51,22 @@ def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
+    """What remains of all documents without the 200-byte strings that repeat."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What remains of all documents without the 50-word runs of earlier ones."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return remove_known_runs(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 #: Rows with this remainder of crc32(doc_id) by 4 are never learnt from.
 HELD_OUT = 2
 
@@ -71,6 +89,8 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_phrase_fingerprints": op2_phrase_fingerprints,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_suffix_array": op5_suffix_array,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_toxicity": op8_toxicity,
 }
 
