@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinset.llm.mixing import mix_sources
 from kinset.llm.ngram_join import ngram_jaccard_join
 from kinset.llm.phrases import edited_fingerprints
 from kinset.llm.pieces import encode_texts
@@ -85,6 +86,12 @@ def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """How many words of every document the mix of all sources takes."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "placed")
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_phrase_fingerprints": op2_phrase_fingerprints,
@@ -92,6 +99,7 @@ QUERIES = {
     "op5_suffix_array": op5_suffix_array,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_mixing": op9_mixing,
 }
 
 SQL: dict[str, str] = {}
