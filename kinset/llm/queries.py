@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinset.llm.licenses import scan_licenses
 from kinset.llm.mixing import mix_sources
 from kinset.llm.ngram_join import ngram_jaccard_join
 from kinset.llm.phrases import edited_fingerprints
@@ -68,6 +69,12 @@ def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Licences and rights notices in all documents."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return scan_licenses(docs).drop("text", "matches")
+
+
 #: Rows with this remainder of crc32(doc_id) by 4 are never learnt from.
 HELD_OUT = 2
 
@@ -98,6 +105,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_suffix_array": op5_suffix_array,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
 }
