@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinset.llm.lattice import near_vectors
 from kinset.llm.licenses import scan_licenses
 from kinset.llm.mixing import mix_sources
 from kinset.llm.ngram_join import ngram_jaccard_join
@@ -99,6 +100,11 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "placed")
 
 
+def op10_lattice_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate classes of all embeddings at a cosine of 0.95."""
+    return near_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_phrase_fingerprints": op2_phrase_fingerprints,
@@ -108,6 +114,7 @@ QUERIES = {
     "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
+    "op10_lattice_vectors": op10_lattice_vectors,
 }
 
 SQL: dict[str, str] = {}
