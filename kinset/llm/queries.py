@@ -13,6 +13,7 @@ from kinset.llm.phrases import edited_fingerprints
 from kinset.llm.pieces import encode_texts
 from kinset.llm.repeats import remove_repeats
 from kinset.llm.substrings import remove_known_runs
+from kinset.llm.toolcalls import as_tool_chat, link_tool_calls, tool_schemas
 from kinset.llm.toxicity import CUT, score, train
 
 
@@ -42,6 +43,48 @@ def op2_phrase_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Tools of the derived chats: parameters, their types, whether they are required (fixed values).
+TOOLS = {
+    "search": {"query": ("string", True), "limit": ("integer", True)},
+    "count": {"query": ("string", True), "limit": ("number", False)},
+    "rate": {"query": ("string", True), "limit": ("integer", False), "deep": ("boolean", False)},
+}
+
+
+def op3_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls and results in chats derived from all conversations."""
+    chats = as_tool_chat(table(spark, sf, "conversations"))
+    return link_tool_calls(chats, tool_schemas(spark, TOOLS))
+
+
+#: The same straight from the conversations: chains of calls two turns apart, numbered by window.
+OP3_SQL = """with m as (select conv_id, turn, role, text,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+')) as w,
+    regexp_extract(coalesce(text, ''), '^([A-Za-z]*)', 1) as q from conversations),
+  c as (select conv_id, turn, w, q, 'call_' || conv_id || '_' || turn as call_id,
+      (['search', 'count', 'rate', 'other'])[w % 4 + 1] as tool, w % 5 <> 0 as chained
+    from (select conv_id, turn, min(w) as w, min(q) as q from m where role = 'assistant' group by all)),
+  t as (select conv_id, turn, count(*) as times from m where role = 'assistant' group by all),
+  r as (select conv_id, turn - 1 as turn, turn as result_turn, min(text) as result
+    from m where role = 'user' group by all),
+  s as (select *, sum(case when chained and before is not distinct from turn - 2 then 0 else 1 end)
+        over (partition by conv_id, turn % 2 order by turn) as chain
+    from (select *, lag(turn) over (partition by conv_id, turn % 2 order by turn) as before from c)),
+  l as (select *, row_number() over (partition by conv_id, turn % 2, chain order by turn) - 1 as level from s),
+  p as (select l.*, w % 11 = 0 as broken, w % 6 <> 0 as has_limit, w % 7 = 0 as text_limit, w % 13 = 0 as deep from l)
+select conv_id, call_id, turn, tool, level::bigint as level, result_turn, times,
+  problems = '' as valid, problems,
+  '{"arguments":' || case when broken then '"none"' else '{' || case when deep then '"deep":true,' else '' end
+      || case when has_limit then '"limit":' || case when text_limit then '"' || w || '"' else w::varchar end || ',' else '' end
+      || '"query":"' || q || '"}' end
+    || ',"id":"' || call_id || '","name":"' || tool || '","result":' || coalesce(to_json(result)::varchar, 'null') || '}' as line
+from (select p.*, case when tool = 'other' then 'unknown tool' when broken then 'no object' else concat_ws(';',
+      case when not has_limit and tool = 'search' then 'missing limit' end,
+      case when has_limit and text_limit then 'type of limit' end,
+      case when deep and tool <> 'rate' then 'unknown deep' end) end as problems from p) x
+  left join r using (conv_id, turn) join t using (conv_id, turn)"""
+
+
 def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Digest of the ids of every document and of the text decoded from them."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -108,6 +151,7 @@ def op10_lattice_vectors(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_phrase_fingerprints": op2_phrase_fingerprints,
+    "op3_tool_calls": op3_tool_calls,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_suffix_array": op5_suffix_array,
     "op6_substring_dedup": op6_substring_dedup,
@@ -117,4 +161,4 @@ QUERIES = {
     "op10_lattice_vectors": op10_lattice_vectors,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_tool_calls": OP3_SQL}
