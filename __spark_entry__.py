@@ -86,7 +86,7 @@ def _group_records(spark, sf):
 
 
 def _records(spark, sf):
-    """Struct to bracketed text and back, to text with quotes and tabs and back."""
+    """Struct to bracketed text and back, and text to numbers."""
     table = k.with_record(junctions(spark, sf), ["id", "j_call", "seq"])
     text = F.concat(F.lit("["), F.concat_ws(",", "Seq.id", "Seq.j_call", "Seq.seq"), F.lit("]"))
     parsed = table.select(k.parse_record(text).alias("r"), F.col("id").cast("string").alias("t"))
@@ -161,12 +161,51 @@ def _compare(spark, sf):
 
 
 def _route(spark, sf):
-    return k.route_by_size(
-        junctions(spark, sf), LG, "hamming", WIDE,
-        [(10, "leader"), (15, "linkage"), (None, "two_stage")], OPTIONS,
+    """A method for each group by a column of the caller's, here made of the groups' sizes."""
+    df = junctions(spark, sf)
+    how = F.when(F.col("n") < 10, "leader").when(F.col("n") < 15, "linkage").otherwise("two_stage")
+    routed = df.join(k.group_sizes(df, LG).select(*LG, how.alias("how")), LG)
+    return k.route_groups(
+        routed, LG, "hamming", WIDE, "how", ["leader", "linkage", "two_stage"], OPTIONS
     )
 
 
+def padded(spark: SparkSession, sf: str) -> DataFrame:
+    """Order keys as strings of one length, all in one group: dense, and far above a bucket."""
+    return spark.read.parquet(f"{sf}/orders.parquet").select(
+        F.lit(0).alias("g"), F.col("o_orderkey").cast("bigint").alias("id"),
+        F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("seq"),
+    )
+
+
+def _lines(spark, sf):
+    """Grouped lines with quotes, tabs and repeated headers made of customers, and read back."""
+    header = "gid\trecord"
+    record = F.concat_ws(",", F.col("c_custkey").cast("string"), "c_mktsegment", "c_name")
+    line = F.concat(F.col("c_nationkey").cast("string"), F.lit('\t"'), record, F.lit('"'))
+    also = F.when(F.col("c_custkey") % 100 == 0, F.array(F.lit(header), line)).otherwise(F.array(line))
+    lines = spark.read.parquet(f"{sf}/customer.parquet").select(F.explode(also).alias("value"))
+    return k.parse_grouped(lines, header)
+
+
+def _fasta(spark, sf):
+    """FASTA records with wrapped lines made of customers, and read back."""
+    name = F.col("c_name")
+    text = F.concat(F.lit(">"), "c_mktsegment", F.lit("\n"), F.substring(name, 1, 9), F.lit("\r\n"), F.substring(name, 10, 99))
+    chunks = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", text.alias("value"))
+    return k.parse_fasta(chunks, ["c_custkey"])
+
+
+def _tree_cut(spark, sf):
+    df = junctions(spark, sf)
+    return k.cut(df, LG, k.mst_edges(df, LG, "hamming", 0.25), WIDE)
+
+
+def _to_ten(spark, sf):
+    df = junctions(spark, sf)
+    return k.cut_merges(df, LG, k.linkage_merges(df, LG, "hamming", "average"), k=10)
+
+
 def _agglomerate(spark, sf):
     """Average linkage over the similarities of close junctions, others being 0."""
     near = k.near_pairs(junctions(spark, sf), LG, "hamming", WIDE)
@@ -213,6 +252,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "condense_summaries": _summaries,
         "two_stage": lambda s, d: k.two_stage(jn(s, d), LG, "hamming", WIDE, TIGHT, TIGHT),
         "route_by_size": _route,
+        "tree_cut": _tree_cut,
+        "single_linkage_dense": lambda s, d: k.single_linkage(padded(s, d), ["g"], "hamming", 0.2),
+        "cluster_groups_mst": lambda s, d: k.cluster_groups(jn(s, d), LG, 1, "hamming", WIDE),
+        "cluster_groups_two_stage": lambda s, d: k.cluster_groups(
+            jn(s, d), LG, 3, "hamming", WIDE, OPTIONS
+        ),
+        "condense_records": lambda s, d: k.condense(jn(s, d), LG, "hamming", 0.0, WIDE),
+        "sequence_members": lambda s, d: k.sequence_members(parts(s, d), BRAND, "edit"),
+        "parse_grouped": _lines,
+        "parse_fasta": _fasta,
+        "average_to_ten": _to_ten,
         "cluster_groups": lambda s, d: k.cluster_groups(jn(s, d), LG, 2, "hamming", WIDE),
         "compare_methods": _compare,
         "linkage_complete": _linkage("complete"),
@@ -353,6 +403,35 @@ def _sql_forest(t: float) -> str:
       from c a join c b on b.m = a.m - 1 where b.c > a.c"""
 
 
+def _sql_linkage(height: str, t: float | None, k: int | None = None) -> str:
+    """Rounds of mutual first choices by (height, smaller id, larger id) below ``t``; with ``k`` only
+    the lowest n - k merges of each group count. Names have 18 letters."""
+    below = "true" if t is None else f"h < {t}"
+    rounds = f"""with recursive {_J},
+      d as (select a.id as x, b.id as y, hamming(a.seq, b.seq) as m
+            from j a join j b using ({_G}) where a.id <> b.id),
+      st as (select 0 as it, id, id as cl, id as was, 0::double as h, true as moved from j union all (
+        with cur as (select id, cl from st where it < 200 and moved),
+        e as (select p.cl as a, q.cl as b, {height} as h
+              from d join cur p on p.id = d.x join cur q on q.id = d.y where p.cl <> q.cl group by 1, 2),
+        best as (select a, min(row(h, least(a, b), greatest(a, b))) as k from e where {below} group by a),
+        mv as (select k[1] as h, k[2] as keep, k[3] as gone from (select k from best group by k having count(*) = 2))
+        select (select max(it) from st) + 1, cur.id, coalesce(mv.keep, cur.cl), cur.cl, mv.h,
+               (select count(*) from mv) > 0
+        from cur left join mv on mv.gone = cur.cl))"""
+    if k is None:
+        return f"""{rounds} select {_G}, id, cl as cluster_id from st join j using (id)
+          where it = (select max(it) from st)"""
+    return f"""{rounds},
+      mg as (select distinct it, cl as keep, was as gone, h from st where cl <> was),
+      o as (select {_G}, keep, gone, row_number() over (partition by {_G} order by round(h, 12), it, keep, gone) as step
+            from mg join j on j.id = keep),
+      sz as (select {_G}, count(*) as n from j group by all),
+      kept as (select keep, gone from o join sz using ({_G}) where step <= n - {k}),
+      up as (select id, id as root from j union select up.id, kept.keep from up join kept on kept.gone = up.root)
+      select {_G}, id, min(root) as cluster_id from up join j using (id) group by all"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "group_sizes": f"with {_J} select {_G}, count(*) as n from j group by all",
@@ -420,9 +499,32 @@ def oracle_sql() -> dict[str, str]:
             select {_G}, id, ld.cluster_id from ld join n using ({_G}) where n < 10
             union all select {_G}, id, sl.cluster_id from sl join n using ({_G}) where n >= 10 and n < 15
             union all select {_G}, id, two.cluster_id from two join n using ({_G}) where n >= 15""",
-        "cluster_groups": f"""with recursive {_J}, {_N}, {_ALL}
-            select {_G}, id, ld.cluster_id from ld join n using ({_G}) where n < 100
-            union all select {_G}, id, sl.cluster_id from sl join n using ({_G}) where n >= 100""",
+        "cluster_groups": _sql_single("hamming", WIDE),
+        "cluster_groups_mst": _sql_single("hamming", WIDE),
+        "cluster_groups_two_stage": f"with recursive {_J}, {_TWO} select {_G}, id, cluster_id from two",
+        "tree_cut": _sql_single("hamming", WIDE),
+        # Two keys of 10 digits are closer than 0.2 if they differ in one place only: then they agree
+        # on the other nine.
+        "single_linkage_dense": """with recursive j as (select o_orderkey::bigint as id, lpad(o_orderkey::varchar, 10, '0') as seq from orders),
+            b as (select id, i, seq[:i - 1] || '_' || seq[i + 1:] as k from j, range(1, 11) t(i)),
+            f as (select k, min(id) as head from b group by k),
+            e as (select distinct b.id as src, head as dst from b join f using (k) where head <> id),
+            u as (select src, dst from e union select dst, src from e),
+            lab as (select 0 as it, id, id as c, true as moved from j union all (
+              with cur as (select id, c from lab where it < 200 and moved),
+              n as (select u.src as id, min(cur.c) as c from u join cur on cur.id = u.dst group by 1),
+              nx as (select cur.id, least(cur.c, coalesce(n.c, cur.c)) as c, cur.c as old from cur left join n using (id))
+              select (select max(it) from lab) + 1, id, c, (select bool_or(c <> old) from nx) from nx))
+            select 0 as g, id, c as cluster_id from lab where it = (select max(it) from lab)""",
+        "condense_records": _sql_leader("hamming", WIDE),
+        "sequence_members": f"""with {_P} select p_brand, id, min(id) over (partition by p_brand, seq) as seq_id from j""",
+        "parse_grouped": """select c_nationkey::integer as gid, c_custkey::bigint as id, c_mktsegment as label, c_name as seq
+            from customer""",
+        "parse_fasta": """select row_number() over (order by c_custkey) - 1 as id, c_mktsegment as label, c_name as seq
+            from customer""",
+        "linkage_complete": _sql_linkage("max(m)::double / 18", WIDE),
+        "linkage_average": _sql_linkage("sum(m)::double / (18 * count(*))", WIDE),
+        "average_to_ten": _sql_linkage("sum(m)::double / (18 * count(*))", None, 10),
         "compare_methods": f"""with recursive {_J}, {_N}, {_ALL}, {_TWO}, {_CONDENSED},
             top as (select {_G} from n order by n desc, {_G} limit 10),
             m as (select {_G}, 'mst' as method, id, cluster_id from sl

@@ -31,17 +31,25 @@ from kinset.operators.labels import (
     labels,
 )
 from kinset.operators.leader import leader_clusters
-from kinset.operators.linkage import agglomerate, cut_merges, linkage_clusters
+from kinset.operators.linkage import agglomerate, cut_merges, linkage_clusters, linkage_merges
 from kinset.operators.mst import cut, mst_edges
-from kinset.operators.near import distance_pairs, near_pairs, nearest
+from kinset.operators.near import distance_pairs, expand_copies, near_pairs, nearest, sequence_members
 from kinset.plans.jobs import (
     cluster_groups,
     compare_methods,
-    route_by_size,
+    route_groups,
     threshold_sweep,
 )
 from kinset.plans.session import build_session
-from kinset.sources.readers import as_sequences, read_annotated, read_fasta, read_grouped, split_rejects
+from kinset.sources.readers import (
+    as_sequences,
+    parse_fasta,
+    parse_grouped,
+    read_annotated,
+    read_fasta,
+    read_grouped,
+    split_rejects,
+)
 from kinset.sources.writers import write_clusters, write_labels
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -17,11 +17,11 @@ def with_record(
     return df.withColumn(name, F.struct(*columns))
 
 
-def to_int(text: Column, on_error: str = "fail") -> Column:
+def to_int(text: Column, on_error: str = "fail", kind: str = "bigint") -> Column:
     """Text to a whole number; ``on_error='reject'`` gives null for bad text."""
     if on_error not in ("fail", "reject"):
         raise ValueError(f"on_error must be 'fail' or 'reject', not {on_error!r}")
-    return text.cast("bigint") if on_error == "fail" else text.try_cast("bigint")
+    return text.cast(kind) if on_error == "fail" else text.try_cast(kind)
 
 
 def strip_quotes(text: Column) -> Column:
@@ -30,6 +30,8 @@ def strip_quotes(text: Column) -> Column:
 
 def record_fields(text: Column, on_error: str = "fail") -> Column:
     """``index,label,sequence`` to a struct; fields after the third are ignored."""
+    if on_error == "fail":
+        text = F.coalesce(text, F.raise_error(F.lit("a line without a record")).cast("string"))
     parts = F.split(text, ",")
     get = F.element_at if on_error == "fail" else F.try_element_at
     return F.struct(

@@ -8,12 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinset.operators.joins import join_keys
-from kinset.plans.limits import LIMITS
 from kinset.plans.session import settle
 
-GENE_GROUP = ("V_CALL", "J_CALL", "JUNCTION_LENGTH")
-
-
 def group_sizes(df: DataFrame, group: Sequence[str]) -> DataFrame:
     """Records per group."""
     return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
@@ -58,11 +54,10 @@ def with_ordinal(
 
 
 def _chunks(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], list_rows: int | None
+    df: DataFrame, group: Sequence[str], order: Sequence[str], list_rows: int
 ) -> DataFrame:
     numbered = with_ordinal(df, order, group, "_number")
-    per_list = list_rows or LIMITS.list_rows
-    return numbered.withColumn("part", F.expr(f"_number div {int(per_list)}"))
+    return numbered.withColumn("part", F.expr(f"_number div {int(list_rows)}"))
 
 
 def _struct_sorted(order: Sequence[str], fields: Sequence[str]) -> Column:
@@ -74,9 +69,9 @@ def collect_groups(
     df: DataFrame,
     group: Sequence[str],
     fields: Sequence[str],
+    list_rows: int,
     order: Sequence[str] = ("id",),
     name: str = "SeqList",
-    list_rows: int | None = None,
 ) -> DataFrame:
     """Records of each group as a sorted array of structs.
 
@@ -93,8 +88,8 @@ def collect_group_columns(
     df: DataFrame,
     group: Sequence[str],
     columns: dict[str, str],
+    list_rows: int,
     order: Sequence[str] = ("id",),
-    list_rows: int | None = None,
 ) -> DataFrame:
     """Parallel lists per group, ``columns`` mapping source to list names.
 

@@ -179,15 +179,13 @@ def linkage_merges(
     group: Sequence[str],
     metric: str,
     linkage: str = "average",
-    max_pairs: int | None = None,
 ) -> DataFrame:
     """Complete merge table of the records of each group.
 
-    Needs the distance table of each group, hence the bound ``max_pairs`` (see
-    ``distance_pairs``); copies are merged first, at height 0. Large groups are
-    a case for ``two_stage`` or a threshold.
+    Needs the distance table of each group; copies are merged first, at height
+    0. Large groups are a case for ``two_stage`` or a threshold.
     """
-    pairs = distance_pairs(df, group, metric, max_pairs=max_pairs)
+    pairs = distance_pairs(df, group, metric)
     merges = agglomerate(pairs, group, linkage)
     distinct = distinct_sequences(df, group, metric)
     own = distinct.table.select(*group, "seq", F.col("id").alias("left_id"))
@@ -328,14 +326,12 @@ def linkage_clusters(
     thres: float,
     linkage: str = "single",
     on_unequal: str = "raise",
-    max_pairs: int | None = None,
 ) -> DataFrame:
     """Cluster of every record by hierarchical clustering cut at ``thres``.
 
     Single and complete linkage need the close pairs only, average linkage under
     Hamming the close pairs and letter counts. Average linkage under the edit
-    metric needs the distances within each component of the close pairs, bounded
-    by ``max_pairs``.
+    metric needs the distances within each component of the close pairs.
     """
     if linkage not in LINKAGES:
         raise ValueError(f"linkage must be one of {LINKAGES}, not {linkage!r}")
@@ -350,15 +346,15 @@ def linkage_clusters(
     else:
         linked = linked_components(distinct, thres).withColumnRenamed("cluster_id", "comp")
         placed = join_keys(distinct.table, linked, ["id"], "inner")
-        pairs = _weighted_pairs(placed, metric, max_pairs)
+        pairs = _weighted_pairs(placed, metric)
         merges = agglomerate(pairs, ["comp"], "average", thres)
     roots = components(merges.select(F.col("left_id").alias("src"), F.col("right_id").alias("dst")))
     return restore(df, distinct, roots.withColumnRenamed("root", "cluster_id"))
 
 
-def _weighted_pairs(placed: DataFrame, metric: str, max_pairs: int | None) -> DataFrame:
+def _weighted_pairs(placed: DataFrame, metric: str) -> DataFrame:
     """Distances within components, weighted by the copies already counted."""
-    pairs = distance_pairs(placed, ["comp"], metric, max_pairs=max_pairs)
+    pairs = distance_pairs(placed, ["comp"], metric)
     weights = placed.select("id", "copies")
     for end in ("src", "dst"):
         side = weights.select(F.col("id").alias(end), F.col("copies").alias(f"_{end}"))

@@ -251,24 +251,11 @@ def is_dense(distinct: Distinct, table: DataFrame, thres: float) -> bool:
     return candidate_load(distinct, table, thres) > LIMITS.pairs_per_row * distinct.rows
 
 
-def _full_count(distinct: Distinct) -> int:
-    sizes = group_sizes(distinct.table, distinct.group)
-    n = F.col("n").cast("double")
-    return int(sizes.agg(F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0))).first()[0])
-
-
-def _every_pair(distinct: Distinct, carry: Sequence[str], max_pairs: int | None) -> DataFrame:
+def _every_pair(distinct: Distinct, carry: Sequence[str]) -> DataFrame:
     """All pairs within groups, for results that are all pairs by definition.
 
-    The number of pairs is known from the group sizes, and an input that would
-    exceed ``max_pairs`` is refused. Large groups are met tile by tile.
+    Large groups are met tile by tile.
     """
-    allowed = LIMITS.full_pairs if max_pairs is None else max_pairs
-    expected = _full_count(distinct)
-    if expected > allowed:
-        raise ValueError(
-            f"{expected} pairs exceed max_pairs={allowed}; use near_pairs with a threshold"
-        )
     group = distinct.group
     table = spread(distinct.table).withColumn("_all", F.lit(0))
     if distinct.widest > LIMITS.bucket_rows:
@@ -292,18 +279,16 @@ def distance_pairs(
     group: Sequence[str],
     metric: str,
     symmetric: bool = False,
-    max_pairs: int | None = None,
     on_unequal: str = "raise",
 ) -> DataFrame:
     """The distance table of each group: every pair of distinct sequences.
 
-    The result grows with the square of the group, so it is for groups whose
-    pair count is bounded; see ``near_pairs`` for the others.
+    The result grows with the square of the group; see ``near_pairs`` for the others.
     """
     distinct = distinct_sequences(df, group, metric, on_unequal)
     if metric == "hamming" and distinct.uneven:
         distinct = _by_length(distinct)
-    pairs = _every_pair(distinct, ("copies",), max_pairs).drop("_len")
+    pairs = _every_pair(distinct, ("copies",)).drop("_len")
     return both_ways(pairs) if symmetric else pairs
 
 
@@ -386,7 +371,6 @@ def near_pairs(
     thres: float,
     strategy: str = "auto",
     on_unequal: str = "raise",
-    max_pairs: int | None = None,
 ) -> DataFrame:
     """Pairs of distinct sequences of one group at distance strictly below
     ``thres``, with the number of copies of either.
@@ -402,7 +386,7 @@ def near_pairs(
     if metric == "hamming" and distinct.uneven and strategy in ("pivot", "allpairs"):
         distinct = _by_length(distinct)
     if strategy == "allpairs":
-        pairs = _every_pair(distinct, ("copies",), max_pairs).where(F.col("dist") < thres)
+        pairs = _every_pair(distinct, ("copies",)).where(F.col("dist") < thres)
     elif thres <= 0:
         # Nothing is strictly closer than zero.
         pairs = close_pairs(distinct, within=0, carry=("copies",)).where(F.lit(False))
@@ -414,23 +398,14 @@ def near_pairs(
 
 
 def expand_copies(
-    df: DataFrame, group: Sequence[str], metric: str, pairs: DataFrame, max_pairs: int | None = None
+    df: DataFrame, group: Sequence[str], metric: str, pairs: DataFrame
 ) -> DataFrame:
     """Turn pairs of distinct sequences into pairs of records.
 
-    Copies multiply: the number of record pairs is counted first, and more than
-    ``max_pairs`` are refused.
+    Copies multiply, so the result grows with the square of their number;
+    ``sequence_members`` says the same in one row per record.
     """
-    allowed = LIMITS.full_pairs if max_pairs is None else max_pairs
     distinct = distinct_sequences(df, group, metric, "skip")
-    own = F.col("copies").cast("double") * (F.col("copies") - 1) / 2
-    expected = (distinct.table.agg(F.coalesce(F.sum(own), F.lit(0.0))).first()[0]) + (
-        pairs.agg(
-            F.coalesce(F.sum(F.col("src_copies").cast("double") * F.col("dst_copies")), F.lit(0.0))
-        ).first()[0]
-    )
-    if expected > allowed:
-        raise ValueError(f"{int(expected)} record pairs exceed max_pairs={allowed}")
     named = distinct.table.select(*group, "seq", F.col("id").alias("_seq_id"))
     records = distinct.attach_to(df.select(*group, "id", "seq"), named, "inner").select("_seq_id", F.col("id").alias("_id"))
     firsts = records.withColumnsRenamed({"_seq_id": "src", "_id": "_a"})
@@ -444,6 +419,18 @@ def expand_copies(
     return across.select(*picked).unionByName(within.select(*picked))
 
 
+def sequence_members(df: DataFrame, group: Sequence[str], metric: str) -> DataFrame:
+    """The distinct sequence of every record: ``(group, id, seq_id)``.
+
+    ``seq_id`` is the smallest id with the record's sequence, the id under which
+    ``near_pairs`` reports it. Records without a sequence are left out.
+    """
+    distinct = distinct_sequences(df, group, metric, "skip")
+    named = distinct.table.select(*group, "seq", F.col("id").alias("seq_id"))
+    records = df.select(*group, F.col("id").cast("bigint").alias("id"), "seq")
+    return distinct.attach_to(records, named, "inner").select(*group, "id", "seq_id")
+
+
 def nearest(
     df: DataFrame,
     group: Sequence[str],

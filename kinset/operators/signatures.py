@@ -40,7 +40,12 @@ class HammingBlocks:
 
     def rows(self, table: DataFrame, carry: Sequence[str]) -> DataFrame:
         n = F.length("seq")
-        bound = F.lit(self.within) if self.thres is None else F.floor(F.lit(self.thres) * n)
+        if self.thres is None:
+            bound = F.lit(self.within)
+        else:
+            # The most mismatches that stay strictly below the threshold.
+            most = F.floor(F.lit(self.thres) * n)
+            bound = most - F.coalesce((F.try_divide(most, n) >= self.thres).cast("int"), F.lit(0))
         return self._split(
             table.select(
                 *carry,

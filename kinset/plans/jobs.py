@@ -1,4 +1,4 @@
-"""Whole jobs: one method over all groups, methods by group size, sweeps over
+"""Whole jobs: one method over all groups, methods by a given column, sweeps over
 thresholds, methods side by side."""
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from kinset.operators.components import components, single_linkage
 from kinset.operators.condense import Leaves, condense, two_stage
 from kinset.operators.copies import Distinct, distinct_sequences
-from kinset.operators.groups import group_sizes, top_groups
+from kinset.operators.groups import top_groups
 from kinset.operators.joins import attach
 from kinset.operators.labels import cluster_counts
 from kinset.operators.leader import leader_clusters
 from kinset.operators.linkage import linkage_clusters
 from kinset.operators.mst import cut, mst_edges
 from kinset.operators.near import close_pairs, is_dense, union_all
-from kinset.plans.session import is_empty, settle, settle_counted
+from kinset.plans.session import settle, settle_counted
 
 METHODS: dict[str, Callable[..., DataFrame]] = {
     "mst": single_linkage,
@@ -28,10 +28,7 @@ METHODS: dict[str, Callable[..., DataFrame]] = {
     "two_stage": two_stage,
 }
 
-# Group sizes (exclusive upper bounds) at which the routed
-# methods change, and the job's numeric method codes.
-LINKAGE_RULES = ((100, "leader"), (None, "linkage"))
-TWO_STAGE_RULES = ((10, "leader"), (1000, "linkage"), (None, "two_stage"))
+# The job's numeric method codes.
 METHOD_CODES = {1: "mst", 2: "linkage", 3: "two_stage"}
 
 
@@ -46,42 +43,32 @@ def run_method(
     return METHODS[method](df, group, metric, thres, **options)
 
 
-def route_by_size(
+def route_groups(
     df: DataFrame,
     group: Sequence[str],
     metric: str,
     thres: float,
-    rules: Sequence[tuple[int | None, str]] = LINKAGE_RULES,
+    route: str,
+    methods: Sequence[str],
     options: dict[str, dict] | None = None,
 ) -> DataFrame:
-    """Cluster each group by the first rule whose bound exceeds its number of
-    records; a bound of None takes the rest."""
-    bounds = [bound for bound, _ in rules]
-    if bounds[-1] is not None or any(b is None for b in bounds[:-1]):
-        raise ValueError("the last rule, and only that, needs the bound None")
-    for _, method in rules:
+    """Cluster each group by the method that its column ``route`` names.
+
+    ``methods`` lists the methods in use; every record of a group must carry the
+    same one of them.
+    """
+    for method in methods:
         if method not in METHODS:
             raise ValueError(f"method must be one of {sorted(METHODS)}, not {method!r}")
-    rule = F.lit(len(rules) - 1)
-    for i in reversed(range(len(rules) - 1)):
-        rule = F.when(F.col("n") < bounds[i], i).otherwise(rule)
-    records = df.select(*group, "id", "seq", F.lit(0).alias("_all"))
-    routes, groups = settle_counted(group_sizes(records, [*group, "_all"]).withColumn("_rule", rule))
-    rows = routes.agg(F.sum("n")).first()[0] if groups else 0
-    counts = routes.withColumnRenamed("n", "_n")
-    routed = settle(
-        attach(records, routes.drop("n"), [*group, "_all"], rows, "inner", counts)
-    )
+    named = F.col(route).isin(*methods)
+    checked = F.when(named, F.col(route)).otherwise(F.raise_error(F.lit("no such method among methods")))
+    routed = settle(df.select(*group, "id", "seq", checked.alias("_route")))
     parts = []
-    for i, (_, method) in enumerate(rules):
-        mine = routed.where(F.col("_rule") == i).select(*group, "id", "seq")
-        if is_empty(mine):
-            continue
+    for method in methods:
+        mine = routed.where(F.col("_route") == method).select(*group, "id", "seq")
         parts.append(
             run_method(method, mine, group, metric, thres, **(options or {}).get(method, {}))
         )
-    if not parts:
-        return single_linkage(df, group, metric, thres)
     return union_all(parts)
 
 
@@ -93,17 +80,13 @@ def cluster_groups(
     thres: float = 0.15,
     options: dict[str, dict] | None = None,
 ) -> DataFrame:
-    """Cluster all groups of a table: ``mst`` (1), ``linkage`` (2: leader
-    clustering for small groups) or ``two_stage`` (3: leader, linkage, or
-    two-stage by group size)."""
+    """Cluster all groups of a table by one method: ``mst`` (1), ``linkage`` (2)
+    or ``two_stage`` (3), whatever their sizes. ``options`` holds further
+    arguments of the methods by name."""
     method = METHOD_CODES.get(method, method) if isinstance(method, int) else method
-    if method == "mst":
-        return single_linkage(df, group, metric, thres)
-    if method == "linkage":
-        return route_by_size(df, group, metric, thres, LINKAGE_RULES, options)
-    if method == "two_stage":
-        return route_by_size(df, group, metric, thres, TWO_STAGE_RULES, options)
-    raise ValueError(f"method must be 1, 2, 3 or one of {list(METHOD_CODES.values())}")
+    if method not in METHOD_CODES.values():
+        raise ValueError(f"method must be 1, 2, 3 or one of {list(METHOD_CODES.values())}")
+    return run_method(method, df, group, metric, thres, **(options or {}).get(method, {}))
 
 
 # Thresholds of the sweep.
@@ -220,7 +203,7 @@ __all__ = [
     "compare_counts",
     "compare_methods",
     "cut",
-    "route_by_size",
+    "route_groups",
     "run_method",
     "threshold_sweep",
 ]

@@ -18,10 +18,6 @@ class Limits:
     plain_join_rows: int = 2_000_000
     # A key is hot above 1/hot_share of the rows, so at most hot_share are.
     hot_share: int = 1_000
-    # Records of one group in one collected list.
-    list_rows: int = 100_000
-    # Pairs an operator may emit when its result is all pairs by definition.
-    full_pairs: int = 2_000_000_000
 
 
 LIMITS = Limits()

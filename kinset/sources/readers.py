@@ -50,46 +50,48 @@ def split_rejects(df: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame
     return df.where(good), df.where(~good)
 
 
+def parse_grouped(lines: DataFrame, header: str | None = None, on_error: str = "fail") -> DataFrame:
+    """Column ``value`` with lines ``gid <tab> "index,label,sequence"`` to records.
+
+    Quotes are removed, not interpreted. Lines equal to ``header`` are dropped
+    wherever they occur. A short line or a number out of range fails, or with
+    ``on_error='reject'`` gives nulls, for ``split_rejects`` to set apart.
+    """
+    if header is not None:
+        lines = lines.where(~F.col("value").eqNullSafe(F.lit(header)))
+    parts = F.split(strip_quotes(F.col("value")), "\t")
+    gid = to_int(F.try_element_at(parts, F.lit(1)), on_error, "int")
+    fields = record_fields(F.try_element_at(parts, F.lit(2)), on_error)
+    return lines.select(gid.alias("gid"), fields.alias("_r")).select("gid", "_r.id", "_r.label", "_r.seq")
+
+
 def read_grouped(
     spark: SparkSession, path: str, p: int | None = None, on_error: str = "fail"
 ) -> DataFrame:
-    """Lines ``gid <tab> "index,label,sequence"`` under a header line.
+    """Text files of ``parse_grouped`` lines under a header line.
 
-    A line equal to the header is dropped wherever it occurs. ``p`` is the least
-    number of partitions. ``on_error='reject'`` gives nulls for a bad line, for
-    ``split_rejects`` to set apart.
+    The header is the first line of the first file. ``p`` is the least number of
+    partitions, as far as the files' bytes can be cut.
     """
-    # Quotes are removed from the text, not interpreted.
-    lines = spark.read.csv(path, sep="\t", header=True, quote="")
-    first, second = lines.columns[:2]
-    table = lines.select(F.col(f"`{first}`").alias("gid"), F.col(f"`{second}`").alias("_record"))
-    repeated = (F.col("gid") == first) & (F.col("_record") == second)
-    table = table.where(~F.coalesce(repeated, F.lit(False)))
-    if p is not None and table.rdd.getNumPartitions() < p:
-        table = table.repartition(p)
-    fields = record_fields(strip_quotes(F.col("_record")), on_error)
-    return table.select(to_int(F.col("gid"), on_error).cast("int").alias("gid"), fields.alias("_r")).select(
-        "gid", "_r.id", "_r.label", "_r.seq"
-    )
+    lines = spark.read.text(path)
+    first = lines.first()
+    if p is not None:
+        lines = lines.repartition(p)
+    return parse_grouped(lines.where("value <> ''"), None if first is None else first["value"], on_error)
 
 
-def read_fasta(
-    spark: SparkSession, path: str, keep_marker: bool = False, odd_tail: str = "reject"
+def parse_fasta(
+    chunks: DataFrame, order: list[str], keep_marker: bool = False, odd_tail: str = "reject"
 ) -> DataFrame:
-    """FASTA records with ids counted from 0 in file order.
+    """Column ``value`` with one FASTA record each (a leading ``>`` may be there or not)
+    to records with ids counted from 0 in ``order``.
 
-    A record starts at a line beginning with ``>``; wrapped sequence lines are
-    joined. A label without a sequence gets a null sequence, or with
-    ``odd_tail='repeat'`` its own label line as the sequence.
+    Wrapped sequence lines are joined. A label without a sequence gets a null
+    sequence, or with ``odd_tail='repeat'`` its own label line as the sequence.
     """
     if odd_tail not in ("reject", "repeat"):
         raise ValueError(f"odd_tail must be 'reject' or 'repeat', not {odd_tail!r}")
-    chunks = spark.read.option("lineSep", "\n>").text(path).select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-        F.regexp_replace("value", r"^>|\r", "").alias("_text"),
-    )
+    chunks = chunks.select(*order, F.regexp_replace("value", r"^>|\r", "").alias("_text"))
     chunks = chunks.where(F.trim("_text") != "")
     parts = F.split("_text", "\n", 2)
     body = F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), r"\s", "")
@@ -97,9 +99,21 @@ def read_fasta(
     marked = F.concat(F.lit(">"), label)
     empty = marked if odd_tail == "repeat" else F.lit(None).cast("string")
     records = chunks.select(
-        "_file", "_block", "_row",
+        *order,
         (marked if keep_marker else label).alias("label"),
         F.when(body == "", empty).otherwise(body).alias("seq"),
     )
-    numbered = with_ordinal(records, ["_file", "_block", "_row"], (), "id")
-    return numbered.select("id", "label", "seq")
+    return with_ordinal(records, order, (), "id").select("id", "label", "seq")
+
+
+def read_fasta(
+    spark: SparkSession, path: str, keep_marker: bool = False, odd_tail: str = "reject"
+) -> DataFrame:
+    """FASTA files; a record starts at a line beginning with ``>``. See ``parse_fasta``."""
+    chunks = spark.read.option("lineSep", "\n>").text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    return parse_fasta(chunks, ["_file", "_block", "_row"], keep_marker, odd_tail)

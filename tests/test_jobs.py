@@ -1,8 +1,8 @@
 import pytest
+from pyspark.errors import PySparkException
 
 import models
-from kinset import cluster_groups, compare_methods, route_by_size, threshold_sweep
-from kinset.operators.linkage import linkage_merges  # noqa: F401
+from kinset import cluster_groups, compare_methods, route_groups, threshold_sweep
 
 SCHEMA = "g int, id long, seq string"
 
@@ -19,26 +19,29 @@ def as_map(members):
     return {r.id: r.cluster_id for r in members.collect()}
 
 
-def test_route_by_size(spark):
+def test_route_groups(spark):
     rows = rows_of_sizes()
-    df = spark.createDataFrame(rows, SCHEMA)
-    got = as_map(route_by_size(df, ["g"], "hamming", 0.3, [(6, "leader"), (None, "mst")]))
+    routed = [(*r, "leader" if r[0] < 2 else "mst") for r in rows]
+    df = spark.createDataFrame(routed, SCHEMA + ", how string")
+    got = as_map(route_groups(df, ["g"], "hamming", 0.3, "how", ["leader", "mst"]))
     small = [r for r in rows if r[0] in (0, 1)]
     large = [r for r in rows if r[0] in (2, 3)]
     assert got == models.leader(small, "hamming", 0.3) | models.single(large, "hamming", 0.3)
-    for rules in ([(5, "leader")], [(None, "mst"), (None, "leader")], [(None, "other")]):
-        with pytest.raises(ValueError):
-            route_by_size(df, ["g"], "hamming", 0.3, rules)
+    with pytest.raises(ValueError):
+        route_groups(df, ["g"], "hamming", 0.3, "how", ["other"])
+    with pytest.raises(PySparkException, match="no such method"):
+        route_groups(df, ["g"], "hamming", 0.3, "how", ["leader"])
 
 
 def test_cluster_groups(spark):
     rows = rows_of_sizes()
     df = spark.createDataFrame(rows, SCHEMA)
-    # Group sizes below 100: method 2 is leader clustering throughout.
-    assert as_map(cluster_groups(df, ["g"], 2, "hamming", 0.3)) == models.leader(rows, "hamming", 0.3)
-    assert as_map(cluster_groups(df, ["g"], "mst", "hamming", 0.3)) == models.single(
-        rows, "hamming", 0.3
-    )
+    single = models.single(rows, "hamming", 0.3)
+    # One method for all groups, whatever their sizes.
+    for method in (1, 2, "mst"):
+        assert as_map(cluster_groups(df, ["g"], method, "hamming", 0.3)) == single
+    options = {"two_stage": {"inner": 0.0, "cut": 0.0}}
+    assert as_map(cluster_groups(df, ["g"], 3, "hamming", 0.3, options)) == single
     with pytest.raises(ValueError):
         cluster_groups(df, ["g"], 4)
 

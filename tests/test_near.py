@@ -1,7 +1,7 @@
 import pytest
 
 import models
-from kinset import distance_pairs, near_pairs, nearest
+from kinset import distance_pairs, near_pairs, nearest, sequence_members
 from kinset.operators.near import both_ways, expand_copies
 
 SCHEMA = "g int, id long, seq string"
@@ -98,8 +98,6 @@ def test_distance_table(spark, tight):
     want = {k: round(d, 9) for k, d in models.pairs(rows, "hamming").items()}
     assert as_map(full) == want
     assert both_ways(full).count() == 2 * len(want)
-    with pytest.raises(ValueError, match="max_pairs"):
-        distance_pairs(df, ["g"], "hamming", max_pairs=5)
 
 
 def test_expand_copies(spark):
@@ -108,8 +106,11 @@ def test_expand_copies(spark):
     got = expand_copies(df, ["g"], "hamming", near_pairs(df, ["g"], "hamming", 0.3))
     want = sorted((i, j) for d, i, j in models.record_edges(rows, "hamming") if d < 0.3)
     assert sorted((r.src, r.dst) for r in got.collect()) == want
-    with pytest.raises(ValueError, match="max_pairs"):
-        expand_copies(df, ["g"], "hamming", near_pairs(df, ["g"], "hamming", 0.3), max_pairs=1)
+    first = {}
+    for g, i, s in sorted(rows, key=lambda r: r[1]):
+        first.setdefault((g, s), i)
+    named = sequence_members(df, ["g"], "hamming").collect()
+    assert {r.id: r.seq_id for r in named} == {i: first[g, s] for g, i, s in rows}
 
 
 @pytest.mark.parametrize("metric,k", [("hamming", 1), ("hamming", 3), ("edit", 2)])

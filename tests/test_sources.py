@@ -13,6 +13,7 @@ from kinset import (
     from_json_records,
     group_sizes,
     hamming_norm,
+    parse_grouped,
     parse_record,
     read_annotated,
     read_fasta,
@@ -109,6 +110,13 @@ def test_grouped(spark, tmp_path):
         read_grouped(spark, broken).collect()
     good, rejected = split_rejects(read_grouped(spark, broken, on_error="reject"))
     assert [r.id for r in good.collect()] == [7] and rejected.count() == 2
+    # A line without a record, and a number out of range.
+    for line in ("2", '3000000000\t"1,a,AC"'):
+        bad = spark.createDataFrame([(line,), ('7\t"7,g,AC"',)], "value string")
+        with pytest.raises(PySparkException):
+            parse_grouped(bad).collect()
+        good, rejected = split_rejects(parse_grouped(bad, on_error="reject"))
+        assert [r.id for r in good.collect()] == [7] and rejected.count() == 1
 
 
 def test_fasta(spark, tmp_path):
