@@ -4,12 +4,14 @@ Rows of the incidence matrix are documents with different n-gram sets, columns
 are n-grams. Its product with its own transpose counts common n-grams. Only blocks
 that can hold a linked pair are multiplied:
 
-* Two linked sets share one of their first n - ceil(t n) + 1 n-grams in any common
-  order (rarest first here, by a counting sketch of fixed size, then by hash). Rows
-  without a shared n-gram among these link with nothing.
-* A row belongs to the block of rows that have the same most frequent shared n-gram
-  of these; large blocks are split by set size and hash. Two blocks meet if they
-  share one of the first n-grams and their set sizes allow a link.
+* A set of n n-grams may lack at most e = n - ceil(t n) of them in a linked set, so two
+  linked sets share one of their first e + 1 n-grams in any common order (rarest first
+  here, by a counting sketch of fixed size, then by hash). Half as many again are looked
+  at beyond these: of the first e + 1 + e/2 at least 1 + e/2 are shared, whichever of the
+  two sets ends sooner in the order. Rows below this bound link with nothing.
+* A row belongs to the block of its shared first n-gram that most rows have chosen;
+  large blocks are split by set size and hash. Two blocks meet if they share one of the
+  first n-grams and their set sizes allow a link.
 * Inside a pair of blocks, rows whose n-grams are too rarely shared for the bound of
   their size are dropped, overlaps are accumulated over slices of columns, and pairs
   below the bound that follows from their sizes are discarded.
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinset.llm.anchors import id_filter, rows_in
 from kinset.llm.text import (
     WordHasher,
     distinct,
@@ -138,25 +141,29 @@ def read_sketch(described: DataFrame) -> np.ndarray:
 
 
 def first_grams(docs: DataFrame, words: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """(gram, key, n): the first n-grams of each set, once per task and set."""
+    """(gram, key, n, lead): the first n-grams of each set, once per task and set; lead tells
+    those by which linked sets must meet from those that are only counted."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, counts = Shingler(words), set(), shared.value
         for batch in batches:
             for _, _, data, offsets in each_text(batch.column(1)):
-                grams, keys, sizes = [], [], []
+                grams, keys, sizes, leads = [], [], [], []
                 for s in shingler.sets(data, offsets):
                     n = len(s)
                     if n == 0 or (k := set_key(s)) in seen:
                         continue
                     seen.add(k)
-                    p = n - -(-num * n // den) + 1
+                    e = spare(n, num, den)
+                    p = min(n, e + 1 + e // 2)
                     order = (counts[s & np.uint64(CELLS - 1)].astype(np.uint64) << np.uint64(44)) | (s >> np.uint64(20))
-                    # All that are not after the p-th: rows of equal rank are not told apart.
-                    last = np.partition(order, p - 1)[p - 1]
-                    own = s[order <= last]
+                    # All that are not after the p-th: n-grams of equal rank are not told apart.
+                    ranked = np.partition(order, (e, p - 1))
+                    take = order <= ranked[p - 1]
+                    own = s[take]
                     grams.append(own)
+                    leads.append(order[take] <= ranked[e])
                     keys.append((k, len(own)))
                     sizes.append(n)
                 if not grams:
@@ -165,17 +172,41 @@ def first_grams(docs: DataFrame, words: int, num: int, den: int, sketch: np.ndar
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(np.concatenate(grams))),
                      pa.array(np.repeat(np.array([k for k, _ in keys], np.int64), times)),
-                     pa.array(np.repeat(np.array(sizes, np.int64), times))],
-                    names=["gram", "key", "n"],
+                     pa.array(np.repeat(np.array(sizes, np.int64), times)), pa.array(np.concatenate(leads))],
+                    names=["gram", "key", "n", "lead"],
                 )
 
-    return docs.mapInArrow(run, "gram long, key long, n long")
+    return docs.mapInArrow(run, "gram long, key long, n long, lead boolean")
+
+
+def spare(n: int, num: int, den: int) -> int:
+    """How many n-grams of a set of n may be missing in a linked set."""
+    return n - -(-num * n // den)
+
+
+def shared_grams(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """(gram, key, n, df): first n-grams that two rows or more have, of rows that share enough."""
+    several = "min(key) over (partition by gram) <> max(key) over (partition by gram)"
+    some = entries.withColumn("_s", F.expr(several)).where("_s").drop("_s").dropDuplicates(["gram", "key"])
+    some = settle(some)
+    # The smallest linked set has m = ceil(t n) n-grams; it shows 1 + e(m)/2 shared ones at least.
+    m = f"(({num} * n + {den - 1}) div {den})"
+    least = F.expr(f"1 + (({m} - ({num} * {m} + {den - 1}) div {den}) div 2)")
+    able = some.groupBy("key", "n").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= least).select("key")
+    leads = some.where("lead").select("gram", "key", "n").join(able, "key")
+    return settle(
+        leads.selectExpr("gram", "key", "n", "count(1) over (partition by gram) as df").where("df > 1")
+    )
 
 
 def blocks_of(shared: DataFrame, num: int, den: int) -> DataFrame:
     """(key, n, block): the block of each row that has a shared first n-gram."""
-    home = shared.groupBy("key", "n").agg(F.max(F.struct("df", "gram")).alias("_h"))
-    home = home.select("key", "n", F.col("_h.gram").alias("home"))
+    best = lambda rows, *by: rows.groupBy("key", "n").agg(F.max(F.struct(*by, "gram")).alias("_h")).select(
+        "key", "n", F.col("_h.gram").alias("home")
+    )
+    # Rows choose their most frequent n-gram, then the one that most rows have chosen.
+    chosen = best(shared, "df").groupBy(F.col("home").alias("gram")).agg(F.count(F.lit(1)).alias("votes"))
+    home = settle(best(shared.join(chosen, "gram"), "votes", "df"))
     home = home.withColumn("level", F.floor(F.log("n") / float(np.log(den / num))))
     weight = F.sum(F.col("n") + ROW_WEIGHT)
     by_level = settle(home.groupBy("home", "level").agg(weight.alias("w")))
@@ -359,13 +390,7 @@ def ngram_jaccard_join(
     )
     classes, n_classes = settle_counted(classes)
     sketch = read_sketch(described)
-    entries = first_grams(docs, words, num, den, sketch)
-    shared = entries.selectExpr(
-        "gram", "key", "n",
-        "min(key) over (partition by gram) as _lo", "max(key) over (partition by gram) as _hi",
-        "count(1) over (partition by gram) as df",
-    ).where("_lo <> _hi").dropDuplicates(["gram", "key"]).drop("_lo", "_hi")
-    shared = settle(shared)
+    shared = shared_grams(first_grams(docs, words, num, den, sketch), num, den)
     placed = settle(blocks_of(shared, num, den))
     pairs = block_pairs(shared, placed, num, den).withColumn("pair", F.xxhash64("a", "b"))
     ends = pairs.select("pair", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(
@@ -373,7 +398,9 @@ def ngram_jaccard_join(
     )
     members = placed.join(classes.where("rep is not null").drop("n"), "key")
     wanted = settle(members.join(ends, "block").select("rep", "copies", "pair", "side"))
-    packed = packed_texts(docs.where("_id is not null"), "_id", "_text")
+    # Only texts that a block needs are moved.
+    few = rows_in(docs, "_id", id_filter(wanted.select("rep")))
+    packed = packed_texts(few, "_id", "_text")
     rows = wanted.join(packed, wanted["rep"] == packed["_id"]).select("pair", "side", "rep", "copies", "_packed")
     rows = rows.repartition("pair").sortWithinPartitions("pair")
     linked = settle(product(rows, words, num, den))

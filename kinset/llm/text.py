@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: White space between words: tab, line feed, vertical tab, form feed, return, space.
 SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
 _P = 0x9E3779B97F4A7C15
