@@ -94,16 +94,17 @@ class Network:
         x = self.embed[laid[:, 0]]
         for i in range(1, laid.shape[1]):
             x += self.embed[laid[:, i]]
-        n = len(laid) - max(WIDTHS)
+        n = len(laid) - max(WIDTHS) + 1
         tops, places = [], []
         for width, filters in zip(WIDTHS, self.filters, strict=True):
             answer = x[:n] @ filters[0]
             for j in range(1, width):
                 answer += x[j : n + j] @ filters[j]
-            top = np.maximum.reduceat(answer, starts, axis=0)
+            # To the first place that holds no word, so never into the next text.
+            stops = starts + np.diff(first) + 1
+            top = np.maximum.reduceat(answer, np.stack([starts, stops], 1).ravel(), axis=0)[::2]
             tops.append(top)
             if where:
-                stops = np.append(starts[1:], n)
                 places.append(
                     np.stack([s + answer[s:e].argmax(0) for s, e in zip(starts, stops, strict=True)])
                 )
