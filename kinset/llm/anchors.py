@@ -30,6 +30,7 @@ from kinset.llm.text import (
     mix,
     pack,
     signed,
+    slices,
     unpack,
     word_spans,
     word_table,
@@ -196,19 +197,23 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def rows_in(df: DataFrame, key: str, bits: np.ndarray, wanted: bool = True) -> DataFrame:
+def matching(batch: pa.RecordBatch, key: str, bits: np.ndarray, wanted: bool = True) -> pa.RecordBatch:
     """Rows whose id may be in the filter, or (``wanted`` false) those whose id is not."""
+    ids = batch.column(batch.schema.get_field_index(key)).cast(pa.int64())
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    at = mix(ids.fill_null(0).to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)
+    hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
+    return batch.filter(pa.array((hit.astype(bool) & known) == wanted))
+
+
+def rows_in(df: DataFrame, key: str, bits: np.ndarray, wanted: bool = True) -> DataFrame:
+    """``matching`` rows of a table."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(key)).cast(pa.int64())
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            at = mix(ids.fill_null(0).to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)
-            hit = (own[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
-            keep = (hit.astype(bool) & known) == wanted
-            yield batch.filter(pa.array(keep))
+            for part in slices(batch):
+                yield matching(part, key, shared.value, wanted)
 
     return df.mapInArrow(run, df.schema)
 
@@ -251,7 +256,7 @@ def segments(docs: DataFrame, unit: Unit, classes: DataFrame) -> DataFrame:
     # One list for a text, no longer than the text.
     lists = settle(per_text.join(classes.select("key", "rep"), "key").select("rep", "found", "key"))
     bits = id_filter(lists.select("rep"))
-    texts = packed_with_key(rows_in(docs, "_id", bits), unit)
+    texts = packed_with_key(docs, unit, bits)
     joined = texts.join(lists, (texts["_id"] == lists["rep"]) & (texts["_key"] == lists["key"]))
     joined = joined.select("rep", "_packed", F.col("found.gram").alias("grams"), F.col("found.at").alias("ats"))
 
@@ -294,12 +299,13 @@ def text_buffers_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), offsets
 
 
-def packed_with_key(docs: DataFrame, unit: Unit) -> DataFrame:
-    """(_id, _key, _packed): id, key and compressed text of each row."""
+def packed_with_key(docs: DataFrame, unit: Unit, bits: np.ndarray) -> DataFrame:
+    """(_id, _key, _packed): id, key and compressed text of each row that the filter lets pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = Symbols(unit)
-        for batch in batches:
+        for batch in (matching(part, "_id", shared.value) for whole in batches for part in slices(whole)):
             for a, b, data, offsets in each_text(batch.column(1)):
                 keys = symbols.keys(*symbols.of(data, offsets))
                 raw = data.tobytes()
@@ -354,11 +360,12 @@ def cut_spans(
     bits = id_filter(by_id.select("_id"))
     moved = rows_in(kept, key, bits).join(by_id, F.col(key).cast("long") == by_id["_id"], "left").drop("_id")
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("_keys", "array<long>"), ("_starts", "array<array<int>>"), ("_ends", "array<array<int>>"))]
-    still = rows_in(kept, key, bits, wanted=False).select("*", *nothing)
+    still = kept.select("*", *nothing)
+    shared = df.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = Symbols(unit)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             n = len(others)
             keys, starts, ends = (batch.column(n + i).to_pylist() for i in range(3))
             column = batch.column(batch.schema.get_field_index(text))
@@ -382,7 +389,10 @@ def cut_spans(
                 names=[*others, *added.fieldNames()],
             )
 
-    return moved.unionByName(still).mapInArrow(run, schema)
+    def run_still(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(matching(part, key, shared.value, False) for batch in batches for part in slices(batch))
+
+    return moved.mapInArrow(run, schema).unionByName(still.mapInArrow(run_still, schema))
 
 
 def text_rows(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinset.llm.anchors import id_filter, rows_in
+from kinset.llm.anchors import id_filter, matching
 from kinset.llm.text import (
     WordHasher,
     distinct,
@@ -399,8 +399,8 @@ def ngram_jaccard_join(
     members = placed.join(classes.where("rep is not null").drop("n"), "key")
     wanted = settle(members.join(ends, "block").select("rep", "copies", "pair", "side"))
     # Only texts that a block needs are moved.
-    few = rows_in(docs, "_id", id_filter(wanted.select("rep")))
-    packed = packed_texts(few, "_id", "_text")
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("rep")))
+    packed = packed_texts(docs, "_id", "_text", lambda part: matching(part, "_id", bits.value))
     rows = wanted.join(packed, wanted["rep"] == packed["_id"]).select("pair", "side", "rep", "copies", "_packed")
     rows = rows.repartition("pair").sortWithinPartitions("pair")
     linked = settle(product(rows, words, num, den))

@@ -170,6 +170,12 @@ class WordHasher:
         return self.hasher.spans(self.hasher.sums(self.bytes[data]), starts, ends), first
 
 
+def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, so that what is made of them stays small."""
+    for first in range(0, batch.num_rows, rows):
+        yield batch.slice(first, rows)
+
+
 def each_text(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Sub-batches of a text column: first row, end row, their bytes, offsets from 0."""
     data, offsets = text_buffers(column)
@@ -192,8 +198,8 @@ def unpack(blobs: list[bytes]) -> list[bytes]:
     return [expand(b) for b in blobs]
 
 
-def packed_texts(df, key: str, text: str):
-    """``key`` and ``_packed``, the compressed text (null: empty) of each row."""
+def packed_texts(df, key: str, text: str, keep: Callable[[pa.RecordBatch], pa.RecordBatch]):
+    """``key`` and ``_packed``, the compressed text (null: empty) of each row that ``keep`` leaves."""
     from pyspark.sql import types as T
 
     kind = df.schema[key].dataType
@@ -201,8 +207,7 @@ def packed_texts(df, key: str, text: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
+            for part in map(keep, slices(batch)):
                 texts = part.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(pack(texts), pa.binary())], names=[key, "_packed"]
