@@ -209,7 +209,10 @@ def _to_ten(spark, sf):
 def _agglomerate(spark, sf):
     """Average linkage over the similarities of close junctions, others being 0."""
     near = k.near_pairs(junctions(spark, sf), LG, "hamming", WIDE)
-    return agglomerate(near.withColumn("dist", 1 - F.col("dist")), LG, "average", 0.5, "similarity")
+    near = near.withColumn("dist", 1 - F.col("dist"))
+    merges = agglomerate(near, LG, "average", 0.5, "similarity")
+    # Sums taken in another order differ in the last digits.
+    return merges.withColumn("height", F.round("height", 9))
 
 
 def _linkage(linkage):
@@ -432,6 +435,28 @@ def _sql_linkage(height: str, t: float | None, k: int | None = None) -> str:
       select {_G}, id, min(root) as cluster_id from up join j using (id) group by all"""
 
 
+# Average similarity of close pairs, others being 0: rounds of mutual first choices above 0.5 by
+# (height, larger id, smaller id), the largest first; merges numbered by height.
+_AGGLOMERATE = f"""with recursive {_J},
+  d as (select a.id as x, b.id as y, case when hamming(a.seq, b.seq)::double / 18 < {WIDE}
+          then 1 - hamming(a.seq, b.seq)::double / 18 else 0 end as m
+        from j a join j b using ({_G}) where a.id <> b.id),
+  st as (select 0 as it, id, id as cl, id as was, 0::double as h, true as moved from j union all (
+    with cur as (select id, cl from st where it < 200 and moved),
+    e as (select p.cl as a, q.cl as b, sum(m) / count(*) as h
+          from d join cur p on p.id = d.x join cur q on q.id = d.y where p.cl <> q.cl group by 1, 2),
+    best as (select a, min(row(-round(h, 12), -greatest(a, b), -least(a, b))) as k from e where h > 0.5 group by a),
+    mv as (select -k[1] as h, -k[3] as keep, -k[2] as gone from (select k from best group by k having count(*) = 2))
+    select (select max(it) from st) + 1, cur.id, coalesce(mv.keep, cur.cl), cur.cl, mv.h,
+           (select count(*) from mv) > 0
+    from cur left join mv on mv.gone = cur.cl)),
+  n as (select it, cl, count(*) as size from st group by all),
+  mg as (select distinct st.it, cl as left_id, was as right_id, h from st where cl <> was)
+  select {_G}, row_number() over (partition by {_G} order by -round(h, 12), mg.it, -right_id, -left_id) - 1 as step,
+    left_id, right_id, round(h, 9) as height, size
+  from mg join n on n.it = mg.it and n.cl = mg.left_id join j on j.id = left_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "group_sizes": f"with {_J} select {_G}, count(*) as n from j group by all",
@@ -516,6 +541,7 @@ def oracle_sql() -> dict[str, str]:
               nx as (select cur.id, least(cur.c, coalesce(n.c, cur.c)) as c, cur.c as old from cur left join n using (id))
               select (select max(it) from lab) + 1, id, c, (select bool_or(c <> old) from nx) from nx))
             select 0 as g, id, c as cluster_id from lab where it = (select max(it) from lab)""",
+        "agglomerate_average": _AGGLOMERATE,
         "condense_records": _sql_leader("hamming", WIDE),
         "sequence_members": f"""with {_P} select p_brand, id, min(id) over (partition by p_brand, seq) as seq_id from j""",
         "parse_grouped": """select c_nationkey::integer as gid, c_custkey::bigint as id, c_mktsegment as label, c_name as seq

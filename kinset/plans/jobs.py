@@ -16,7 +16,7 @@ from kinset.operators.joins import attach
 from kinset.operators.labels import cluster_counts
 from kinset.operators.leader import leader_clusters
 from kinset.operators.linkage import linkage_clusters
-from kinset.operators.mst import cut, mst_edges
+from kinset.operators.mst import mst_edges
 from kinset.operators.near import close_pairs, is_dense, union_all
 from kinset.plans.session import settle, settle_counted
 
@@ -202,7 +202,6 @@ __all__ = [
     "cluster_groups",
     "compare_counts",
     "compare_methods",
-    "cut",
     "route_groups",
     "run_method",
     "threshold_sweep",
