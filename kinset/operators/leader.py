@@ -7,13 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinset.operators.contraction import components
 from kinset.operators.copies import Distinct, distinct_sequences, restore
 from kinset.operators.groups import with_ordinal
+from kinset.operators.joins import attach
 from kinset.operators.near import candidate_load, close_pairs, union_all
 from kinset.plans.limits import LIMITS
 from kinset.plans.session import is_empty, settle, settle_counted
 
 
+#: Rounds between looks at what is left, and edges of a component gone through in one row.
+ROUNDS, CHAIN = 4, 5_000
+
+
 def first_leaders(edges: DataFrame) -> DataFrame:
     """Leader of each vertex of ``edges(src < dst)`` that is not one itself.
 
@@ -21,13 +27,23 @@ def first_leaders(edges: DataFrame) -> DataFrame:
     a leader among its smaller neighbours. In rounds: a vertex without a smaller
     undecided neighbour leads, all its neighbours are covered, and the edges of
     covered vertices go. This gives the same leaders as the sequential order.
+
+    Few vertices wait for long, but chains of them would take a round a link: after
+    ``ROUNDS`` rounds the small components that are left are gone through in
+    order, each in one row, and only larger ones go on.
     """
     edges, n = settle_counted(edges.select("src", "dst"))
-    left, covered = edges, []
+    left, covered, turn = edges, [], 0
     while n > 0:
+        turn += 1
+        if turn % ROUNDS == 0:
+            done, left = _in_order(left)
+            covered.append(done)
+            left, n = settle_counted(left)
+            continue
         preceded = left.select(F.col("dst").alias("src")).distinct().withColumn("_wait", F.lit(1))
         marked = settle(left.join(preceded, "src", "left"))
-        now = marked.where("_wait is null").select("dst").distinct()
+        now = settle(marked.where("_wait is null").select("dst").distinct())
         covered.append(now)
         left = marked.drop("_wait").join(now, "dst", "left_anti")
         left = left.join(now.withColumnRenamed("dst", "src"), "src", "left_anti")
@@ -38,6 +54,27 @@ def first_leaders(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("cluster_id"))
 
 
+def _in_order(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Covered vertices of the small components of ``left``, and the edges of the others."""
+    roots = settle(components(left))
+    tagged = attach(left, roots.withColumnRenamed("id", "src"), ["src"], LIMITS.plain_join_rows + 1, "inner")
+    tagged = settle(tagged)
+    sizes = tagged.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CHAIN)
+    large = settle(sizes.select("root"))
+    small = tagged.join(large, "root", "left_anti")
+    before = small.groupBy("root", "dst").agg(F.collect_list("src").alias("srcs"))
+    lists = before.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("dst", "srcs"))).alias("_v"))
+    # A vertex is covered if one of its smaller neighbours is not, and so leads.
+    covered = F.aggregate(
+        "_v", F.array().cast("array<bigint>"),
+        lambda s, v: F.when(
+            F.exists(v["srcs"], lambda x: ~F.array_contains(s, x)), F.concat(s, F.array(v["dst"]))
+        ).otherwise(s),
+    )
+    done = settle(lists.select(F.explode(covered).alias("dst")))
+    return done, tagged.join(large, "root", "left_semi").select("src", "dst")
+
+
 def assign_leaders(distinct: Distinct, thres: float) -> DataFrame:
     """``(id, cluster_id)`` of the sequences that follow a leader."""
     if thres <= 0:

@@ -187,3 +187,18 @@ def test_cluster_tables(spark, skewed):
         assert got == {i: order.index((group[i], c)) + start for i, c in want.items()}
     radius = {r.cluster_id: r.radius for r in cluster_radius(df, members, ["g"], "hamming").collect()}
     assert set(radius) == set(sizes) and min(radius.values()) == 0.0
+
+
+def test_leaders_of_a_long_path(spark, monkeypatch):
+    import kinset.operators.leader as leader
+
+    edges = [(i, i + 1) for i in range(2000)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    # Vertices in order: every second one leads, the others follow the one before.
+    want = {i: i - 1 for i in range(1, 2001, 2)}
+    got = {r.id: r.cluster_id for r in leader.first_leaders(df).collect()}
+    assert got == want
+    monkeypatch.setattr(leader, "CHAIN", 3)
+    short = spark.createDataFrame(edges[:30] + [(100, 101), (100, 102), (101, 103)], "src long, dst long")
+    got = {r.id: r.cluster_id for r in leader.first_leaders(short).collect()}
+    assert got == {i: i - 1 for i in range(1, 31, 2)} | {101: 100, 102: 100}
