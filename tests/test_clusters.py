@@ -202,3 +202,25 @@ def test_leaders_of_a_long_path(spark, monkeypatch):
     short = spark.createDataFrame(edges[:30] + [(100, 101), (100, 102), (101, 103)], "src long, dst long")
     got = {r.id: r.cluster_id for r in leader.first_leaders(short).collect()}
     assert got == {i: i - 1 for i in range(1, 31, 2)} | {101: 100, 102: 100}
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_distance_at_the_threshold(spark, request, dense):
+    """Whole products of length and threshold: pairs at just the threshold are not linked."""
+    if dense:
+        request.getfixturevalue("tight")
+    # Two sets that differ from each other in 2 places at least, each linked within itself.
+    rows = [(0, i, "CCCCCCCC" + a + b) for i, (a, b) in enumerate([(x, x) for x in "ABDE"] + [("A", "B"), ("D", "E")])]
+    df = table(spark, rows)
+    assert as_map(single_linkage(df, ["g"], "hamming", 0.2)) == models.single(rows, "hamming", 0.2)
+    far = [(0, i, "GGGGGGGGGG"[: 10 - k] + "T" * k) for i, k in enumerate((0, 2, 4, 6))]
+    assert as_map(single_linkage(table(spark, far), ["g"], "hamming", 0.2)) == {i: i for i in range(4)}
+
+
+def test_condense_without_inner(spark):
+    rows = [(0, 1, "AAAAAAAAAA"), (0, 2, "AAAAAAAAAC"), (0, 3, "AAAAAAAAAA"), (0, 4, "GGGGGGGGGG")]
+    df = table(spark, rows)
+    assert as_map(condense(df, ["g"], "hamming", 0.0)) == {i: i for i in (1, 2, 3, 4)}
+    assert as_map(condense(df, ["g"], "hamming", 0.0, 0.2)) == models.leader(rows, "hamming", 0.2)
+    got = as_map(two_stage(df, ["g"], "hamming", 0.15, inner=0.0, cut=0.2))
+    assert got == models.leader(rows, "hamming", 0.2)

@@ -166,7 +166,7 @@ def test_groups(spark):
         assert len(r.SeqList) <= 2
         got.setdefault(r.g, []).extend((x.id, x.seq) for x in r.SeqList)
     assert got == {g: [(i, s) for h, i, s in rows if h == g] for g in sizes}
-    pair = collect_group_columns(df, ["g"], {"id": "ids", "seq": "seqs"}).where("g = 'a'").first()
+    pair = collect_group_columns(df, ["g"], {"id": "ids", "seq": "seqs"}, list_rows=5).where("g = 'a'").first()
     assert pair.ids == [0, 1, 2, 3, 4] and pair.seqs == [f"s{i}" for i in range(5)] and pair.part == 0
     numbers = with_ordinal(df, ["id"], ["g"]).collect()
     assert all(
