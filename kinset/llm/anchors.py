@@ -246,13 +246,13 @@ def segments(docs: DataFrame, unit: Unit, classes: DataFrame) -> DataFrame:
     on already. ``classes``: key, n, rep, copies.
     """
     rows = anchor_rows(docs, unit)
-    many = rows.selectExpr(
-        "gram", "key", "at",
-        "min(key) over (partition by gram) as _a", "max(key) over (partition by gram) as _b",
-        "min(at) over (partition by gram) as _c", "max(at) over (partition by gram) as _d",
-    ).where("_a <> _b or _c <> _d").select("gram", "key", "at")
-    found = many.dropDuplicates(["gram", "key", "at"])
-    per_text = found.groupBy("key").agg(F.collect_list(F.struct("gram", "at")).alias("found"))
+    # Each task sums up a frequent n-gram before it is moved, and Spark can split it in the join;
+    # copies of a text in several tasks fall together in the set.
+    several = rows.groupBy("gram").agg(
+        F.min("key").alias("_a"), F.max("key").alias("_b"), F.min("at").alias("_c"), F.max("at").alias("_d")
+    ).where("_a <> _b or _c <> _d").select("gram")
+    found = rows.join(several, "gram")
+    per_text = found.groupBy("key").agg(F.collect_set(F.struct("gram", "at")).alias("found"))
     # One list for a text, no longer than the text.
     lists = settle(per_text.join(classes.select("key", "rep"), "key").select("rep", "found", "key"))
     bits = id_filter(lists.select("rep"))

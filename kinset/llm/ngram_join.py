@@ -378,7 +378,8 @@ def ngram_jaccard_join(
     Returns one row per row of ``df``: ``key``, n_shingles, component_id (smallest key
     reachable, its own included) and n_links (other documents it links with directly).
     ``key`` must be a whole number; a row whose key is null is linked only through rows
-    with the same n-grams (null component without). Repeated rows count as copies.
+    with the same n-grams (null component without). Repeated rows count as copies; rows that
+    repeat a key with another text are one vertex, so what either links with is reached by both.
     Other columns are not read, so their names do not matter. Sets are compared by
     hashes of 64 bits.
     """
