@@ -10,7 +10,9 @@ each other only.
 
 Equal texts are reduced to one representative first. What moves between tasks is
 one small row per anchor, the texts that have repeated anchors (compressed), and
-their segments; equal segments of a task are handed on once.
+their segments; equal segments of a task are handed on once. An anchor with very many
+distinct segments, such as one inside a passage that stands in many surroundings, is taken
+apart by longer n-grams, so that what a task compares is bounded.
 """
 
 from __future__ import annotations
@@ -35,12 +37,15 @@ from kinset.llm.text import (
     word_spans,
     word_table,
 )
-from kinset.plans.session import settle
+from kinset.operators.joins import attach
+from kinset.plans.session import is_empty, settle, settle_counted
 
 #: Symbols whose windows are looked at together.
 STRIDE = 1 << 20
 #: Bits of the filter that keeps texts without a repeat from being moved; a fixed size.
 FILTER_BITS = 1 << 23
+#: Distinct segments of one anchor that a task compares; with more the anchor gets longer n-grams.
+CROWD = 1000
 
 
 @dataclass(frozen=True)
@@ -294,6 +299,87 @@ def segments(docs: DataFrame, unit: Unit, classes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "gram long, seg long, rep long, lo int, size int, content binary")
 
 
+def finer(distinct: DataFrame, unit: Unit) -> DataFrame:
+    """(gram, seg, times, g2, s2, off, size, from, bytes): the parts of distinct segments by the
+    anchors of ``unit``, whose n-grams are longer. ``g2`` numbers both n-grams, ``s2`` the part;
+    its place and size come in symbols and in bytes of the content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, inside, hasher = Symbols(unit), word_table(), SpanHasher(256, seed=41)
+        for batch in batches:
+            for first_row in range(0, batch.num_rows, 1000):
+                part = batch.slice(first_row, 1000)
+                data, offsets = text_buffers_of(part.column(3).to_pylist())
+                sums, first = symbols.of(data, offsets)
+                row, gram, _, lo, hi = anchors(sums, first, symbols.hasher, unit)
+                size = hi - lo + unit.length
+                if unit.words:
+                    starts, ends, _ = word_spans(data, offsets, inside)
+                    begin, end = starts[first[row] + lo], ends[first[row] + lo + size - 1]
+                else:
+                    begin, end = offsets[row] + lo, offsets[row] + lo + size
+                grams, segs, times = (part.column(i).to_numpy()[row] for i in range(3))
+                g2 = mix(mix(grams.view(np.uint64)) + gram)
+                s2 = hasher.spans(hasher.sums(data), begin, end)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams), pa.array(segs), pa.array(times), pa.array(signed(g2)), pa.array(signed(s2)),
+                     *[pa.array(x.astype(np.int32)) for x in (lo, size, begin - offsets[row], end - begin)]],
+                    names=["gram", "seg", "times", "g2", "s2", "off", "size", "from", "bytes"],
+                )
+
+    columns = "gram long, seg long, times long, g2 long, s2 long, off int, size int, from int, bytes int"
+    return distinct.select("gram", "seg", "times", "content").mapInArrow(run, columns)
+
+
+def uncrowded(cut: DataFrame, n: int, unit: Unit) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The segments ``cut`` (``n`` rows), those of crowded anchors taken apart: occurrences (gram,
+    seg, rep, lo, size), distinct segments (gram, seg, times, least), contents (gram, seg, content)
+    and the number of occurrences. ``least`` is the smallest rep that holds a segment.
+
+    The windows of an anchor with more than ``CROWD`` distinct segments are anchored again by
+    n-grams of twice the size, as often as needed and up to the whole window, where equal windows
+    are one segment. Equal windows have equal n-grams of every size at equal places, so they stay
+    together, and no window is left out but those whose n-gram occurs once.
+    """
+    places = cut.select("gram", "seg", "rep", "lo", "size")
+    contents = cut.where("content is not null").select("gram", "seg", "content")
+    done: list[tuple[DataFrame, DataFrame, DataFrame]] = []
+    total = n
+    while True:
+        counts = settle(places.groupBy("gram", "seg").agg(F.count(F.lit(1)).alias("times"), F.min("rep").alias("least")))
+        crowded = settle(counts.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD).select("gram"))
+        if unit.gram >= unit.length or is_empty(crowded):
+            done.append((places, counts, contents))
+            break
+        done.append(tuple(x.join(crowded, "gram", "left_anti") for x in (places, counts, contents)))
+        unit = Unit(unit.words, unit.length, min(2 * unit.gram, unit.length))
+        own = contents.join(crowded, "gram", "left_semi").dropDuplicates(["gram", "seg"])
+        own = settle(own.join(counts.select("gram", "seg", "times"), ["gram", "seg"]))
+        parts = settle(finer(own, unit))
+        several = parts.groupBy("g2").agg(F.sum("times").alias("_n")).where("_n > 1").select("g2")
+        parts = settle(parts.join(several, "g2"))
+        # At most as many parts as a segment has windows.
+        lists = parts.groupBy("gram", "seg").agg(F.collect_list(F.struct("g2", "s2", "off", "size")).alias("_parts"))
+        moved = attach(places.join(crowded, "gram", "left_semi").drop("size"), settle(lists), ["gram", "seg"], n, "inner")
+        moved = moved.select("rep", "lo", F.explode("_parts").alias("x"))
+        places, n = settle_counted(
+            moved.select(F.col("x.g2").alias("gram"), F.col("x.s2").alias("seg"), "rep", (F.col("lo") + F.col("x.off")).alias("lo"), "x.size")
+        )
+        total += n
+        heads = parts.groupBy("g2", "s2").agg(F.min(F.struct("gram", "seg", "from", "bytes")).alias("x"))
+        heads = heads.select("g2", "s2", "x.*").join(own.select("gram", "seg", "content"), ["gram", "seg"])
+        contents = settle(
+            heads.select(F.col("g2").alias("gram"), F.col("s2").alias("seg"), F.expr("substring(content, `from` + 1, bytes)").alias("content"))
+        )
+    whole = []
+    for frames in zip(*done, strict=True):
+        joined = frames[0]
+        for frame in frames[1:]:
+            joined = joined.unionByName(frame)
+        whole.append(joined)
+    return *whole, total
+
+
 def text_buffers_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.cumsum([0] + [len(t) for t in texts])
     return np.frombuffer(b"".join(texts), np.uint8), offsets

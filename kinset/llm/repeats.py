@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinset.llm.anchors import Unit, classes_of, cut_spans, merged, segments, text_buffers_of, text_rows
+from kinset.llm.anchors import Unit, classes_of, cut_spans, merged, segments, text_buffers_of, text_rows, uncrowded
 from kinset.llm.text import SpanHasher
 from kinset.operators.joins import attach
 from kinset.plans.session import settle, settle_counted
@@ -56,7 +56,7 @@ def suffix_order(contents: list[bytes], group: np.ndarray, length: int, hasher:
     content, start, at = content[order], start[order], at[order]
     # What follows the first ``length`` bytes, as numbers that sort as the bytes do.
     left = size[content] - start - length
-    words = -(-int(left.max()) // DIGITS) if len(left) else 0
+    words = max(-(-int(left.max()) // DIGITS), 1)
     padded = np.concatenate([data, np.zeros(DIGITS, np.uint8)]).astype(np.uint64)
     tails = np.zeros((words, len(order)), np.uint64)
     for w in range(words):
@@ -213,9 +213,9 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     docs = text_rows(df, key, text)
     facts, classes = classes_of(docs, unit)
     cut, n = settle_counted(segments(docs, unit, classes))
-    counts = cut.groupBy("gram", "seg").agg(F.count(F.lit(1)).alias("times"))
-    rows = counts.select("gram", "seg", "times", F.lit(None).cast("binary").alias("content")).unionByName(
-        cut.where("content is not null").select("gram", "seg", F.lit(None).cast("long").alias("times"), "content")
+    cut, distinct, contents, n = uncrowded(cut, n, unit)
+    rows = distinct.select("gram", "seg", "times", F.lit(None).cast("binary").alias("content")).unionByName(
+        contents.select("gram", "seg", F.lit(None).cast("long").alias("times"), "content")
     )
     rows = rows.repartition("gram").sortWithinPartitions("gram")
     found = repeats_of_segments(rows, length)

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from kinset.llm import repeats, substrings
 from kinset.llm.anchors import Symbols, Unit, anchors
 from kinset.llm.repeats import intervals, remove_repeats, suffix_order
 from kinset.llm.substrings import RunAutomaton, remove_known_runs
@@ -138,3 +140,53 @@ def test_automaton(texts, words):
     known = {tuple(t[i:j]) for t in texts for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
     want = [max((k for k in range(1, e + 1) if tuple(words[e - k : e]) in known), default=0) for e in range(1, len(words) + 1)]
     assert automaton.matches(words) == want
+
+
+@pytest.fixture(scope="module")
+def crowd():
+    """A passage of 30 words in 1200 surroundings; some of them come again with the passage."""
+    rng = random.Random(8)
+    passage = " ".join(f"licence{i}" for i in range(30))
+    around = lambda: (" ".join(f"{rng.randrange(10**6):x}" for _ in range(40)), " ".join(f"{rng.randrange(10**6):x}" for _ in range(40)))
+    pairs = [around() for _ in range(1200)]
+    pairs += [(f"{i} {a}", f"{b} {i}") for i, (a, b) in enumerate(pairs[:9])]
+    pairs += [(a, "x" + b) for a, b in pairs[20:25]]
+    return [(i, f"{a} {passage} {b}") for i, (a, b) in enumerate(pairs)]
+
+
+def _most_segments(monkeypatch, module, name):
+    """Notes the most distinct segments of one n-gram in the rows given to ``name``."""
+    most, real = [], getattr(module, name)
+
+    def spy(rows, length):
+        most.append(rows.groupBy("gram").agg(F.countDistinct("seg").alias("n")).agg(F.max("n")).first()[0])
+        return real(rows, length)
+
+    monkeypatch.setattr(module, name, spy)
+    return most
+
+
+def test_crowded_anchor_of_known_runs(spark, crowd, monkeypatch):
+    most = _most_segments(monkeypatch, substrings, "known_runs")
+    rows = remove_known_runs(spark.createDataFrame(crowd, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in rows) == known_model(crowd, 50)
+    assert most[0] <= 1000
+
+
+def test_crowded_anchor_of_repeats(spark, crowd, monkeypatch):
+    most = _most_segments(monkeypatch, repeats, "repeats_of_segments")
+    short = [(i, t.replace("licence", "l")) for i, t in crowd]
+    rows = remove_repeats(spark.createDataFrame(short, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows), key=str) == model(short, 200)
+    assert most[0] <= 1000
+
+
+@pytest.mark.parametrize("crowd", [1, 3])
+def test_every_anchor_crowded(docs, corpus, monkeypatch, crowd):
+    from kinset.llm import anchors as module
+
+    monkeypatch.setattr(module, "CROWD", crowd)
+    rows = remove_known_runs(docs).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in rows) == known_model(corpus, 50)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(docs).collect()]
+    assert sorted(got, key=str) == model(corpus, 200)
