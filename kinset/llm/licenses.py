@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 #: Base phrases and their labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Licences: label, keyword, pattern of its name, identifier in the short notation.
+#: Licences: label, keyword, pattern of its name, identifier in the short notation if this row
+#: brings it. Every match of a pattern contains its keyword.
 NAMES = [
     ("apache-2.0", "apache", "apache (?:software )?licen[sc]e (?:version |v )?2(?: 0)?", "apache 2 0"),
     ("apache-1.1", "apache", "apache (?:software )?licen[sc]e (?:version |v )?1 1", "apache 1 1"),
     ("apache", "apache", "apache (?:software )?licen[sc]e", "apache"),
-    ("mit", "mit", "(?:mit|expat|x11) licen[sc]e", "mit"),
+    ("mit", "mit", "mit licen[sc]e", "mit"),
+    ("mit", "expat", "expat licen[sc]e", None),
+    ("mit", "x11", "x11 licen[sc]e", None),
     ("mit-0", "mit", "mit no attribution licen[sc]e", "mit 0"),
     ("bsd-2", "bsd", "(?:simplified bsd|2 clause bsd|bsd 2 clause|freebsd)(?: licen[sc]e)?", "bsd 2 clause"),
     ("bsd-3", "bsd", "(?:new bsd|modified bsd|3 clause bsd|bsd 3 clause)(?: licen[sc]e)?", "bsd 3 clause"),
@@ -117,7 +120,7 @@ AROUND = [
     ("name", "", "", 1, 0.6),
 ]
 
-#: Sentences of licences and notices: label, keyword, pattern, priority, weight.
+#: Sentences of licences and notices: label, keyword (in every match), pattern, priority, weight.
 SENTENCES = [
     ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy", 3, 1.0),
     ("mit", "above copyright notice", "the above copyright notice and this permission notice shall be included in all copies", 3, 1.0),
@@ -127,7 +130,7 @@ SENTENCES = [
     ("bsd-3", "endorse", "(?:may|must) not be used to endorse or promote products derived from", 3, 1.0),
     ("bsd-4", "advertising", "all advertising materials mentioning features or use of this software", 3, 1.0),
     ("apache-2.0", "applicable law", "unless required by applicable law or agreed to in writing", 3, 1.0),
-    ("apache-2.0", "limitations under", "see the license for the specific language governing permissions and limitations", 3, 1.0),
+    ("apache-2.0", "limitations", "see the license for the specific language governing permissions and limitations", 3, 1.0),
     ("apache-2.0", "apache org", "www apache org licenses license 2 0", 3, 1.0),
     ("gpl-any", "free software", "this program is free software you can redistribute it and or modify it", 3, 1.0),
     ("gpl-any", "free software foundation", "(?:as )?published by the free software foundation", 2, 0.9),
@@ -150,12 +153,12 @@ SENTENCES = [
     ("rights", "reserved", "(?:all|some|no) rights reserved", 2, 0.7),
     ("rights", "reproduced", "no part of this (?:publication|book|work|document) may be reproduced", 3, 0.9),
     ("proprietary", "proprietary", "(?:confidential and proprietary|proprietary and confidential)", 3, 0.9),
-    ("proprietary", "unauthorized", "unauthori[sz]ed (?:copying|use|reproduction|distribution) (?:of this \\S+ )?(?:is )?(?:strictly )?prohibited", 3, 0.9),
+    ("proprietary", "unauthori", "unauthori[sz]ed (?:copying|use|reproduction|distribution) (?:of this \\S+ )?(?:is )?(?:strictly )?prohibited", 3, 0.9),
     ("proprietary", "non disclosure", "non disclosure agreement", 2, 0.6),
     ("trademark", "trademark", "(?:is a|are|registered) (?:registered )?trademarks?", 1, 0.3),
     ("warranty", "warrant", "(?:without|no) (?:any )?warrant(?:y|ies)", 1, 0.4),
     ("warranty", "as is", "(?:provided|licensed|distributed) (?:on an )?as is(?: basis)?", 2, 0.5),
-    ("liability", "liab", "in no event shall (?:the )?(?:authors?|copyright holders?|contributors?)", 2, 0.7),
+    ("liability", "in no event", "in no event shall (?:the )?(?:authors?|copyright holders?|contributors?)", 2, 0.7),
     ("terms-of-use", "terms of", "terms of (?:use|service)", 1, 0.3),
     ("eula", "end user", "end user licen[sc]e agreement", 2, 0.8),
 ]
@@ -176,7 +179,8 @@ def rules() -> list[Rule]:
     for label, keyword, name, short in NAMES:
         for _, before, after, priority, weight in AROUND:
             out.append(Rule(label, keyword, before + name + after, priority, weight))
-        out.append(Rule(label, "spdx license identifier", "spdx license identifier " + short, 3, 1.0))
+        if short is not None:
+            out.append(Rule(label, "spdx license identifier", "spdx license identifier " + short, 3, 1.0))
     out += [Rule(*s) for s in SENTENCES]
     return out
 

@@ -1,4 +1,5 @@
 import re
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
@@ -79,3 +80,29 @@ def test_random_texts(spark, seed):
     for r in scan_licenses(df).collect():
         got = (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score)
         assert got == model(texts[r.doc_id]), texts[r.doc_id]
+
+
+NOTICES = [
+    "Distributed under the Expat License.", "Released under the X11 License", "the expat licence, the MIT licence and the X11 licence",
+    "Unauthorised copying of this work is strictly prohibited", "unauthorised use prohibited", "unauthorized use prohibited",
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDERS be", "in no event shall contributors",
+    "See the License for the specific language governing permissions and limitations.",
+]
+
+
+def test_prefilter_loses_no_match(spark, corpus, monkeypatch):
+    texts = NOTICES + TEXTS + [t for _, t in corpus]
+    ungated = [replace(r, keyword="") for r in rules()]
+    monkeypatch.setitem(globals(), "rules", lambda: ungated)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in scan_licenses(df).collect():
+        got = (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score)
+        assert got == model(texts[r.doc_id]), texts[r.doc_id]
+        assert r.doc_id >= len(NOTICES) or r.score > 0
+
+
+@settings(max_examples=400, deadline=None, derandomize=True, database=None)
+@given(st.data())
+def test_matches_hold_their_keyword(data):
+    r = data.draw(st.sampled_from(rules()))
+    assert r.keyword in " " + data.draw(st.from_regex(r.pattern, fullmatch=True)) + " "
