@@ -5,8 +5,8 @@ so that endings and compounds of a known stem resemble it. Filters of several wi
 the whole text, the largest answer of each filter over the text is kept, and a
 linear layer turns these into a probability. The model is fitted on a bounded
 sample of labelled rows; every text is scored whole. Scores depend on the text
-alone. A cut on the score is calibrated for each language that has enough labelled
-rows; other languages take the common one.
+alone. Cuts are calibrated on all labelled rows, in the classes' own proportion: one for
+each language that has enough of them; other languages take the common one.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ WIDTHS = (1, 2, 3)
 STEMS = (4, 6)
 #: The common cut; scores are scaled so that it is the best one on the calibration rows.
 CUT = 0.3
+#: Bins of the scores for each unit of their logits, from which the cuts are taken.
+BINS = 256
 
 
 @dataclass
@@ -42,7 +44,7 @@ class FitOptions:
     rate: float = 0.05
     decay: float = 1e-4
     seed: int = 5
-    #: Share of the fit's rows kept for calibration, and rows of each class a language needs.
+    #: Share of the fit's rows kept to choose the epoch, and labelled rows of each class a language needs.
     held: float = 0.25
     language_rows: int = 40
 
@@ -75,7 +77,7 @@ class Network:
     bias: np.ndarray
     out: np.ndarray
     out_bias: float
-    power: float = 1.0
+    power: float = 1.0  # by ``calibrate``, as ``cuts``
     cuts: dict[str, float] = field(default_factory=dict)
 
     def lay(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +133,7 @@ def _start(o: FitOptions, rng: np.random.Generator) -> Network:
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], o: FitOptions) -> Network:
-    """A network for bucket numbers of texts and their labels (0 or 1).
+    """A network for bucket numbers of texts and their labels (0 or 1), not yet calibrated.
 
     Without rows of both classes every score is that of the only class, or 0.
     """
@@ -192,14 +194,6 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], o:
     for q, kept in zip(params, best_state[0], strict=True):
         q[...] = kept
     net.out_bias = best_state[1]
-    p = _raw_all(net, texts, held)
-    tau = _best_cut(p, labels[held])
-    net.power = float(np.log(CUT) / np.log(tau))
-    for lang in sorted({x for x in langs if x is not None}):
-        own = np.array([langs[r] == lang for r in held])
-        y = labels[held][own]
-        if min(y.sum(), len(y) - y.sum()) >= o.language_rows:
-            net.cuts[lang] = float(_best_cut(p[own], y) ** net.power)
     return net
 
 
@@ -212,17 +206,71 @@ def _raw_all(net: Network, texts: list[np.ndarray], rows: np.ndarray) -> np.ndar
     return np.concatenate(out)
 
 
-def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1, in the middle of the gap below its last accepted row."""
-    order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
-    i = int(f1.argmax())
-    below = p[order[i + 1]] if i + 1 < len(p) else p[order[i]] / 2
-    # Between probabilities the middle is taken on the logit scale.
-    logit = lambda q: np.log(np.clip(q, 1e-9, 1 - 1e-9) / (1 - np.clip(q, 1e-9, 1 - 1e-9)))
-    z = (logit(p[order[i]]) + logit(below)) / 2
-    return float(np.clip(1 / (1 + np.exp(-z)), 1e-6, 1 - 1e-6))
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return np.log(p / (1 - p))
+
+
+def _best_cut(bins: list) -> float:
+    """The cut with the best F1 over bins of scores (label, bin, n, low, high, the ends in logits),
+    in the middle of the gap below the last accepted bin."""
+    numbers, at = np.unique([-r["bin"] for r in bins], return_inverse=True)  # from the highest scores down
+    count = np.zeros((2, len(numbers)), np.int64)
+    low, high = np.full(len(numbers), np.inf), np.full(len(numbers), -np.inf)
+    for i, r in zip(at.tolist(), bins, strict=True):
+        count[r["label"], i] += r["n"]
+        low[i], high[i] = min(low[i], r["low"]), max(high[i], r["high"])
+    hits, taken = np.cumsum(count[1]), np.cumsum(count.sum(0))
+    i = int((2 * hits / (taken + hits[-1])).argmax())
+    below = high[i + 1] if i + 1 < len(numbers) else _logit(1 / (1 + np.exp(-low[i])) / 2)
+    return float(np.clip(1 / (1 + np.exp(-(low[i] + below) / 2)), 1e-6, 1 - 1e-6))
+
+
+def calibrate(
+    net: Network, docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str, o: FitOptions
+) -> Network:
+    """Sets the scale of the scores, by which ``CUT`` is the best common cut, and the cuts of the
+    languages, from all rows of ``docs`` (key, text, lang) with a label (key, _label). Only
+    a histogram of the scores comes to the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # fixed size: buckets x dim
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        buckets = WordBuckets(len(model.embed))
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            found = [np.zeros(0)]
+            for a, b in pieces(offsets, 1 << 19):
+                ids, first = buckets.of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                found.append(_logit(model.raw(ids, first)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(np.concatenate(found))], names=["_key", "_lang", "_z"]
+            )
+
+    kind = docs.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.lit(0.0).alias("_z")).schema
+    # Scored where they lie: texts do not move.
+    scored = docs.select(key, text, lang).mapInArrow(run, kind)
+    scored = scored.join(labels.select(F.col(key).alias("_key"), F.col("_label").cast("int").alias("label")), "_key")
+    rows = scored.groupBy(F.col("_lang").alias("lang"), "label", F.floor(F.col("_z") * BINS).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("_z").alias("low"), F.max("_z").alias("high")
+    ).collect()
+    total = lambda some, y: sum(r["n"] for r in some if r["label"] == y)
+    if not min(total(rows, 0), total(rows, 1)):
+        return net
+    net.power = float(np.log(CUT) / np.log(_best_cut(rows)))
+    by_lang: dict[str, list] = {}
+    for r in rows:
+        if r["lang"] is not None:
+            by_lang.setdefault(r["lang"], []).append(r)
+    for name, own in sorted(by_lang.items()):
+        if min(total(own, 0), total(own, 1)) >= o.language_rows:
+            net.cuts[name] = float(_best_cut(own) ** net.power)
+    return net
+
+
+def known_labels(labels: DataFrame, allowed: Column, key: str, label: str) -> DataFrame:
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & allowed)
+    return known.groupBy(key).agg(F.max(label).alias("_label"))
 
 
 def labelled_sample(
@@ -232,8 +280,7 @@ def labelled_sample(
 
     Of rows that repeat a key, one label is used: the largest.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & allowed)
-    known = known.groupBy(key).agg(F.max(label).alias("_label"))
+    known = known_labels(labels, allowed, key, label)
     by_class = [
         known.where(F.col("_label") == y).orderBy(F.xxhash64(key), key).limit(o.rows) for y in (0, 1)
     ]
@@ -254,7 +301,8 @@ def train(
     """Fits on labelled documents for which ``allowed`` holds (a condition on ``key``).
 
     ``lang`` only chooses the cut. Rows with null keys or labels are left out, null
-    texts count as empty. The sample is bounded by ``options.rows`` of each class.
+    texts count as empty. The rows fitted on are bounded by ``options.rows`` of each class;
+    the cuts come from all labelled rows that are allowed.
     """
     o = options or FitOptions()
     allowed = F.lit(True) if allowed is None else allowed
@@ -280,7 +328,13 @@ def train(
     got = wanted.mapInArrow(run, "k string, words binary, lang string, label int").collect()
     got.sort(key=lambda r: (r["k"], r["words"]))
     texts = [np.frombuffer(r["words"], np.int32).reshape(-1, 1 + len(STEMS)) for r in got]
-    return fit(texts, np.array([r["label"] for r in got]), [r["lang"] for r in got], o)
+    y = np.array([r["label"] for r in got])
+    net = fit(texts, y, [r["lang"] for r in got], o)
+    if len(y) == 0 or y.min() == y.max():
+        return net
+    known = known_labels(labels.select(key, label), allowed, key, label)
+    usable = picked.where(F.col(key).isNotNull() & allowed)
+    return calibrate(net, usable, known, key, "_text", "_lang", o)
 
 
 def score(

@@ -47,3 +47,25 @@ def test_edges(spark, labelled, docs, nothing):
     odd = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int")
     assert {r.score for r in score(docs, train(docs, odd)).collect()} == {pytest.approx(0, abs=1e-9)}
     assert fit([], np.zeros(0), [], FitOptions()).cuts == {}
+
+
+def test_cuts_come_from_all_labelled_rows(spark):
+    """Classes that overlap, one in ten toxic: the fit sees a balanced sample, the cuts all rows."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(6000):
+        toxic, lang = rng.random() < 0.1, rng.choice(["en", "de"])
+        words = [f"w{rng.randrange(30)}" for _ in range(12)]
+        words += [x for x, p, q in (("awful", 0.8, 0.1), ("rotten", 0.7, 0.15), ("nasty", 0.6, 0.2), ("poor", 0.5, 0.25)) if rng.random() < (p if toxic else q)]
+        rows.append((i, " ".join(words), lang, int(toxic)))
+    both = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    allowed = F.col("doc_id") % 4 != 2
+    net = train(both.drop("toxic"), both.select("doc_id", "toxic"), allowed, FitOptions(rows=300, epochs=4))
+    got = score(both, net).where(allowed).collect()
+
+    def f1(some, cut):
+        y, hit = np.array([r.toxic for r in some]), np.array([r.score for r in some]) >= cut
+        return 2 * (y & hit).sum() / (y.sum() + hit.sum())
+
+    for some, cut in [(got, CUT), *[([r for r in got if r.lang == x], net.cuts[x]) for x in ("en", "de")]]:
+        assert f1(some, cut) >= max(f1(some, r.score) for r in some[::3]) - 0.005
