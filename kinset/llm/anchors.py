@@ -143,8 +143,8 @@ def describe(docs: DataFrame, unit: Unit) -> DataFrame:
 
 
 def anchor_rows(docs: DataFrame, unit: Unit) -> DataFrame:
-    """(gram, key, at): anchors of each text, once per task and text. ``at`` packs the place
-    and how far before it its first and last window begin."""
+    """(gram, key, at): anchors of each text, once per task and text. ``at`` packs where the
+    first and the last window of the anchor begin, in 31 bits each (a text has fewer than 2^31 symbols)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, seen = Symbols(unit), set()
@@ -152,10 +152,10 @@ def anchor_rows(docs: DataFrame, unit: Unit) -> DataFrame:
             for _, _, data, offsets in each_text(batch.column(1)):
                 sums, first = symbols.of(data, offsets)
                 keys = symbols.keys(sums, first)
-                row, gram, place, lo, hi = anchors(sums, first, symbols.hasher, unit)
+                row, gram, _, lo, hi = anchors(sums, first, symbols.hasher, unit)
                 new = np.array([not (k in seen or seen.add(k)) for k in keys.tolist()], bool)
                 keep = new[row]
-                at = (place << 16) | ((place - lo) << 8) | (place - hi)
+                at = (lo << 31) | hi
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(gram[keep])), pa.array(keys[row[keep]]), pa.array(at[keep])],
                     names=["gram", "key", "at"],
@@ -278,8 +278,7 @@ def segments(docs: DataFrame, unit: Unit, classes: DataFrame) -> DataFrame:
                 ):
                     symbols = slicer.symbols(text)
                     for gram, at in zip(grams, ats, strict=True):
-                        place = at >> 16
-                        lo, hi = place - (at >> 8 & 255), place - (at & 255) + unit.length
+                        lo, hi = at >> 31, (at & (1 << 31) - 1) + unit.length
                         for x, v in zip(out, (gram, rep, lo, hi - lo, slicer.cut(symbols, lo, hi)), strict=True):
                             x.append(v)
                 grams, reps, los, sizes, contents = out

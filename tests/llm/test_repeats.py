@@ -190,3 +190,16 @@ def test_every_anchor_crowded(docs, corpus, monkeypatch, crowd):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in rows) == known_model(corpus, 50)
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(docs).collect()]
     assert sorted(got, key=str) == model(corpus, 200)
+
+
+def test_long_windows(spark):
+    """Windows so long that an anchor stands more than 256 symbols from where its windows begin."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"{rng.randrange(10**6):x}" for _ in range(n))
+    passages = [words(410 + 40 * i) for i in range(6)]
+    rows = [(2 * i + j, f"{words(30)} {p} {words(30)}") for i, p in enumerate(passages) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = remove_known_runs(df, length=400).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == known_model(rows, 400)
+    found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(df, length=400).collect()]
+    assert sorted(found, key=str) == model(rows, 400)
