@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinset.llm.infill import Infill, fill_in_middle, restored
 from kinset.llm.lattice import near_vectors
 from kinset.llm.licenses import scan_licenses
 from kinset.llm.mixing import mix_sources
+from kinset.llm.negatives import hard_negatives
 from kinset.llm.ngram_join import ngram_jaccard_join
 from kinset.llm.phrases import edited_fingerprints
 from kinset.llm.pieces import encode_texts
+from kinset.llm.pii import KINDS, find_personal_data
 from kinset.llm.repeats import remove_repeats
 from kinset.llm.substrings import remove_known_runs
 from kinset.llm.toolcalls import as_tool_chat, link_tool_calls, tool_schemas
@@ -148,6 +151,72 @@ def op10_lattice_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_infill(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest of the fill-in-the-middle example of every document and of the text restored from it."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    made = fill_in_middle(docs, how=Infill(seed=42, rate=50, suffix_first=80))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored().cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = """with d as (select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(doc_id::varchar, '')) as h
+    from documents),
+  u as (select doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as parts,
+    list_transform([1, 9, 17, 25], lambda i: ('0x' || h[i : i + 7])::bigint) as h from d),
+  c as (select doc_id, t, parts, len(parts) as n, least(h[1] % (n + 1), h[2] % (n + 1)) as a,
+    greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 50
+      then 'plain' when h[4] % 100 < 80 then 'spm' else 'psm' end as form from u),
+  p as (select doc_id, t, n, form, array_to_string(parts[1 : a], '') as prefix,
+    array_to_string(parts[a + 1 : b], '') as middle, array_to_string(parts[b + 1 :], '') as suffix from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end as prefix_chars,
+  case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(t) as restored_sha256 from p"""
+
+
+def op12_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in all documents: the base spans counted and digested, and all spans."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = find_personal_data(docs)
+    base = F.filter("spans", lambda s: s["base"])
+    line = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    of_kind = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans")
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, with a seventh of the labels moved on by one."""
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(table(spark, sf, "embeddings"), label=label)
+
+
+OP13_SQL = """with r as (select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+    from embeddings where vec_id is not null and label is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same,
+      list_inner_product(a.v, b.v)::bigint as score
+    from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+  p as (select anchor_id, other as positive_id, score as positive_score from s where same
+    qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+  n as (select p.*, s.other as negative_id, s.score as negative_score,
+      row_number() over (partition by anchor_id, positive_id order by s.score desc, s.other)::integer as rank
+    from p join s using (anchor_id)
+    where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 5"""
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_phrase_fingerprints": op2_phrase_fingerprints,
@@ -159,6 +228,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_lattice_vectors": op10_lattice_vectors,
+    "op11_infill": op11_infill,
+    "op12_personal_data": op12_personal_data,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-SQL: dict[str, str] = {"op3_tool_calls": OP3_SQL}
+SQL: dict[str, str] = {"op3_tool_calls": OP3_SQL, "op11_infill": OP11_SQL, "op13_hard_negatives": OP13_SQL}

@@ -170,6 +170,15 @@ class WordHasher:
         return self.hasher.spans(self.hasher.sums(self.bytes[data]), starts, ends), first
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that are not among ``taken``, in any case."""
+    known = {c.lower() for c in taken}
+    mark = "_"
+    while any(f"{mark}{n}".lower() in known for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Parts of a batch, so that what is made of them stays small."""
     for first in range(0, batch.num_rows, rows):

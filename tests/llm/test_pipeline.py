@@ -39,5 +39,5 @@ def test_edges(spark, docs, nothing, stage):
 
 
 def test_queries_are_named():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(SQL) <= set(QUERIES)
