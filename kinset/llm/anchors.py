@@ -12,23 +12,30 @@ Equal texts are reduced to one representative first. What moves between tasks is
 one small row per anchor, the texts that have repeated anchors (compressed), and
 their segments; equal segments of a task are handed on once. An anchor with very many
 distinct segments, such as one inside a passage that stands in many surroundings, is taken
-apart by longer n-grams, so that what a task compares is bounded.
+apart: equal windows hold it at one place, so windows with the anchor in their first half and
+in their second half are compared apart, and only with those that agree on all words around
+the anchor which these windows share. What a task compares is bounded that way. Only distinct
+segments are taken apart; what is found out about the parts is put together for the segment.
+
+Texts, segments and n-grams are told apart by hashes of 64 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinset.llm.text import (
     SpanHasher,
     WordHasher,
     each_text,
+    fresh,
     mix,
     pack,
     signed,
@@ -38,14 +45,16 @@ from kinset.llm.text import (
     word_table,
 )
 from kinset.operators.joins import attach
-from kinset.plans.session import is_empty, settle, settle_counted
+from kinset.plans.session import is_empty, settle
 
 #: Symbols whose windows are looked at together.
 STRIDE = 1 << 20
 #: Bits of the filter that keeps texts without a repeat from being moved; a fixed size.
 FILTER_BITS = 1 << 23
-#: Distinct segments of one anchor that a task compares; with more the anchor gets longer n-grams.
+#: Distinct segments of one anchor that a task compares; with more they are taken apart (cost only).
 CROWD = 1000
+#: Shares into which the rows of a frequent n-gram are split, and n-grams that can be frequent.
+SHARES, FREQUENT = 64, 1000
 
 
 @dataclass(frozen=True)
@@ -142,12 +151,13 @@ def describe(docs: DataFrame, unit: Unit) -> DataFrame:
     return docs.mapInArrow(run, "_id long, key long, n long")
 
 
-def anchor_rows(docs: DataFrame, unit: Unit) -> DataFrame:
-    """(gram, key, at): anchors of each text, once per task and text. ``at`` packs where the
-    first and the last window of the anchor begin, in 31 bits each (a text has fewer than 2^31 symbols)."""
+def anchor_rows(docs: DataFrame, unit: Unit, frequent: list[int] = ()) -> DataFrame:
+    """(gram, key, at, share): anchors of each text, once per task and text. ``at`` packs where the
+    first and the last window of the anchor begin, in 31 bits each (a text has fewer than 2^31
+    symbols). Rows of the ``frequent`` n-grams, of which there are few, have one of several shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, seen = Symbols(unit), set()
+        symbols, seen, often = Symbols(unit), set(), np.array(sorted(frequent), np.int64)
         for batch in batches:
             for _, _, data, offsets in each_text(batch.column(1)):
                 sums, first = symbols.of(data, offsets)
@@ -155,13 +165,15 @@ def anchor_rows(docs: DataFrame, unit: Unit) -> DataFrame:
                 row, gram, _, lo, hi = anchors(sums, first, symbols.hasher, unit)
                 new = np.array([not (k in seen or seen.add(k)) for k in keys.tolist()], bool)
                 keep = new[row]
-                at = (lo << 31) | hi
+                at = ((lo << 31) | hi)[keep]
+                gram, key = signed(gram[keep]), keys[row[keep]]
+                share = np.where(np.isin(gram, often), (mix(key.view(np.uint64)) % np.uint64(SHARES)).astype(np.int32), 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(gram[keep])), pa.array(keys[row[keep]]), pa.array(at[keep])],
-                    names=["gram", "key", "at"],
+                    [pa.array(gram), pa.array(key), pa.array(at), pa.array(share.astype(np.int32))],
+                    names=["gram", "key", "at", "share"],
                 )
 
-    return docs.mapInArrow(run, "gram long, key long, at long")
+    return docs.mapInArrow(run, "gram long, key long, at long, share int")
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -250,13 +262,19 @@ def segments(docs: DataFrame, unit: Unit, classes: DataFrame) -> DataFrame:
     ``seg`` is the hash of the content, which is null where the same task has handed it
     on already. ``classes``: key, n, rep, copies.
     """
-    rows = anchor_rows(docs, unit)
-    # Each task sums up a frequent n-gram before it is moved, and Spark can split it in the join;
-    # copies of a text in several tasks fall together in the set.
-    several = rows.groupBy("gram").agg(
-        F.min("key").alias("_a"), F.max("key").alias("_b"), F.min("at").alias("_c"), F.max("at").alias("_d")
-    ).where("_a <> _b or _c <> _d").select("gram")
-    found = rows.join(several, "gram")
+    # Each task sums up an n-gram before it is moved.
+    sums = anchor_rows(docs, unit).groupBy("gram").agg(
+        F.min("key").alias("_a"), F.max("key").alias("_b"), F.min("at").alias("_c"), F.max("at").alias("_d"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    several = settle(sums.where("_a <> _b or _c <> _d").select("gram", "n"))
+    total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # Fewer than FREQUENT n-grams can have so large a share of the rows.
+    often = [r["gram"] for r in several.where(F.col("n") > total // FREQUENT).orderBy(F.desc("n")).limit(FREQUENT).collect()]
+    shares = F.when(F.col("n") > total // FREQUENT, SHARES).otherwise(1)
+    several = several.select("gram", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    # Copies of a text in several tasks fall together in the set.
+    found = anchor_rows(docs, unit, often).join(several, ["gram", "share"])
     per_text = found.groupBy("key").agg(F.collect_set(F.struct("gram", "at")).alias("found"))
     # One list for a text, no longer than the text.
     lists = settle(per_text.join(classes.select("key", "rep"), "key").select("rep", "found", "key"))
@@ -298,85 +316,101 @@ def segments(docs: DataFrame, unit: Unit, classes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "gram long, seg long, rep long, lo int, size int, content binary")
 
 
-def finer(distinct: DataFrame, unit: Unit) -> DataFrame:
-    """(gram, seg, times, g2, s2, off, size, from, bytes): the parts of distinct segments by the
-    anchors of ``unit``, whose n-grams are longer. ``g2`` numbers both n-grams, ``s2`` the part;
-    its place and size come in symbols and in bytes of the content."""
+def halves(own: DataFrame, unit: Unit) -> DataFrame:
+    """(gram, seg, least, times, g2, s2, low, high, off, size, content): both parts of distinct
+    segments. ``own``: gram, seg, least, times, low, high, content, where the windows have their
+    anchor ``low`` to ``high`` symbols from their beginning.
+
+    A part has the windows of one half of that range. All of them hold the symbols between the
+    beginning of the last and the end of the first that the range allows; equal windows agree on
+    these, so with n-gram and range they make the part's new number ``g2``. ``s2`` numbers the part
+    itself; off and size tell its place in the segment. The content is null where the same
+    task has handed it on already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, inside, hasher = Symbols(unit), word_table(), SpanHasher(256, seed=41)
-        for batch in batches:
-            for first_row in range(0, batch.num_rows, 1000):
-                part = batch.slice(first_row, 1000)
-                data, offsets = text_buffers_of(part.column(3).to_pylist())
-                sums, first = symbols.of(data, offsets)
-                row, gram, _, lo, hi = anchors(sums, first, symbols.hasher, unit)
-                size = hi - lo + unit.length
+        symbols, inside, hasher, seen = Symbols(unit), word_table(), SpanHasher(256, seed=41), set()
+        names = ["gram", "seg", "least", "times", "g2", "s2", "low", "high", "off", "size", "content"]
+        for batch in (part for whole in batches for part in slices(whole, 1000)):
+            columns = [batch.column(i).to_numpy() for i in range(6)]
+            data, offsets = text_buffers_of(batch.column(6).to_pylist())
+            raw, byte_sums = data.tobytes(), hasher.sums(data)
+            sums, first = symbols.of(data, offsets)
+            # All windows of a segment have its anchor.
+            row, _, place, _, last = anchors(sums, first, symbols.hasher, unit)
+            if unit.words:
+                starts, ends, _ = word_spans(data, offsets, inside)
+            gram, seg, least, times, low, high = (c[row] for c in columns)
+            middle = (low + high) // 2
+            for lo, hi in ((low, middle), (middle + 1, high)):
+                begin, stop = np.maximum(place - hi, 0), np.minimum(place - lo, last) + unit.length
+                fits = stop - begin >= unit.length
+                r, lo, hi, b, e, p = (x[fits] for x in (row, lo, hi, begin, stop, place))
+                core = symbols.hasher.spans(sums, first[r] + p - lo, first[r] + p - hi + unit.length)
+                where = lo.astype(np.uint64) << np.uint64(32) | hi.astype(np.uint64)
+                g2 = mix(mix(gram[fits].view(np.uint64) + where) + core)
                 if unit.words:
-                    starts, ends, _ = word_spans(data, offsets, inside)
-                    begin, end = starts[first[row] + lo], ends[first[row] + lo + size - 1]
+                    x, y = starts[first[r] + b], ends[first[r] + e - 1]
                 else:
-                    begin, end = offsets[row] + lo, offsets[row] + lo + size
-                grams, segs, times = (part.column(i).to_numpy()[row] for i in range(3))
-                g2 = mix(mix(grams.view(np.uint64)) + gram)
-                s2 = hasher.spans(hasher.sums(data), begin, end)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams), pa.array(segs), pa.array(times), pa.array(signed(g2)), pa.array(signed(s2)),
-                     *[pa.array(x.astype(np.int32)) for x in (lo, size, begin - offsets[row], end - begin)]],
-                    names=["gram", "seg", "times", "g2", "s2", "off", "size", "from", "bytes"],
-                )
-
-    columns = "gram long, seg long, times long, g2 long, s2 long, off int, size int, from int, bytes int"
-    return distinct.select("gram", "seg", "times", "content").mapInArrow(run, columns)
-
-
-def uncrowded(cut: DataFrame, n: int, unit: Unit) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """The segments ``cut`` (``n`` rows), those of crowded anchors taken apart: occurrences (gram,
-    seg, rep, lo, size), distinct segments (gram, seg, times, least), contents (gram, seg, content)
-    and the number of occurrences. ``least`` is the smallest rep that holds a segment.
-
-    The windows of an anchor with more than ``CROWD`` distinct segments are anchored again by
-    n-grams of twice the size, as often as needed and up to the whole window, where equal windows
-    are one segment. Equal windows have equal n-grams of every size at equal places, so they stay
-    together, and no window is left out but those whose n-gram occurs once.
+                    x, y = offsets[r] + b, offsets[r] + e
+                s2 = mix(hasher.spans(byte_sums, x, y) + (p - b).astype(np.uint64))
+                pairs = zip(g2.tolist(), s2.tolist(), strict=True)
+                new = [not (k in seen or seen.add(k)) for k in pairs]
+                content = [raw[i:j] if n else None for i, j, n in zip(x.tolist(), y.tolist(), new, strict=True)]
+                out = [gram[fits], seg[fits], least[fits], times[fits], signed(g2), signed(s2), lo, hi, b.astype(np.int32), (e - b).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(content, pa.binary())], names=names)
+            if len(seen) > 1_000_000:
+                seen.clear()
+
+    columns = "gram long, seg long, least long, times long, g2 long, s2 long, low int, high int, off int, size int, content binary"
+    return own.select("gram", "seg", "least", "times", "low", "high", "content").mapInArrow(run, columns)
+
+
+def take_apart(cut: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """What is to be compared of the segments ``cut``: distinct segments or parts (gram, seg, times,
+    least), their contents (gram, seg, content), and for each time that crowded anchors were taken
+    apart the table (gram, seg, least, g2, s2, off, size) of segments and their parts.
+
+    ``least`` is the smallest rep that holds a segment, ``times`` how often it occurs. Anchors with
+    more than ``CROWD`` distinct segments are taken apart by ``halves`` until they have fewer; when
+    the range is one place, a part is one window and equal windows are one part. Each segment has
+    at most two parts each time, and each of its windows is in one of them.
     """
-    places = cut.select("gram", "seg", "rep", "lo", "size")
+    counts = cut.groupBy("gram", "seg").agg(F.count(F.lit(1)).alias("times"), F.min("rep").alias("least"))
+    counts = settle(counts.withColumn("low", F.lit(0)).withColumn("high", F.lit(unit.span - 1)))
     contents = cut.where("content is not null").select("gram", "seg", "content")
-    done: list[tuple[DataFrame, DataFrame, DataFrame]] = []
-    total = n
+    done, levels = [], []
     while True:
-        counts = settle(places.groupBy("gram", "seg").agg(F.count(F.lit(1)).alias("times"), F.min("rep").alias("least")))
-        crowded = settle(counts.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD).select("gram"))
-        if unit.gram >= unit.length or is_empty(crowded):
-            done.append((places, counts, contents))
+        crowded = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"), F.first("low").alias("_l"), F.first("high").alias("_h"))
+        crowded = settle(crowded.where((F.col("_n") > CROWD) & (F.col("_l") < F.col("_h"))).select("gram"))
+        if is_empty(crowded):
+            done.append((counts, contents))
             break
-        done.append(tuple(x.join(crowded, "gram", "left_anti") for x in (places, counts, contents)))
-        unit = Unit(unit.words, unit.length, min(2 * unit.gram, unit.length))
+        done.append(tuple(x.join(crowded, "gram", "left_anti") for x in (counts, contents)))
         own = contents.join(crowded, "gram", "left_semi").dropDuplicates(["gram", "seg"])
-        own = settle(own.join(counts.select("gram", "seg", "times"), ["gram", "seg"]))
-        parts = settle(finer(own, unit))
-        several = parts.groupBy("g2").agg(F.sum("times").alias("_n")).where("_n > 1").select("g2")
-        parts = settle(parts.join(several, "g2"))
-        # At most as many parts as a segment has windows.
-        lists = parts.groupBy("gram", "seg").agg(F.collect_list(F.struct("g2", "s2", "off", "size")).alias("_parts"))
-        moved = attach(places.join(crowded, "gram", "left_semi").drop("size"), settle(lists), ["gram", "seg"], n, "inner")
-        moved = moved.select("rep", "lo", F.explode("_parts").alias("x"))
-        places, n = settle_counted(
-            moved.select(F.col("x.g2").alias("gram"), F.col("x.s2").alias("seg"), "rep", (F.col("lo") + F.col("x.off")).alias("lo"), "x.size")
-        )
-        total += n
-        heads = parts.groupBy("g2", "s2").agg(F.min(F.struct("gram", "seg", "from", "bytes")).alias("x"))
-        heads = heads.select("g2", "s2", "x.*").join(own.select("gram", "seg", "content"), ["gram", "seg"])
-        contents = settle(
-            heads.select(F.col("g2").alias("gram"), F.col("s2").alias("seg"), F.expr("substring(content, `from` + 1, bytes)").alias("content"))
-        )
-    whole = []
-    for frames in zip(*done, strict=True):
-        joined = frames[0]
-        for frame in frames[1:]:
-            joined = joined.unionByName(frame)
-        whole.append(joined)
-    return *whole, total
+        parts = settle(halves(own.join(counts, ["gram", "seg"]), unit))
+        levels.append(parts.select("gram", "seg", "least", "g2", "s2", "off", "size"))
+        counts = parts.groupBy(F.col("g2").alias("gram"), F.col("s2").alias("seg"), "low", "high")
+        counts = settle(counts.agg(F.sum("times").alias("times"), F.min("least").alias("least")))
+        contents = parts.where("content is not null").select(F.col("g2").alias("gram"), F.col("s2").alias("seg"), "content")
+    distinct, whole = (reduce(DataFrame.unionByName, frames) for frames in zip(*done, strict=True))
+    return distinct.select("gram", "seg", "times", "least"), whole, levels
+
+
+def put_together(found: DataFrame, levels: list[DataFrame], lists: dict[str, Callable[[], Column]]) -> DataFrame:
+    """``found`` (gram, seg and other columns) for parts and segments, from that of the parts.
+
+    ``lists`` makes the arrays of a segment from one of its parts: from the part's columns,
+    off, size and least, and the columns of ``found``, whose names begin with _. Arrays of the
+    parts are joined up.
+    """
+    for parts in reversed(levels):
+        child = found.select(F.col("gram").alias("g2"), F.col("seg").alias("s2"), *[F.col(c).alias(f"_{c}") for c in found.columns if c not in ("gram", "seg")])
+        got = attach(parts, child, ["g2", "s2"], parts.count(), "inner")
+        got = got.select("gram", "seg", "least", *[make().alias(c) for c, make in lists.items()])
+        up = got.groupBy("gram", "seg", "least").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in lists])
+        found = settle(found.unionByName(up.select(*found.columns)))
+    return found
 
 
 def text_buffers_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -434,17 +468,19 @@ def cut_spans(
     from pyspark.sql import types as T
 
     added = T._parse_datatype_string(columns)
-    others = [c for c in df.columns if c not in added.fieldNames()]
-    kept = df.select(*others)
+    taken = {c.lower() for c in added.fieldNames()}
+    others = [c for c in df.columns if c.lower() not in taken]
+    i_, k_, s_, e_ = names = fresh(df.columns, "id", "keys", "starts", "ends")
+    kept = df.select(*[F.col(f"`{c}`") for c in others])
     schema = T.StructType([*kept.schema.fields, *added.fields])
     by_id = settle(
-        spans.groupBy("_id").agg(
-            F.collect_list("key").alias("_keys"), F.collect_list("starts").alias("_starts"), F.collect_list("ends").alias("_ends")
+        spans.groupBy(F.col("_id").alias(i_)).agg(
+            F.collect_list("key").alias(k_), F.collect_list("starts").alias(s_), F.collect_list("ends").alias(e_)
         )
     )
-    bits = id_filter(by_id.select("_id"))
-    moved = rows_in(kept, key, bits).join(by_id, F.col(key).cast("long") == by_id["_id"], "left").drop("_id")
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("_keys", "array<long>"), ("_starts", "array<array<int>>"), ("_ends", "array<array<int>>"))]
+    bits = id_filter(by_id.select(i_))
+    moved = rows_in(kept, key, bits).withColumn(i_, F.col(f"`{key}`").cast("long")).join(by_id, i_, "left").drop(i_)
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in zip(names[1:], ("array<long>", "array<array<int>>", "array<array<int>>"), strict=True)]
     still = kept.select("*", *nothing)
     shared = df.sparkSession.sparkContext.broadcast(bits)
 
@@ -481,8 +517,7 @@ def cut_spans(
 
 
 def text_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    key, text = f"`{key}`", f"`{text}`"
     return df.where(F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")
     )
-
-

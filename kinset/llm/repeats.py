@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinset.llm.anchors import Unit, classes_of, cut_spans, merged, segments, text_buffers_of, text_rows, uncrowded
+from kinset.llm.anchors import Unit, classes_of, cut_spans, merged, put_together, segments, take_apart, text_buffers_of, text_rows
 from kinset.llm.text import SpanHasher
 from kinset.operators.joins import attach
 from kinset.plans.session import settle, settle_counted
@@ -213,15 +213,17 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     docs = text_rows(df, key, text)
     facts, classes = classes_of(docs, unit)
     cut, n = settle_counted(segments(docs, unit, classes))
-    cut, distinct, contents, n = uncrowded(cut, n, unit)
+    distinct, contents, levels = take_apart(cut, unit)
     rows = distinct.select("gram", "seg", "times", F.lit(None).cast("binary").alias("content")).unionByName(
         contents.select("gram", "seg", F.lit(None).cast("long").alias("times"), "content")
     )
     rows = rows.repartition("gram").sortWithinPartitions("gram")
     found = repeats_of_segments(rows, length)
     by_segment = settle(
-        found.groupBy("gram", "seg").agg(F.collect_list(F.struct("start", "size", "repeat", "parent")).alias("_r"))
+        found.groupBy("gram", "seg").agg(F.collect_list(F.struct("start", "size", "repeat", "parent")).alias("r"))
     )
+    moved = lambda r: F.struct((r["start"] + F.col("off")).alias("start"), r["size"].alias("size"), r["repeat"].alias("repeat"), r["parent"].alias("parent"))
+    by_segment = put_together(by_segment, levels, {"r": lambda: F.transform("_r", moved)}).withColumnRenamed("r", "_r")
     occurrences = attach(cut.select("gram", "seg", "rep", "lo"), by_segment, ["gram", "seg"], n, "inner")
     return unit, facts, classes, occurrences
 

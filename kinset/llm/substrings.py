@@ -1,8 +1,8 @@
 """Removing word runs that an earlier document holds, by suffix automata.
 
 The reference text of each document is that of all documents with a smaller key. It is
-kept in shards: a shard holds the segments of one anchor (see ``anchors``; of a longer
-n-gram where an anchor is crowded), and a run of
+kept in shards: a shard holds the segments of one anchor (see ``anchors``; parts of them
+where an anchor is crowded), and a run of
 ``length`` words that two documents share lies in the same shard for both. In a shard
 the distinct segments come in the order of the smallest key that holds them. Each is
 streamed through the automaton of those before it, which gives for every word the
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinset.llm.anchors import Slicer, Unit, classes_of, cut_spans, merged, segments, text_rows, uncrowded
+from kinset.llm.anchors import Slicer, Unit, classes_of, cut_spans, merged, put_together, segments, take_apart, text_rows
 from kinset.operators.joins import attach
 from kinset.plans.session import settle, settle_counted
 
@@ -163,11 +163,18 @@ def remove_known_runs(df: DataFrame, key: str = "doc_id", text: str = "text", le
     docs = text_rows(df, key, text)
     facts, classes = classes_of(docs, unit)
     cut, n = settle_counted(segments(docs, unit, classes))
-    cut, distinct, contents, n = uncrowded(cut, n, unit)
+    distinct, contents, levels = take_apart(cut, unit)
     rows = distinct.select("gram", "seg", "least", F.lit(None).cast("binary").alias("content")).unionByName(
         contents.select("gram", "seg", F.lit(None).cast("long").alias("least"), "content")
     )
     found = settle(known_runs(rows.repartition("gram").sortWithinPartitions("gram"), length))
+    # A part that an earlier document holds is known as a whole.
+    known = F.col("_least") < F.col("least")
+    shifted = lambda c: lambda: F.transform(c, lambda x: x + F.col("off"))
+    found = put_together(found, levels, {
+        "starts": lambda: F.when(known, F.array("off")).otherwise(shifted("_starts")()),
+        "ends": lambda: F.when(known, F.array(F.col("off") + F.col("size"))).otherwise(shifted("_ends")()),
+    })
     occurrences = attach(cut.select("gram", "seg", "rep", "lo", "size"), found, ["gram", "seg"], n, "inner")
     own = occurrences.where("rep = least").select(
         "rep",

@@ -7,7 +7,6 @@ Memory is a fixed multiple of ``PIECE`` bytes or of the longest single text.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -67,9 +66,12 @@ class SpanHasher:
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+_STORE: dict[tuple, Any] = {}
+
+
 def process_store(key: tuple, make: Callable[[], Any]) -> Any:
     """One object per key and worker process, kept between its tasks."""
-    store = sys.__dict__.setdefault("_kinset_llm_store", {})
+    store = _STORE
     if key not in store:
         store[key] = make()
     return store[key]
