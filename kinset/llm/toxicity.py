@@ -20,7 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinset.llm.text import SpanHasher, lower_table, mix, pieces, text_buffers, word_spans, word_table
+from kinset.llm.text import (
+    SpanHasher,
+    each_text,
+    fresh,
+    lower_table,
+    mix,
+    pieces,
+    slices,
+    text_buffers,
+    word_spans,
+    word_table,
+)
 
 WIDTHS = (1, 2, 3)
 #: Bytes of the beginnings of a word that count beside the word.
@@ -237,12 +248,10 @@ def calibrate(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         buckets = WordBuckets(len(model.embed))
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
+        for batch in (part for whole in batches for part in slices(whole)):
             found = [np.zeros(0)]
-            for a, b in pieces(offsets, 1 << 19):
-                ids, first = buckets.of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                found.append(_logit(model.raw(ids, first)))
+            for _, _, data, offsets in each_text(batch.column(1)):
+                found.append(_logit(model.raw(*buckets.of(data, offsets))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(np.concatenate(found))], names=["_key", "_lang", "_z"]
             )
@@ -338,35 +347,39 @@ def train(
 
 
 def score(
-    df: DataFrame, net: Network, text: str = "text", lang: str = "lang", out: str = "score"
+    df: DataFrame, net: Network, text: str = "text", lang: str = "lang", out: str = "score", accepted_only: bool = False
 ) -> DataFrame:
     """``df`` with ``score`` (0 to 1), ``cut`` (that of the row's language) and ``rejected``
-    (score at or above the cut).
+    (score at or above the cut); with ``accepted_only`` without the rejected rows.
 
     Null and empty texts have the score of no words. Columns of these names are replaced;
-    a missing or unknown language takes the common cut. No shuffle.
+    a missing or unknown language takes the common cut. No shuffle. Rows are scored in small parts,
+    so memory is a fixed multiple of a part or of the longest text.
     """
-    others = [c for c in df.columns if c not in (out, "cut", "rejected")]
-    kept = df.select(*others)
-    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.DoubleType())])
+    others = [c for c in df.columns if c.lower() not in (out.lower(), "cut", "rejected")]
+    kept = df.select(*[F.col(f"`{c}`") for c in others])
+    cut = F.lit(CUT)
+    if lang in others:
+        for name, value in net.cuts.items():
+            cut = F.when(F.col(f"`{lang}`") == name, value).otherwise(cut)
+    (t,) = fresh([*df.columns, out], "t")
+    rows = df.select(*kept.columns, cut.alias("cut"), F.col(f"`{text}`").cast("string").alias(t))
+    added = [T.StructField(out, T.DoubleType()), T.StructField("cut", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    schema = T.StructType([*kept.schema.fields, *added])
     shared = df.sparkSession.sparkContext.broadcast(net)  # fixed size: buckets x dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         buckets = WordBuckets(len(model.embed))
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
-            found = [np.zeros(0)]
-            for a, b in pieces(offsets, 1 << 19):
-                ids, first = buckets.of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                found.append(model.scores(ids, first))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.concatenate(found))], names=[*batch.schema.names, out]
-            )
+        n = len(others)
+        for batch in (part for whole in batches for part in slices(whole)):
+            for a, b, data, offsets in each_text(batch.column(n + 1)):
+                part = batch.slice(a, b - a)
+                found = model.scores(*buckets.of(data, offsets))
+                rejected = found >= part.column(n).to_numpy()
+                scored = pa.RecordBatch.from_arrays(
+                    [*part.columns[:n], pa.array(found), part.column(n), pa.array(rejected)], names=schema.fieldNames()
+                )
+                yield scored.filter(pa.array(~rejected)) if accepted_only else scored
 
-    scored = kept.mapInArrow(run, schema)
-    cut = F.lit(CUT)
-    if lang in others:
-        for name, value in net.cuts.items():
-            cut = F.when(F.col(lang) == name, value).otherwise(cut)
-    return scored.withColumn("cut", cut).withColumn("rejected", F.col(out) >= F.col("cut"))
+    return rows.mapInArrow(run, schema)

@@ -45,7 +45,11 @@ def test_edges(spark, labelled, docs, nothing):
     assert len(empty) == 1
     assert score(nothing, net).collect() == []
     odd = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int")
-    assert {r.score for r in score(docs, train(docs, odd)).collect()} == {pytest.approx(0, abs=1e-9)}
+    assert all(abs(r.score) < 1e-9 for r in score(docs, train(docs, odd)).collect())
+    kept = score(docs, net, accepted_only=True).collect()
+    assert sorted(map(str, kept)) == sorted(str(r) for r in got if not r.rejected)
+    clash = docs.withColumn("cut", F.lit("x")).withColumn("_t", F.lit(3)).withColumn("rejected", F.lit(1))
+    assert sorted((str(r.doc_id), r.score, r._t) for r in score(clash, net).collect()) == sorted((str(r.doc_id), r.score, 3) for r in got)
     assert fit([], np.zeros(0), [], FitOptions()).cuts == {}
 
 
