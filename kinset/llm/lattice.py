@@ -279,28 +279,37 @@ def near_vectors(
     its own key). Every vector is filed and looked up. Links are found if a chain of pairs that
     meet in buckets connects their vectors: within what is so connected all pairs are compared,
     in parts. Vectors of different lengths are not linked. Equal vectors are linked and count as
-    copies. Vectors that are null, empty, zero or hold null or non-finite components, and rows
+    copies. Rows that repeat a key with another vector are one vertex, so what either links with is
+    reached by both. Vectors that are null, empty, zero or hold null or non-finite components, and rows
     whose key is null, link with nothing. Other columns are not read.
     """
     how = how or Lattice()
-    all_rows = settle(unit_vectors(df, key, vector))
+    all_rows = settle(unit_vectors(df, key, vector).withColumn("rep", F.xxhash64("dim", "unit")))
     good = all_rows.where("unit is not null and _id is not null")
+    # Classes of equal unit vectors are the vertices, named by a hash; keys come in at the end.
     classes, n = settle_counted(
-        good.groupBy("dim", "unit").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        good.groupBy("rep", "dim", "unit").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     )
     units = classes.select("rep", "unit")
     edges = settle(met(file_rows(classes, cosine, how), units, cosine))
     roots = settle(components(edges).select(F.col("id").alias("rep"), F.col("root").alias("component")))
     members = classes.join(roots, "rep").select("component", "rep", "copies", "unit")
     degree = degrees(members, cosine)
-    # A vector equal to another up to scale has the same unit vector, but rows may repeat a key.
-    named = classes.join(roots, "rep", "left").join(degree, "rep", "left").select(
-        "unit", F.coalesce("component", "rep").alias("component_id"),
+    # Rows with one key and different vectors join the components of these.
+    ids = good.groupBy(F.col("_id").alias("_i")).agg(F.min("rep").alias("dst"), F.max("rep").alias("_x")).where("dst <> _x")
+    doubles = good.join(ids.select("_i", "dst"), F.col("_id") == F.col("_i")).select(F.col("rep").alias("src"), "dst")
+    doubles, n_doubles = settle_counted(doubles.where("src <> dst").distinct())
+    if n_doubles:
+        links = roots.select(F.col("rep").alias("src"), F.col("component").alias("dst"))
+        roots = components(links.unionByName(doubles)).select(F.col("id").alias("rep"), F.col("root").alias("component"))
+    smallest = classes.join(roots, "rep").groupBy("component").agg(F.min("least").alias("_least"))
+    named = classes.join(roots, "rep", "left").join(degree, "rep", "left").join(smallest, "component", "left").select(
+        "rep", F.coalesce("_least", "least").alias("component_id"),
         (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    out = attach(good, named, ["unit"], n, "left").unionByName(
+    out = attach(good, named, ["rep"], n, "left").select("_id", "component_id", "n_links").unionByName(
         all_rows.where("unit is null or _id is null").select(
-            "_id", "dim", "unit", F.col("_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")
+            "_id", F.col("_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")
         )
     )
     return out.select(

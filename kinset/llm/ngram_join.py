@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinset.llm.anchors import id_filter, matching
 from kinset.llm.text import (
@@ -38,6 +39,7 @@ from kinset.llm.text import (
     packed_texts,
     shingle_hashes,
     signed,
+    slices,
     unpack,
 )
 from kinset.operators.components import components
@@ -317,53 +319,80 @@ def forest(a: np.ndarray, b: np.ndarray, links: np.ndarray, rows: int) -> np.nda
 
 
 def product(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(rep, root, links): rows of each block pair that are linked in it, the smallest row
+    """(key, root, links): sets of each block pair that are linked in it, the first set
     reached there, and how many documents each is linked with there.
 
-    ``rows``: pair, side, rep, copies, _packed, in one task for each pair.
+    ``rows``: pair, side, key, copies, _packed, in one task for each pair. A key may come with
+    texts of other sets, where rows share an id; those are passed over.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        held: dict[int, tuple[int, int, bytes]] = {}
+        held: dict[int, tuple[int, int, list[bytes]]] = {}
         now = None
 
+        def sets_of(keys: list[int]) -> list[np.ndarray]:
+            blobs = [(k, blob) for k in keys for blob in held[k][2]]
+            sets = shingler.sets_of(unpack([blob for _, blob in blobs]))
+            if len(sets) == len(keys):
+                return sets
+            own = {k: s for (k, _), s in zip(blobs, sets, strict=True) if set_key(s) == k}
+            return [own[k] for k in keys]
+
         def finish() -> pa.RecordBatch | None:
             if len(held) < 2:
                 return None
-            reps = np.array(sorted(held))
-            facts = [held[r] for r in reps.tolist()]
+            keys = np.array(sorted(held))
+            facts = [held[k] for k in keys.tolist()]
             side = np.array([f[0] for f in facts])
             copies = np.array([f[1] for f in facts])
             if side.any() and side.all():
                 return None
-            a, b, links = multiply(shingler.sets_of(unpack([f[2] for f in facts])), side, num, den)
+            a, b, links = multiply(sets_of(keys.tolist()), side, num, den)
             if not links.any():
                 return None
-            degree = np.zeros(len(reps), np.int64)
+            degree = np.zeros(len(keys), np.int64)
             degree[a] += links @ copies[b]
             if len(a) != len(b) or (a != b).any():
                 degree[b] += links.T @ copies[a]
-            label = forest(a, b, links, len(reps))
+            label = forest(a, b, links, len(keys))
             linked = np.flatnonzero(label >= 0)
             return pa.RecordBatch.from_arrays(
-                [pa.array(reps[linked]), pa.array(reps[label[linked]]), pa.array(degree[linked])],
-                names=["rep", "root", "links"],
+                [pa.array(keys[linked]), pa.array(keys[label[linked]]), pa.array(degree[linked])],
+                names=["key", "root", "links"],
             )
 
         for batch in batches:
             columns = [batch.column(i) for i in range(5)]
-            pairs, sides, reps, copies = (c.to_pylist() for c in columns[:4])
+            pairs, sides, keys, copies = (c.to_pylist() for c in columns[:4])
             for i, pair in enumerate(pairs):
                 if pair != now:
                     if (done := finish()) is not None:
                         yield done
                     held, now = {}, pair
-                held[reps[i]] = (sides[i], copies[i], columns[4][i].as_py())
+                blobs = held.setdefault(keys[i], (sides[i], copies[i], []))[2]
+                if (blob := columns[4][i].as_py()) not in blobs:
+                    blobs.append(blob)
         if (done := finish()) is not None:
             yield done
 
-    return rows.mapInArrow(run, "rep long, root long, links long")
+    return rows.mapInArrow(run, "key long, root long, links long")
+
+
+def with_set_key(df: DataFrame, text: str, words: int, name: str) -> DataFrame:
+    """``df`` with the number of each text's n-gram set (0: empty) as a new column ``name``."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in (part for whole in batches for part in slices(whole)):
+            for a, b, data, offsets in each_text(batch.column(at)):
+                keys = [set_key(s) for s in shingler.sets(data, offsets)]
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], names=schema.fieldNames())
+
+    return df.mapInArrow(run, schema)
 
 
 def ngram_jaccard_join(
@@ -376,10 +405,12 @@ def ngram_jaccard_join(
     none and links with nothing. Two documents link when den * common >= num * all.
 
     Returns one row per row of ``df``: ``key``, n_shingles, component_id (smallest key
-    reachable, its own included) and n_links (other documents it links with directly).
-    ``key`` must be a whole number; a row whose key is null is linked only through rows
-    with the same n-grams (null component without). Repeated rows count as copies; rows that
-    repeat a key with another text are one vertex, so what either links with is reached by both.
+    reachable, its own included), n_links (other rows it links with directly), set_key (number
+    of its set, 0 if empty) and text_group (the smallest number of a set reached by links between
+    texts alone; null if empty). ``key`` must be a whole number; a row whose key is null is
+    linked only through rows with the same n-grams (null component without). Repeated rows count
+    as copies; rows that repeat a key with another text are one vertex, so what either links with
+    is reached by both, but their texts link each for itself.
     Other columns are not read, so their names do not matter. Sets are compared by
     hashes of 64 bits.
     """
@@ -398,26 +429,32 @@ def ngram_jaccard_join(
         pairs.where("a <> b").select("pair", F.col("b").alias("block"), F.lit(1).alias("side"))
     )
     members = placed.join(classes.where("rep is not null").drop("n"), "key")
-    wanted = settle(members.join(ends, "block").select("rep", "copies", "pair", "side"))
+    wanted = settle(members.join(ends, "block").select("key", "rep", "copies", "pair", "side"))
     # Only texts that a block needs are moved.
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("rep")))
     packed = packed_texts(docs, "_id", "_text", lambda part: matching(part, "_id", bits.value))
-    rows = wanted.join(packed, wanted["rep"] == packed["_id"]).select("pair", "side", "rep", "copies", "_packed")
+    rows = wanted.join(packed, wanted["rep"] == packed["_id"]).select("pair", "side", "key", "copies", "_packed")
     rows = rows.repartition("pair").sortWithinPartitions("pair")
     linked = settle(product(rows, words, num, den))
-    roots = components(linked.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    degree = linked.groupBy("rep").agg(F.sum("links").alias("_links"))
-    named = (
-        classes.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
-        .join(degree, "rep", "left")
-        .select(
-            "key", "n", F.coalesce("root", "rep").alias("component_id"),
-            (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        )
+    links = linked.select(F.col("key").alias("src"), F.col("root").alias("dst"))
+    groups = components(links).select(F.col("id").alias("key"), F.col("root").alias("_group"))
+    # Rows with one key and different texts join the groups of these.
+    ids = facts.where("n > 0 and _id is not null").groupBy(F.col("_id").alias("_i")).agg(F.min("key").alias("dst"), F.max("key").alias("_x"))
+    ids = ids.where("dst <> _x").select("_i", "dst")
+    doubles = facts.where("n > 0").join(ids, F.col("_id") == F.col("_i")).select(F.col("key").alias("src"), "dst")
+    doubles, n_doubles = settle_counted(doubles.where("src <> dst").distinct())
+    whole = components(links.unionByName(doubles)).select(F.col("id").alias("key"), F.col("root").alias("_whole")) if n_doubles else groups.select("key", F.col("_group").alias("_whole"))
+    degree = linked.groupBy("key").agg(F.sum("links").alias("_links"))
+    known = settle(classes.join(groups, "key", "left").join(whole, "key", "left").join(degree, "key", "left"))
+    # The smallest document of a component; sets without company are components of their own.
+    smallest = known.where("_whole is not null").groupBy("_whole").agg(F.min("rep").alias("_least"))
+    named = known.join(smallest, "_whole", "left").select(
+        "key", "n", F.coalesce("_least", "rep").alias("component_id"), F.coalesce("_group", "key").alias("text_group"),
+        (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     out = attach(facts, named, ["key", "n"], n_classes)
     return out.select(
         F.col("_id").alias(key), F.col("n").alias("n_shingles"),
         F.coalesce("component_id", F.when(F.col("n") == 0, F.col("_id"))).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("key").alias("set_key"), "text_group",
     )

@@ -34,7 +34,7 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
 def op1_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Classes of all documents that 4-word shingles link at 0.85."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return ngram_jaccard_join(docs, words=4, num=85, den=100)
+    return ngram_jaccard_join(docs, words=4, num=85, den=100).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_phrase_fingerprints(spark: SparkSession, sf: str) -> DataFrame:

@@ -36,6 +36,18 @@ def test_equals_brute_force(spark, monkeypatch):
     assert near_vectors(df.limit(0)).collect() == []
 
 
+def test_two_vectors_under_one_key(spark):
+    """Vectors near both vectors of key 5; each key's component holds all that its vectors reach."""
+    rng = np.random.default_rng(4)
+    a, b, c = rng.normal(size=(3, 16))
+    near = lambda v: (v + rng.normal(size=16) * 0.02).tolist()
+    rows = [(5, a.tolist()), (5, b.tolist()), (9, near(a)), (10, near(b)), (3, near(b)), (7, c.tolist()), (8, near(c)), (5, a.tolist()), (12, rng.normal(size=16).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect())
+    assert got == sorted([(5, 2, 3, False), (5, 2, 3, False), (5, 2, 3, False), (9, 2, 3, False), (10, 2, 3, False), (3, 2, 3, True),
+                          (7, 1, 7, True), (8, 1, 7, False), (12, 0, 12, True)])
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(0)
     a = rng.normal(size=(1500, 64))

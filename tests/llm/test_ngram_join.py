@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -18,7 +19,7 @@ def shingles(text, k):
 
 def model(rows, k, num, den):
     sets = [(i, shingles(t, k)) for i, t in rows]
-    root = {i: i for i, _ in sets}
+    root = {i: i for i, _ in sets}  # rows with one id are one vertex
 
     def find(x):
         while root[x] != x:
@@ -38,19 +39,31 @@ def model(rows, k, num, den):
 
 @pytest.mark.parametrize("k,num,den", [(5, 80, 100), (4, 85, 100)])
 def test_equals_brute_force(docs, corpus, k, num, den):
-    # Without the repeated id with two texts, of which each has a component of its own.
-    rows = [r for r in corpus if r[0] != 82]
-    got = ngram_jaccard_join(docs.where("doc_id <> 82"), words=k, num=num, den=den).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == model(rows, k, num, den)
+    got = ngram_jaccard_join(docs, words=k, num=num, den=den).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == model(corpus, k, num, den)
+
+
+def test_two_texts_under_one_key(spark):
+    """Near copies of both texts of doc 5, and of one of them under a smaller and a larger key."""
+    rng = random.Random(6)
+    a, b, c = (" ".join(f"{rng.randrange(10**6):x}" for _ in range(60)) for _ in range(3))
+    rows = [(5, a), (5, b), (9, a + " x"), (10, b + " y"), (3, "z " + b), (7, c), (8, c), (8, "w " + a), (5, a), (11, None), (11, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_jaccard_join(df)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got.collect()) == model(rows, 5, 80, 100)
+    # Texts alone: those like a, those like b, c.
+    groups = {}
+    for r in got.where("n_shingles > 0").collect():
+        groups.setdefault(r.text_group, set()).add((r.doc_id, r.set_key))
+    assert sorted(sorted(i for i, _ in g) for g in groups.values()) == [[3, 5, 10], [5, 8, 9], [7, 8]]
 
 
 def test_large_groups_are_split(docs, corpus, monkeypatch):
     import kinset.llm.ngram_join as m
 
     monkeypatch.setattr(m, "BLOCK", 1500)
-    rows = [r for r in corpus if r[0] != 82]
-    got = m.ngram_jaccard_join(docs.where("doc_id <> 82")).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == model(rows, 5, 80, 100)
+    got = m.ngram_jaccard_join(docs).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == model(corpus, 5, 80, 100)
 
 
 def test_empty_and_null_keys(spark, nothing):

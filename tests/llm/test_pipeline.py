@@ -30,6 +30,15 @@ def test_near_duplicates_leave_one(spark, docs, corpus):
     assert copies == [] and {r.doc_id for r in kept} >= {75, 76, 77, 81}
 
 
+def test_texts_under_one_id_are_judged_alone(spark, docs):
+    words = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    rows = [(5, words("a")), (5, words("b")), (9, words("a") + " x"), (8, words("c")), (8, "w " + words("b")), (4, words("a").upper()), (4, words("a")),
+            (None, words("a")), (6, None), (6, ""), (6, ""), (7, "one"), (7, "one")]
+    df = spark.createDataFrame([(i, t, "s", "en", 1, "k", 1) for i, t in rows], docs.schema).repartition(3)
+    kept = sorted(((r.doc_id, (r.text or "-")[:2].lower()) for r in corpus_pipeline.ngram_jaccard(spark, df, SF).collect()), key=str)
+    assert kept == sorted([(4, "a0"), (5, "b0"), (8, "c0"), (None, "a0"), (6, "-"), (6, "-"), (7, "on")], key=str)
+
+
 @pytest.mark.parametrize("stage", ["ngram_jaccard", "suffix_array", "mixing", "sentencepiece"])
 def test_edges(spark, docs, nothing, stage):
     run = dict(corpus_pipeline.STAGES)[stage]
