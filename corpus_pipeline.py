@@ -83,7 +83,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is a source. Rows without words have no size and are not taken; repeated rows
     are rows of their own, and a null doc_id is a value like others.
     """
-    return mixed_rows(docs).select(*docs.columns)
+    return mixed_rows(docs, tuple(fresh(docs.columns, "shard", "place"))).select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinset.llm.text import set_aside
+
 #: Base phrases and their labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -237,7 +239,8 @@ def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     results; columns of the result's names are replaced, others stay. No shuffle.
     """
     added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches")
-    others = [c for c in df.columns if c not in added]
+    df, (text,), restore = set_aside(df, text)
+    others = [c for c in df.columns if c.lower() not in added]
     table = json.dumps([r.__dict__ | {"number": i} for i, r in enumerate(rules())])
     every = F.from_json(F.lit(table), "array<struct<label:string,keyword:string,pattern:string,priority:int,weight:double,number:int>>")
     w = F.col("_w")
@@ -283,9 +286,9 @@ def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     base_labels = F.array_sort(F.array_distinct(F.col("_base.label")))
     labels = F.array_sort(F.array_union(base_labels, F.col("matches.label")))
     best = F.coalesce(F.array_max("matches.weight"), F.lit(0.0))
-    return found.select(
+    return restore(found.select(
         *others, F.col("_n").alias("n_words"), F.size("_base").cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join(base_labels, ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
         F.when(F.size("_base") > 0, F.greatest(best, F.lit(0.5))).otherwise(best).alias("score"), "matches",
-    )
+    ))

@@ -1,7 +1,8 @@
 """Mixing sources to target weights with a splitting tree.
 
-Every source's documents are dealt by hash into a fixed number of blocks. A source whose target is below its size takes part of its blocks: an exact number, drawn
-without replacement. A source with a target above its size takes all blocks once and
+Every source's documents are dealt by hash into blocks, of which there are the more the more
+rows there are. A source whose target is below its size takes part of its blocks: an exact
+number, drawn without replacement. A source with a target above its size takes all blocks once and
 draws the rest for a second time. The quotas of all sources are then split among the
 output shards by a binary tree: at each node the blocks that its left half gets are
 drawn from a multivariate hypergeometric distribution, so every shard gets an exact
@@ -21,10 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinset.plans.session import settle
+from kinset.llm.text import fresh, set_aside
+from kinset.plans.session import settle, settle_counted
 
-#: Blocks of each source, whatever its size: what is planned per block stays small.
-BLOCKS = 1024
+#: Least blocks of each source, and rows of all sources above which there is a block more.
+BLOCKS, BLOCK_ROWS = 1024, 100_000
+#: Columns that ``mix_sources`` adds.
+ADDED = ("size", "source_size", "target", "taken", "placed")
+#: Least shards of a mix, and planned words above which there is a shard more.
+SHARDS, SHARD_WORDS = 16, 20_000_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -110,7 +116,7 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
 
 def mix_sources(
     df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-    weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 17,
+    weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, shards: int | None = None, seed: int = 17,
 ) -> DataFrame:
     """``df`` with size (words of the whole text), source_size, target, taken (words that the mix
     takes of the row, repeats counted) and placed, a list of (shard, place) for each time it is
@@ -122,18 +128,21 @@ def mix_sources(
     the nearest in size to what is missing, makes up for the rest. Null and empty texts have size 0 and are taken as often as their block. Null
     sources form one source, weighed last. Null keys and repeated rows are ordinary rows, told
     apart by their text; equal rows share their fate. Columns of the result's names are replaced.
+    Without ``shards`` their number follows from the planned words.
     """
-    added = ["size", "source_size", "target", "taken", "placed"]
-    others = [c for c in df.columns if c not in added]
+    df, (key, text, source), restore = set_aside(df, key, text, source)
+    others = [c for c in df.columns if c.lower() not in ADDED]
     row = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text))
-    sized = df.select(
-        *others, word_count(text).alias("size"), row.alias("_row"),
-        F.pmod(F.xxhash64(row, F.lit("block")), F.lit(BLOCKS)).alias("_block"),
-    )
-    small = settle(sized.select(F.col(source).alias("_source"), "_block", "_row", "size"))
+    sized = df.select(*others, word_count(text).alias("size"), row.alias("_row"), F.col(source).alias("_from"))
+    small, n = settle_counted(sized.select(F.col("_from").alias("_source"), "_row", "size"))
+    block = F.pmod(F.xxhash64("_row", F.lit("block")), F.lit(max(BLOCKS, n // BLOCK_ROWS)))
+    sized, small = (x.withColumn("_block", block) for x in (sized, small))
     blocks = small.groupBy("_source", "_block").agg(F.sum("size").alias("_words"))
     totals = small.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))
     targets = settle(source_targets(totals, weights, share, most))
+    if shards is None:
+        planned = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
+        shards = max(SHARDS, int(planned // SHARD_WORDS))
     plan = _plan_blocks(settle(blocks), targets, most, shards, seed)
     whole = ~F.col("_extra") | (F.col("_left") >= F.col("_words"))
     # Where a quota ends inside a block, its rows are taken in permuted order while they fit ...
@@ -155,7 +164,7 @@ def mix_sources(
     filler = settle(filler.select(F.col("_source").alias("_s"), F.col("_f._block").alias("_b"), F.col("_f._row").alias("_fill")))
     plan = plan.join(filler, plan["_source"].eqNullSafe(filler["_s"]) & (plan["_at"] == filler["_b"]), "left").drop("_s", "_b")
     rows = sized.join(
-        plan, sized[source].eqNullSafe(plan["_source"]) & (sized["_block"] == plan["_at"])
+        plan, sized["_from"].eqNullSafe(plan["_source"]) & (sized["_block"] == plan["_at"])
     )
     taken = ends.where("_fits").select(F.col("_row").alias("_taken_row"), F.col("size").alias("_taken_size")).distinct()
     ended = rows.where(~whole).join(
@@ -168,13 +177,13 @@ def mix_sources(
     rows = rows.withColumn("_shards", F.when(filled, F.concat(F.slice("_shards", F.lit(1), F.col("_rounds")), last)).otherwise(F.col("_shards")))
     rows = rows.withColumn("_x", F.col("_x") | filled)
     times = F.col("_rounds") + F.col("_x").cast("int")
-    return rows.select(
+    return restore(rows.select(
         *others, "size", "source_size", "target", (F.col("size") * times).alias("taken"),
         F.transform(
             F.slice("_shards", F.lit(1), times),
             lambda s, i: F.struct(s.alias("shard"), F.xxhash64(F.col("_row"), s, i).alias("place")),
         ).alias("placed"),
-    )
+    ))
 
 
 def _plan_blocks(blocks: DataFrame, targets: DataFrame, most: float, shards: int, seed: int) -> DataFrame:
@@ -221,9 +230,18 @@ def _plan_blocks(blocks: DataFrame, targets: DataFrame, most: float, shards: int
     )
 
 
-def mixed_rows(df: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``df`` with shard and place, a row for each time a row is
-    taken, one partition holding whole shards in shuffled order. Options as ``mix_sources``."""
-    mixed = mix_sources(df, **options)
-    rows = mixed.select(*df.columns, F.explode("placed").alias("_p")).select(*df.columns, "_p.*")
-    return rows.repartition("shard").sortWithinPartitions("shard", "place")
+def mixed_rows(df: DataFrame, names: tuple[str, str] = ("shard", "place"), **options) -> DataFrame:
+    """The mix itself: the columns of ``df`` with shard and place (called ``names``), a row for each
+    time a row is taken, one partition holding whole shards in shuffled order. Options as
+    ``mix_sources``. Columns of ``df`` keep their values, also those with names that ``mix_sources``
+    adds, but for columns called as ``names``, which are replaced."""
+    shard, place = names
+    kept = [c for c in df.columns if c.lower() not in (shard.lower(), place.lower())]
+    clash = [c for c in kept if c.lower() in ADDED]
+    own = dict(zip(clash, fresh([*df.columns, *ADDED], *clash), strict=True))
+    options |= {x: own.get(options[x], options[x]) for x in ("key", "text", "source") if x in options}
+    mixed = mix_sources(df.withColumnsRenamed(own), **options)
+    (p,) = fresh(mixed.columns, "p")
+    rows = mixed.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in kept], F.explode("placed").alias(p))
+    rows = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"{p}.shard").alias(shard), F.col(f"{p}.place").alias(place))
+    return rows.repartition(F.col(shard)).sortWithinPartitions(shard, place)

@@ -12,6 +12,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
 PIECE = 1 << 19
@@ -181,6 +182,18 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return [f"{mark}{n}" for n in names]
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """``df`` with its columns that begin with _ renamed, so that names made inside an operator
+    cannot clash with them; ``names`` as they are then called, and what gives the old names back."""
+    known, new = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.startswith("_"):
+            new[c] = next(n for n in (f"aside{i}" for i in range(2 * len(df.columns) + 1)) if n not in known)
+            known.add(new[c])
+    back = {v: k for k, v in new.items()}
+    return df.withColumnsRenamed(new), [new.get(n, n) for n in names], lambda out: out.withColumnsRenamed(back)
+
+
 def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Parts of a batch, so that what is made of them stays small."""
     for first in range(0, batch.num_rows, rows):
