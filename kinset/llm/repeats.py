@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from kinset.llm.anchors import Unit, classes_of, cut_spans, merged, put_together, segments, take_apart, text_buffers_of, text_rows
 from kinset.llm.text import SpanHasher
-from kinset.operators.joins import attach
-from kinset.plans.session import settle, settle_counted
+from kinset.operators.joins import attach, join_keys
+from kinset.plans.session import settle
 
 #: Bytes of an anchor's n-gram.
 GRAM = 80
@@ -212,7 +212,7 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     unit = Unit(False, length, min(GRAM, length))
     docs = text_rows(df, key, text)
     facts, classes = classes_of(docs, unit)
-    cut, n = settle_counted(segments(docs, unit, classes))
+    cut = settle(segments(docs, unit, classes))
     distinct, contents, levels = take_apart(cut, unit)
     rows = distinct.select("gram", "seg", "times", F.lit(None).cast("binary").alias("content")).unionByName(
         contents.select("gram", "seg", F.lit(None).cast("long").alias("times"), "content")
@@ -224,7 +224,8 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     )
     moved = lambda r: F.struct((r["start"] + F.col("off")).alias("start"), r["size"].alias("size"), r["repeat"].alias("repeat"), r["parent"].alias("parent"))
     by_segment = put_together(by_segment, levels, {"r": lambda: F.transform("_r", moved)}).withColumnRenamed("r", "_r")
-    occurrences = attach(cut.select("gram", "seg", "rep", "lo"), by_segment, ["gram", "seg"], n, "inner")
+    # One row for each key on the right, so Spark can split the rows of a frequent one.
+    occurrences = join_keys(cut.select("gram", "seg", "rep", "lo"), by_segment, ["gram", "seg"], "inner")
     return unit, facts, classes, occurrences
 
 

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinset.llm.anchors import Slicer, Unit, classes_of, cut_spans, merged, put_together, segments, take_apart, text_rows
-from kinset.operators.joins import attach
-from kinset.plans.session import settle, settle_counted
+from kinset.operators.joins import attach, join_keys
+from kinset.plans.session import settle
 
 #: Words of an anchor's n-gram.
 GRAM = 16
@@ -162,7 +162,7 @@ def remove_known_runs(df: DataFrame, key: str = "doc_id", text: str = "text", le
     unit = Unit(True, length, min(GRAM, length))
     docs = text_rows(df, key, text)
     facts, classes = classes_of(docs, unit)
-    cut, n = settle_counted(segments(docs, unit, classes))
+    cut = settle(segments(docs, unit, classes))
     distinct, contents, levels = take_apart(cut, unit)
     rows = distinct.select("gram", "seg", "least", F.lit(None).cast("binary").alias("content")).unionByName(
         contents.select("gram", "seg", F.lit(None).cast("long").alias("least"), "content")
@@ -175,16 +175,16 @@ def remove_known_runs(df: DataFrame, key: str = "doc_id", text: str = "text", le
         "starts": lambda: F.when(known, F.array("off")).otherwise(shifted("_starts")()),
         "ends": lambda: F.when(known, F.array(F.col("off") + F.col("size"))).otherwise(shifted("_ends")()),
     })
-    occurrences = attach(cut.select("gram", "seg", "rep", "lo", "size"), found, ["gram", "seg"], n, "inner")
-    own = occurrences.where("rep = least").select(
-        "rep",
-        F.transform("starts", lambda x: x + F.col("lo")).alias("s"),
-        F.transform("ends", lambda x: x + F.col("lo")).alias("e"),
+    # One row for each key on the right, so Spark can split the rows of a frequent one.
+    occurrences = join_keys(cut.select("gram", "seg", "rep", "lo", "size"), found, ["gram", "seg"], "inner")
+    # The document that holds a segment first loses what still earlier ones hold of it, others all.
+    first = F.col("rep") == F.col("least")
+    moved = lambda c: F.transform(c, lambda x: x + F.col("lo"))
+    places = occurrences.where(~first | (F.size("starts") > 0)).select(
+        "rep", F.when(first, moved("starts")).otherwise(F.array("lo")).alias("s"),
+        F.when(first, moved("ends")).otherwise(F.array(F.col("lo") + F.col("size"))).alias("e"),
     )
-    later = occurrences.where("rep <> least").select(
-        "rep", F.array("lo").alias("s"), F.array(F.col("lo") + F.col("size")).alias("e")
-    )
-    spans = own.where("size(s) > 0").unionByName(later).groupBy("rep").agg(
+    spans = places.groupBy("rep").agg(
         F.flatten(F.collect_list("s")).alias("starts"), F.flatten(F.collect_list("e")).alias("ends")
     )
     single = spans.join(classes, "rep").select(F.col("rep").alias("_id"), "key", "starts", "ends")
