@@ -35,6 +35,7 @@ from kinset.llm.text import (
     SpanHasher,
     WordHasher,
     each_text,
+    forget,
     fresh,
     mix,
     pack,
@@ -74,6 +75,7 @@ class Symbols:
     """Symbols of texts as running hash sums."""
 
     def __init__(self, unit: Unit):
+        forget()
         self.unit = unit
         self.bytes, self.places = SpanHasher(256, seed=31), SpanHasher(2)
         self.word_hasher = WordHasher(lower=False) if unit.words else None

@@ -35,6 +35,7 @@ from kinset.llm.text import (
     WordHasher,
     distinct,
     each_text,
+    forget,
     mix,
     packed_texts,
     shingle_hashes,
@@ -58,6 +59,7 @@ class Shingler:
     """The sets of distinct word n-grams of texts, as sorted hashes of 64 bits."""
 
     def __init__(self, words: int):
+        forget()
         self.words, self.hasher = words, WordHasher()
 
     def sets(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:

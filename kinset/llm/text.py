@@ -78,6 +78,12 @@ def process_store(key: tuple, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
+def forget() -> None:
+    """Gives back what an earlier stage's operator has kept in this worker; called by operators that
+    keep nothing themselves, before they start."""
+    _STORE.clear()
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a text column; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")

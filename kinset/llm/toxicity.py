@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from kinset.llm.text import (
     SpanHasher,
     each_text,
+    forget,
     fresh,
     lower_table,
     mix,
@@ -65,6 +66,7 @@ class WordBuckets:
     lower case. Bucket 0 stands between texts."""
 
     def __init__(self, buckets: int):
+        forget()
         spaces = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
         self.inside, self.lower = word_table(spaces), lower_table()
         self.hasher, self.buckets = SpanHasher(256, seed=23), np.uint64(buckets - 1)
