@@ -37,6 +37,7 @@ if LLM_QUERIES:
 LG = ["v_call", "j_call", "junction_length"]
 BRAND = ["p_brand"]
 TIGHT, WIDE = 0.06, 0.14
+LABEL_CUTS = (0.03, 0.06, 0.09, 0.12, 0.15)
 
 
 def junctions(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,10 +162,9 @@ def _compare(spark, sf):
 
 
 def _route(spark, sf):
-    """A method for each group by a column of the caller's, here made of the groups' sizes."""
-    df = junctions(spark, sf)
-    how = F.when(F.col("n") < 10, "leader").when(F.col("n") < 15, "linkage").otherwise("two_stage")
-    routed = df.join(k.group_sizes(df, LG).select(*LG, how.alias("how")), LG)
+    """A method for each group by a column of the table, the market segment."""
+    how = F.when(F.col("j_call") == "BUILDING", "leader").when(F.col("j_call") == "MACHINERY", "two_stage")
+    routed = junctions(spark, sf).withColumn("how", how.otherwise("linkage"))
     return k.route_groups(
         routed, LG, "hamming", WIDE, "how", ["leader", "linkage", "two_stage"], OPTIONS
     )
@@ -206,15 +206,107 @@ def _to_ten(spark, sf):
     return k.cut_merges(df, LG, k.linkage_merges(df, LG, "hamming", "average"), k=10)
 
 
+def _similarities(spark, sf):
+    """The whole similarity table of each group."""
+    pairs = k.distance_pairs(junctions(spark, sf), LG, "hamming")
+    return pairs.withColumn("dist", 1 - F.col("dist"))
+
+
 def _agglomerate(spark, sf):
-    """Average linkage over the similarities of close junctions, others being 0."""
-    near = k.near_pairs(junctions(spark, sf), LG, "hamming", WIDE)
-    near = near.withColumn("dist", 1 - F.col("dist"))
-    merges = agglomerate(near, LG, "average", 0.5, "similarity")
+    """Average linkage over all similarities of the junctions of a group."""
+    merges = agglomerate(_similarities(spark, sf), LG, "average", 0.5, "similarity")
     # Sums taken in another order differ in the last digits.
     return merges.withColumn("height", F.round("height", 9))
 
 
+def _similar_to_ten(spark, sf):
+    """Average linkage over all similarities down to ten clusters a group."""
+    return k.cut_merges(junctions(spark, sf), LG, agglomerate(_similarities(spark, sf), LG, "average", None, "similarity"), k=10)
+
+
+def _dendrogram(spark, sf):
+    """Nodes of the single-linkage trees, children and leaf intervals."""
+    merges = k.tree_merges(k.mst_edges(junctions(spark, sf), LG, "hamming", 0.25), LG)
+    return k.dendrogram(merges, LG).withColumn("height", F.round("height", 9))
+
+
+def _node_leaves(spark, sf):
+    """The records below every node of the single-linkage trees of parts, as numbers and sums."""
+    df = parts(spark, sf)
+    merges = k.tree_merges(k.mst_edges(df, BRAND, "edit", 4.0), BRAND)
+    merges = merges.withColumn("height", F.col("height"))
+    found = k.node_leaves(k.dendrogram(merges, BRAND), k.leaves(df, BRAND, merges), BRAND)
+    return found.groupBy(*BRAND, "node").agg(F.count(F.lit(1)).alias("records"), F.sum("id").alias("ids"), F.min("id").alias("first_id"))
+
+
+def _sweep_labels(linkage):
+    def run(spark, sf):
+        found = k.sweep_members(junctions(spark, sf), LG, "hamming", LABEL_CUTS, linkage)
+        return found.select(*LG, "id", "thres", "cluster_id")
+
+    return run
+
+
+def _distance_table(spark, sf):
+    """The distance table of each group in both directions."""
+    return k.distance_pairs(parts(spark, sf), BRAND, "edit", symmetric=True)
+
+
+def _annotated_file(spark, sf):
+    """Customers as a header TSV file, written and read back."""
+    path = k.shared_path(spark, "annotated")
+    table = junctions(spark, sf).select(
+        F.col("id").alias("Index"), F.concat(F.lit("s"), "id").alias("ID"), F.col("v_call").alias("V_CALL"),
+        F.col("j_call").alias("J_CALL"), F.col("junction_length").alias("JUNCTION_LENGTH"), F.col("seq").alias("JUNCTION"),
+    )
+    table.write.csv(path, sep="\t", header=True)
+    return k.as_sequences(k.read_annotated(spark, path, {"ID": "SEQUENCE_ID"}))
+
+
+def _grouped_file(spark, sf):
+    """Customers as a text file of groups under a header, written and read back."""
+    path = k.shared_path(spark, "grouped")
+    record = F.concat_ws(",", F.col("id").cast("string"), "j_call", "seq")
+    line = F.concat(F.col("v_call").cast("string"), F.lit('\t"'), record, F.lit('"'))
+    lines = junctions(spark, sf).select(F.col("id"), line.alias("value"))
+    head = spark.createDataFrame([(None, "gid\trecord")], lines.schema)
+    # The header comes first, in the first file.
+    lines = head.unionByName(lines).repartitionByRange("id").sortWithinPartitions("id")
+    lines.select("value").write.text(path)
+    return k.read_grouped(spark, path, p=4)
+
+
+def _fasta_file(spark, sf):
+    """Customers as FASTA files, written and read back; ids follow the order of the files."""
+    path = k.shared_path(spark, "fasta")
+    text = F.concat(F.lit(">"), "j_call", F.lit("\n"), F.substring("seq", 1, 9), F.lit("\n"), F.substring("seq", 10, 99))
+    lines = junctions(spark, sf).select("id", text.alias("value")).repartitionByRange("id").sortWithinPartitions("id")
+    lines.select("value").write.text(path)
+    return k.read_fasta(spark, path)
+
+
+def _cluster_files(spark, sf):
+    """Cluster lists, a line for each group or part of one, written and read back."""
+    df = junctions(spark, sf)
+    path = k.shared_path(spark, "clusters")
+    lists = k.cluster_lists(df, _single(spark, sf), LG, "hamming", list_rows=10)
+    k.write_cluster_lists(lists, LG, path)
+    return k.read_cluster_lists(spark, path, "v_call int, j_call string, junction_length int")
+
+
+def _label_files(spark, sf):
+    """Label files for each method and group in record order, written and read back."""
+    df = junctions(spark, sf)
+    path = k.shared_path(spark, "labels")
+    by = ["method", *LG]
+    found = [
+        members.select(F.lit(name).alias("method"), *LG, "id", "cluster_id")
+        for name, members in (("mst", _single(spark, sf)), ("leader", k.leader_clusters(df, LG, "hamming", WIDE)))
+    ]
+    k.write_group_labels(k.group_labels(found[0].unionByName(found[1]), by), by, path)
+    return k.read_group_labels(spark, path, "method string, v_call int, j_call string, junction_length int")
+
+
 def _linkage(linkage):
     return lambda spark, sf: k.linkage_clusters(junctions(spark, sf), LG, "hamming", WIDE, linkage)
 
@@ -254,7 +346,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "condense": lambda s, d: k.condense(jn(s, d), LG, "hamming", TIGHT, WIDE),
         "condense_summaries": _summaries,
         "two_stage": lambda s, d: k.two_stage(jn(s, d), LG, "hamming", WIDE, TIGHT, TIGHT),
-        "route_by_size": _route,
+        "route_by_segment": _route,
         "tree_cut": _tree_cut,
         "single_linkage_dense": lambda s, d: k.single_linkage(padded(s, d), ["g"], "hamming", 0.2),
         "cluster_groups_mst": lambda s, d: k.cluster_groups(jn(s, d), LG, 1, "hamming", WIDE),
@@ -271,6 +363,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "linkage_complete": _linkage("complete"),
         "linkage_average": _linkage("average"),
         "agglomerate_average": _agglomerate,
+        "similar_to_ten": _similar_to_ten,
+        "dendrogram": _dendrogram,
+        "node_leaves": _node_leaves,
+        "sweep_labels_average": _sweep_labels("average"),
+        "sweep_labels_complete": _sweep_labels("complete"),
+        "linkage_average_edit": lambda s, d: k.linkage_clusters(parts(s, d), BRAND, "edit", 3.0, "average"),
+        "distance_table": _distance_table,
+        "annotated_file": _annotated_file,
+        "grouped_file": _grouped_file,
+        "fasta_file": _fasta_file,
+        "cluster_files": _cluster_files,
+        "label_files": _label_files,
     } | LLM_QUERIES
 
 
@@ -406,13 +510,18 @@ def _sql_forest(t: float) -> str:
       from c a join c b on b.m = a.m - 1 where b.c > a.c"""
 
 
-def _sql_linkage(height: str, t: float | None, k: int | None = None) -> str:
+def _sql_linkage(
+    height: str, t: float | None, k: int | None = None, cuts: tuple[float, ...] | None = None, metric: str = "hamming"
+) -> str:
     """Rounds of mutual first choices by (height, smaller id, larger id) below ``t``; with ``k`` only
-    the lowest n - k merges of each group count. Names have 18 letters."""
+    the lowest n - k merges of each group count, with ``cuts`` the merges below each of them. Names
+    have 18 letters."""
     below = "true" if t is None else f"h < {t}"
-    rounds = f"""with recursive {_J},
-      d as (select a.id as x, b.id as y, hamming(a.seq, b.seq) as m
-            from j a join j b using ({_G}) where a.id <> b.id),
+    table, g = _table(metric)
+    m = "hamming(a.seq, b.seq)" if metric == "hamming" else "levenshtein(a.seq, b.seq)"
+    rounds = f"""with recursive {table},
+      d as (select a.id as x, b.id as y, {m} as m
+            from j a join j b using ({g}) where a.id <> b.id),
       st as (select 0 as it, id, id as cl, id as was, 0::double as h, true as moved from j union all (
         with cur as (select id, cl from st where it < 200 and moved),
         e as (select p.cl as a, q.cl as b, {height} as h
@@ -422,8 +531,16 @@ def _sql_linkage(height: str, t: float | None, k: int | None = None) -> str:
         select (select max(it) from st) + 1, cur.id, coalesce(mv.keep, cur.cl), cur.cl, mv.h,
                (select count(*) from mv) > 0
         from cur left join mv on mv.gone = cur.cl))"""
+    if cuts:
+        steps = ", ".join(f"({t}::double)" for t in cuts)
+        return f"""{rounds},
+          mg as (select distinct it, cl as keep, was as gone, h from st where cl <> was),
+          cuts(thres) as (values {steps}),
+          up as (select thres, id, id as root from j, cuts
+                 union select thres, up.id, mg.keep from up join mg on mg.gone = up.root and mg.h < thres)
+          select {g}, id, thres, min(root) as cluster_id from up join j using (id) group by all"""
     if k is None:
-        return f"""{rounds} select {_G}, id, cl as cluster_id from st join j using (id)
+        return f"""{rounds} select {g}, id, cl as cluster_id from st join j using (id)
           where it = (select max(it) from st)"""
     return f"""{rounds},
       mg as (select distinct it, cl as keep, was as gone, h from st where cl <> was),
@@ -435,26 +552,60 @@ def _sql_linkage(height: str, t: float | None, k: int | None = None) -> str:
       select {_G}, id, min(root) as cluster_id from up join j using (id) group by all"""
 
 
-# Average similarity of close pairs, others being 0: rounds of mutual first choices above 0.5 by
-# (height, larger id, smaller id), the largest first; merges numbered by height.
-_AGGLOMERATE = f"""with recursive {_J},
-  d as (select a.id as x, b.id as y, case when hamming(a.seq, b.seq)::double / 18 < {WIDE}
-          then 1 - hamming(a.seq, b.seq)::double / 18 else 0 end as m
-        from j a join j b using ({_G}) where a.id <> b.id),
-  st as (select 0 as it, id, id as cl, id as was, 0::double as h, true as moved from j union all (
-    with cur as (select id, cl from st where it < 200 and moved),
-    e as (select p.cl as a, q.cl as b, sum(m) / count(*) as h
-          from d join cur p on p.id = d.x join cur q on q.id = d.y where p.cl <> q.cl group by 1, 2),
-    best as (select a, min(row(-round(h, 12), -greatest(a, b), -least(a, b))) as k from e where h > 0.5 group by a),
-    mv as (select -k[1] as h, -k[3] as keep, -k[2] as gone from (select k from best group by k having count(*) = 2))
-    select (select max(it) from st) + 1, cur.id, coalesce(mv.keep, cur.cl), cur.cl, mv.h,
-           (select count(*) from mv) > 0
-    from cur left join mv on mv.gone = cur.cl)),
-  n as (select it, cl, count(*) as size from st group by all),
-  mg as (select distinct st.it, cl as left_id, was as right_id, h from st where cl <> was)
-  select {_G}, row_number() over (partition by {_G} order by -round(h, 12), mg.it, -right_id, -left_id) - 1 as step,
-    left_id, right_id, round(h, 9) as height, size
-  from mg join n on n.it = mg.it and n.cl = mg.left_id join j on j.id = left_id"""
+def _sql_similar(thres: float | None, k: int | None = None) -> str:
+    """Average similarity: rounds of mutual first choices by (height, larger id, smaller id), the largest
+    first; merges above ``thres`` numbered by height, or the clusters when ``k`` are left in a group."""
+    above = "true" if thres is None else f"h > {thres}"
+    rounds = f"""with recursive {_J},
+      d as (select a.id as x, b.id as y, 1 - hamming(a.seq, b.seq)::double / 18 as m
+            from j a join j b using ({_G}) where a.id <> b.id),
+      st as (select 0 as it, id, id as cl, id as was, 0::double as h, true as moved from j union all (
+        with cur as (select id, cl from st where it < 200 and moved),
+        e as (select p.cl as a, q.cl as b, sum(m) / count(*) as h
+              from d join cur p on p.id = d.x join cur q on q.id = d.y where p.cl <> q.cl group by 1, 2),
+        best as (select a, min(row(-round(h, 12), -greatest(a, b), -least(a, b))) as k from e where {above} group by a),
+        mv as (select -k[1] as h, -k[3] as keep, -k[2] as gone from (select k from best group by k having count(*) = 2))
+        select (select max(it) from st) + 1, cur.id, coalesce(mv.keep, cur.cl), cur.cl, mv.h,
+               (select count(*) from mv) > 0
+        from cur left join mv on mv.gone = cur.cl)),
+      n as (select it, cl, count(*) as size from st group by all),
+      mg as (select distinct st.it, cl as left_id, was as right_id, h from st where cl <> was),
+      o as (select {_G}, row_number() over (partition by {_G} order by -round(h, 12), mg.it, -right_id, -left_id) - 1 as step,
+          left_id, right_id, round(h, 9) as height, size
+        from mg join n on n.it = mg.it and n.cl = mg.left_id join j on j.id = left_id)"""
+    if k is None:
+        return f"{rounds} select {_G}, step, left_id, right_id, height, size from o"
+    return f"""{rounds},
+      sz as (select {_G}, count(*) as n from j group by all),
+      kept as (select left_id, right_id from o join sz using ({_G}) where step < n - {k}),
+      up as (select id, id as root from j union select up.id, left_id from up join kept on right_id = up.root)
+      select {_G}, id, min(root) as cluster_id from up join j using (id) group by all"""
+
+
+def _tree_cte(metric: str, t: float) -> str:
+    """Single-linkage merges one at a time in each group, by (distance, smaller id, larger id): table mg
+    (step, left_id, right_id, h, size, off), off being the size of the left side before."""
+    table, g = _table(metric)
+    return f"""{table},
+      d as (select {g}, a.id as x, b.id as y, {_dist(metric, 'a.seq', 'b.seq')} as dist
+            from j a join j b using ({g}) where a.id < b.id and {_dist(metric, 'a.seq', 'b.seq')} < {t}),
+      st as (select 0 as it, id, id as cl, id as was, 0::double as h, true as moved from j union all (
+        with cur as (select id, cl from st where it < 900 and moved),
+        e as (select {g}, min(row(dist, x, y)) as k from d join cur p on p.id = x join cur q on q.id = y
+              where p.cl <> q.cl group by {g}),
+        mv as (select k[1] as h, least(p.cl, q.cl) as keep, greatest(p.cl, q.cl) as gone
+               from e join cur p on p.id = k[2] join cur q on q.id = k[3])
+        select (select max(it) from st) + 1, cur.id, coalesce(mv.keep, cur.cl), cur.cl, mv.h,
+               (select count(*) from mv) > 0
+        from cur left join mv on mv.gone = cur.cl)),
+      n as (select it, cl, count(*) as size from st group by all),
+      ms as (select distinct it, cl as left_id, was as right_id, h from st where cl <> was),
+      mg as (select {g}, row_number() over (partition by {g} order by ms.it) - 1 as step, ms.it, left_id, right_id, h,
+               a.size, a.size - b.size as off
+             from ms join n a on a.it = ms.it and a.cl = left_id join n b on b.it = ms.it - 1 and b.cl = right_id
+             join j on j.id = left_id),
+      pos as (select id, id as tree, 0::bigint as pos from j where id not in (select right_id from mg)
+              union all select m.right_id, p.tree, p.pos + m.off from pos p join mg m on m.left_id = p.id)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -520,10 +671,10 @@ def oracle_sql() -> dict[str, str]:
                 from ld join (select id as cid, seq from j) x on x.cid = cluster_id group by all""",
         ),
         "two_stage": f"with recursive {_J}, {_TWO} select {_G}, id, cluster_id from two",
-        "route_by_size": f"""with recursive {_J}, {_N}, {_ALL}, {_TWO}
-            select {_G}, id, ld.cluster_id from ld join n using ({_G}) where n < 10
-            union all select {_G}, id, sl.cluster_id from sl join n using ({_G}) where n >= 10 and n < 15
-            union all select {_G}, id, two.cluster_id from two join n using ({_G}) where n >= 15""",
+        "route_by_segment": f"""with recursive {_J}, {_ALL}, {_TWO}
+            select {_G}, id, cluster_id from ld where j_call = 'BUILDING'
+            union all select {_G}, id, cluster_id from two where j_call = 'MACHINERY'
+            union all select {_G}, id, cluster_id from sl where j_call not in ('BUILDING', 'MACHINERY')""",
         "cluster_groups": _sql_single("hamming", WIDE),
         "cluster_groups_mst": _sql_single("hamming", WIDE),
         "cluster_groups_two_stage": f"with recursive {_J}, {_TWO} select {_G}, id, cluster_id from two",
@@ -541,7 +692,42 @@ def oracle_sql() -> dict[str, str]:
               nx as (select cur.id, least(cur.c, coalesce(n.c, cur.c)) as c, cur.c as old from cur left join n using (id))
               select (select max(it) from lab) + 1, id, c, (select bool_or(c <> old) from nx) from nx))
             select 0 as g, id, c as cluster_id from lab where it = (select max(it) from lab)""",
-        "agglomerate_average": _AGGLOMERATE,
+        "agglomerate_average": _sql_similar(0.5),
+        "similar_to_ten": _sql_similar(None, 10),
+        "dendrogram": f"""with recursive {_tree_cte('hamming', 0.25)}
+            select {_G}, step as node, left_id, right_id,
+              (select max(x.step) from mg x where x.left_id = mg.left_id and x.it < mg.it) as left_node,
+              (select max(x.step) from mg x where x.left_id = mg.right_id) as right_node,
+              round(h, 9) as height, size, tree, pos as lo, pos + size - 1 as hi
+            from mg join pos on pos.id = left_id""",
+        "node_leaves": f"""with recursive {_tree_cte('edit', 4.0)}
+            select p_brand, step as node, count(*) as records, sum(st.id)::bigint as ids, min(st.id) as first_id
+            from mg join st on st.it = mg.it and st.cl = mg.left_id group by all""",
+        "sweep_labels_average": _sql_linkage("sum(m)::double / (18 * count(*))", LABEL_CUTS[-1], cuts=LABEL_CUTS),
+        "sweep_labels_complete": _sql_linkage("max(m)::double / 18", LABEL_CUTS[-1], cuts=LABEL_CUTS),
+        "linkage_average_edit": _sql_linkage("sum(m)::double / count(*)", 3.0, metric="edit"),
+        "distance_table": f"""with {_P}, u as (select p_brand, seq, min(id) as id, count(*) as copies from j group by all)
+            select p_brand, a.id as src, b.id as dst, {_dist('edit', 'a.seq', 'b.seq')} as dist,
+              a.copies as src_copies, b.copies as dst_copies from u a join u b using (p_brand) where a.id <> b.id""",
+        "annotated_file": """select c_nationkey::varchar as "V_CALL", c_mktsegment as "J_CALL", length(c_name)::integer as "JUNCTION_LENGTH",
+            c_custkey::bigint as id, 's' || c_custkey as label, c_name as seq from customer""",
+        "grouped_file": """select c_nationkey::integer as gid, c_custkey::bigint as id, c_mktsegment as label, c_name as seq
+            from customer""",
+        "fasta_file": """select row_number() over (order by c_custkey) - 1 as id, c_mktsegment as label, c_name as seq
+            from customer""",
+        "cluster_files": _sql_single(
+            "hamming", WIDE,
+            f"""select {_G}, ((row_number() over (partition by {_G} order by cluster_id, id) - 1) // 10)::bigint as part,
+                cluster_id as center, max(d) over (partition by cluster_id) as radius,
+                count(*) over (partition by cluster_id) as size, id, seq
+                from (select sl.*, j.seq, {_dist('hamming', 'j.seq', 'x.seq')} as d
+                      from sl join j using ({_G}, id) join j x on x.id = cluster_id)""",
+        ),
+        "label_files": f"""with recursive {_J}, {_ALL},
+            m as (select 'mst' as method, {_G}, id, cluster_id from sl
+                  union all select 'leader', {_G}, id, cluster_id from ld)
+            select method, {_G}, row_number() over (partition by method, {_G} order by id) - 1 as line,
+              dense_rank() over (partition by method, {_G} order by cluster_id) - 1 as label from m""",
         "condense_records": _sql_leader("hamming", WIDE),
         "sequence_members": f"""with {_P} select p_brand, id, min(id) over (partition by p_brand, seq) as seq_id from j""",
         "parse_grouped": """select c_nationkey::integer as gid, c_custkey::bigint as id, c_mktsegment as label, c_name as seq

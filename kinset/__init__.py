@@ -16,6 +16,15 @@ from kinset.functions.records import (
 )
 from kinset.operators.components import components, single_linkage
 from kinset.operators.condense import condense, summaries, two_stage
+from kinset.operators.dendrogram import (
+    dendrogram,
+    labels_at,
+    leaf_order,
+    leaves,
+    node_leaves,
+    sweep_members,
+    tree_merges,
+)
 from kinset.operators.groups import (
     collect_group_columns,
     collect_groups,
@@ -40,7 +49,7 @@ from kinset.plans.jobs import (
     route_groups,
     threshold_sweep,
 )
-from kinset.plans.session import build_session
+from kinset.plans.session import build_session, shared_path
 from kinset.sources.readers import (
     as_sequences,
     parse_fasta,
@@ -50,6 +59,15 @@ from kinset.sources.readers import (
     read_grouped,
     split_rejects,
 )
-from kinset.sources.writers import write_clusters, write_labels
+from kinset.sources.writers import (
+    cluster_lists,
+    group_labels,
+    read_cluster_lists,
+    read_group_labels,
+    write_cluster_lists,
+    write_clusters,
+    write_group_labels,
+    write_labels,
+)
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -5,21 +5,31 @@ the result closer to a third one than both were. So all pairs of clusters that
 are each other's nearest can be merged at once, and the merges are those that
 merging one closest pair at a time would make (Murtagh, 1983). Equal heights
 are ordered by (height, smaller id, larger id).
+
+Groups, and components of what is close, that have few clusters are gathered as matrices in one
+task each (``matrix``); only larger ones take distributed rounds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinset.functions.distance import distance
 from kinset.operators.components import components, linked_components, single_linkage
 from kinset.operators.copies import Distinct, distinct_sequences, restore
+from kinset.operators.dendrogram import tree_merges
 from kinset.operators.groups import group_sizes, with_ordinal
 from kinset.operators.joins import attach, join_keys
+from kinset.operators.matrix import DIGITS, merge_pieces, solve_edges, solve_strings
+from kinset.operators.mst import mst_edges
 from kinset.operators.near import close_pairs, distance_pairs, union_all
-from kinset.plans.session import settle, settle_counted
+from kinset.plans.limits import LIMITS
+from kinset.plans.session import is_empty, settle, settle_counted
 
 LINKAGES = ("single", "average", "complete")
 
@@ -119,9 +129,10 @@ def agglomerate(
             n.alias("n"),
         )
     )
-    rounds = []
-    while True:
-        scored = edges.withColumn("score", _score(linkage))
+    rounds, edges = _small_pieces(edges, group, linkage, None if thres is None else sign * thres, sign)
+    number = 0
+    while not is_empty(edges):
+        scored = edges.withColumn("score", F.round(_score(linkage), DIGITS))
         if thres is not None:
             scored = scored.where(F.col("score") < sign * thres)
         order = (F.col("a"), F.col("b")) if sign > 0 else (-F.col("b"), -F.col("a"))
@@ -129,7 +140,8 @@ def agglomerate(
         merged, n_merged = settle_counted(_mutual(scored, group))
         if n_merged == 0:
             break
-        rounds.append(merged.withColumn("_round", F.lit(len(rounds))))
+        rounds.append(merged.withColumn("_round", F.lit(number)))
+        number += 1
         moved = _merge_edges(edges, merged, group)
         edges = moved.groupBy(*group, "a", "b", "size_a", "size_b").agg(
             F.sum("total").alias("total"),
@@ -141,21 +153,48 @@ def agglomerate(
             # A missing member pair is too far, and stays so in any union.
             edges = edges.where(F.col("n") == F.col("size_a") * F.col("size_b"))
         edges = settle(edges)
-    return _merge_table(rounds, edges, group, sign)
+    return _merge_table(rounds, group, sign)
+
+
+def _small_pieces(
+    edges: DataFrame, group: Sequence[str], linkage: str, limit: float | None, sign: int
+) -> tuple[list[DataFrame], DataFrame]:
+    """The merges of small pieces, and the edges of the others.
+
+    A group with few clusters is a piece; of one with many, its components are.
+    """
+    value = {"average": "total", "complete": "most", "single": "least"}[linkage]
+    placed, n = settle_counted(edges.withColumn("_all", F.lit(0)))
+    found, pieces = [], None
+    for by in ("group", "component"):
+        keys = [*group, "_all"] if by == "group" else [*group, "_all", "piece"]
+        ends = placed.select(*keys, F.col("a").alias("_v")).unionByName(placed.select(*keys, F.col("b").alias("_v")))
+        sizes = ends.groupBy(*keys, "_v").count().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_first"))
+        sizes = settle(sizes)
+        fits = F.col("_n") * F.col("_n") <= LIMITS.matrix_cells
+        small = sizes.where(fits).select(*keys, "_first")
+        mine = attach(placed, small, keys, n, "inner").select(F.col("_first").alias("piece"), "a", "b", "size_a", "size_b", F.col(value).alias("value"))
+        merges = merge_pieces(mine, solve_edges(linkage, limit, sign < 0))
+        named = settle(sizes.select(*group, F.col("_first").alias("piece")))
+        found.append(settle(attach(merges, named, ["piece"], n, "inner").drop("piece")))
+        large = settle(sizes.where(~fits).select(*keys))
+        if is_empty(large):
+            placed = placed.where(F.lit(False))
+            break
+        placed, n = settle_counted(attach(placed, large, keys, n, "inner"))
+        if by == "group":
+            pieces = components(placed.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+            pieces = settle(pieces.select(F.col("id").alias("a"), F.col("root").alias("piece")))
+            placed, n = settle_counted(attach(placed, pieces, ["a"], n, "inner"))
+    return found, placed.select(*edges.columns)
 
 
 def _merge_table(
-    rounds: list[DataFrame], edges: DataFrame, group: Sequence[str], sign: int = 1
+    rounds: list[DataFrame], group: Sequence[str], sign: int = 1
 ) -> DataFrame:
     columns = [
         *group, "left_id", "right_id", "height", "size", "_order", "_round", "_tie_a", "_tie_b",
     ]
-    if not rounds:
-        rounds = [
-            edges.select(*group, "a", "b", F.lit(0.0).alias("score"), "size_a", "size_b")
-            .withColumn("_round", F.lit(0))
-            .limit(0)
-        ]
     merges = union_all(rounds).select(
         *group,
         F.col("a").alias("left_id"),
@@ -163,7 +202,7 @@ def _merge_table(
         (F.col("score") * sign).alias("height"),
         (F.col("size_a") + F.col("size_b")).alias("size"),
         # Rounding keeps sums taken in another order from changing the order.
-        F.round("score", 12).alias("_order"),
+        F.round("score", DIGITS).alias("_order"),
         "_round",
         (F.col("a") if sign > 0 else -F.col("b")).alias("_tie_a"),
         (F.col("b") if sign > 0 else -F.col("a")).alias("_tie_b"),
@@ -250,13 +289,40 @@ def _profile_totals(touched: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
+def _components_of(distinct: Distinct, thres: float) -> DataFrame:
+    """The distinct sequences that have company below ``thres``, with the component and its size."""
+    linked = linked_components(distinct, thres).withColumnRenamed("cluster_id", "piece")
+    placed = settle(join_keys(distinct.table, linked, ["id"], "inner"))
+    sizes = placed.groupBy("piece").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return settle(attach(placed, settle(sizes), ["piece"], distinct.rows, "inner"))
+
+
+def _with_groups(merges: DataFrame, placed: DataFrame, group: Sequence[str], rows: int) -> DataFrame:
+    """Merges of pieces with the group columns, which a piece's first sequence has."""
+    named = placed.where("id = piece").select("piece", *group)
+    return settle(attach(merges, settle(named), ["piece"], rows, "inner").drop("piece"))
+
+
 def average_below(distinct: Distinct, thres: float) -> DataFrame:
     """Average-linkage merges below ``thres`` under the Hamming metric.
 
-    The mean over member pairs is below ``thres`` only if some member pair is,
-    so the pairs of clusters to consider come from the close pairs; their means
-    come from letter counts. The full distance table is never needed.
+    The mean over member pairs is below ``thres`` only if some member pair is, so clusters merge
+    within the components of the close pairs. A component of few sequences is one matrix of
+    mismatches. In a larger one the pairs of clusters to consider come from the close pairs and
+    their means from letter counts, so its distance table is never needed.
     """
+    placed = _components_of(distinct, thres)
+    fits = F.col("_n") * F.col("_n") <= LIMITS.matrix_cells
+    mine = placed.where(fits).select("piece", "id", "copies", "seq")
+    rounds = [_with_groups(merge_pieces(mine, solve_strings(thres)), placed, distinct.group, distinct.rows)]
+    large, n = settle_counted(placed.where(~fits).select(*distinct.table.columns))
+    if n:
+        rounds += _average_rounds(replace(distinct, table=large, rows=n), thres)
+    return _merge_table(rounds, distinct.group)
+
+
+def _average_rounds(distinct: Distinct, thres: float) -> list[DataFrame]:
+    """Rounds of average linkage below ``thres`` by letter counts."""
     group = distinct.group
     copies = F.col("src_copies") * F.col("dst_copies")
     near = close_pairs(distinct, thres=thres, carry=("copies", "len"),
@@ -316,7 +382,96 @@ def average_below(distinct: Distinct, thres: float) -> DataFrame:
             fresh.drop("_agreements")
         )
         edges = settle(edges)
-    return _merge_table(rounds, edges, group)
+    return rounds
+
+
+def average_edit_below(distinct: Distinct, thres: float, measured: list[int] | None = None) -> DataFrame:
+    """Average-linkage merges below ``thres`` under the edit metric.
+
+    Clusters merge within the components of the close pairs. In a component of few sequences all
+    pairs are measured. In a larger one bounds decide what is measured: a pair that the search
+    for close pairs has not found is at least ``thres`` apart, and distances are whole numbers. So
+    the mean over two clusters is at least that of the known distances and ceil(thres) for
+    each other pair. Known sums and counts add up when clusters merge. In rounds, the pairs of
+    clusters that are each other's first choice by these bounds are looked at: if all their member
+    pairs are known, no other pair can be nearer and they merge; if not, they are measured. Pairs of
+    clusters whose bound reaches ``thres`` are never measured. ``measured`` receives the numbers
+    of pairs measured.
+    """
+    group, measured = distinct.group, [] if measured is None else measured
+    placed = _components_of(distinct, thres)
+    few = F.col("_n") <= LIMITS.measured_whole
+    small, n = settle_counted(placed.where(few))
+    rounds = []
+    if n:
+        pairs, n_pairs = settle_counted(_weighted_pairs(small.withColumnRenamed("piece", "comp"), "edit"))
+        measured.append(n_pairs)
+        value = F.col("dist") * F.col("src_copies") * F.col("dst_copies")
+        rows = pairs.select(F.col("comp").alias("piece"), F.col("src").alias("a"), F.col("dst").alias("b"),
+                            F.col("src_copies").alias("size_a"), F.col("dst_copies").alias("size_b"), value.alias("value"))
+        rounds.append(_with_groups(merge_pieces(rows, solve_edges("average", thres, False)), small, group, n))
+    large, n = settle_counted(placed.where(~few).select(*distinct.table.columns))
+    if n:
+        rounds += _bounded_rounds(replace(distinct, table=large, rows=n), thres, measured)
+    if not rounds:
+        none = placed.where(F.lit(False)).select(*group, F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("score"),
+                                                 F.col("copies").alias("size_a"), F.col("copies").alias("size_b"))
+        rounds = [none.withColumn("_round", F.lit(0))]
+    return _merge_table(rounds, group)
+
+
+def _bounded_rounds(distinct: Distinct, thres: float, measured: list[int]) -> list[DataFrame]:
+    group, apart = distinct.group, float(ceil(thres))
+    weight = F.col("src_copies") * F.col("dst_copies")
+    near = close_pairs(distinct, thres=thres, carry=("copies",))
+    edges = settle(near.select(
+        *group, F.col("src").alias("a"), F.col("dst").alias("b"),
+        F.col("src_copies").alias("size_a"), F.col("dst_copies").alias("size_b"),
+        (F.col("dist") * weight).alias("total"), weight.alias("known"),
+    ))
+    members = distinct.table.select(F.col("id").alias("cluster"), "seq", "copies")
+    pairs = F.col("size_a") * F.col("size_b")
+    rounds, number = [], 0
+    while True:
+        bound = (F.col("total") + F.lit(apart) * (pairs - F.col("known"))) / pairs
+        scored = edges.withColumn("score", F.round(bound, DIGITS)).where(F.col("score") < thres)
+        scored = scored.withColumn("rank_a", F.col("a")).withColumn("rank_b", F.col("b"))
+        first = settle(_mutual(scored, group).join(edges.select("a", "b", "known"), ["a", "b"]))
+        sure = F.col("known") == pairs
+        open_, n_open = settle_counted(first.where(~sure).select("a", "b"))
+        if n_open:
+            x, y = (members.select(F.col("cluster").alias(c), F.col("seq").alias(f"_{c}"), F.col("copies").alias(f"_n{c}")) for c in ("a", "b"))
+            dist = F.when(F.col("_a") == F.col("_b"), F.lit(0.0)).otherwise(distance("edit", "_a", "_b"))
+            each = open_.join(x, "a").join(y, "b").select("a", "b", (dist * F.col("_na") * F.col("_nb")).alias("d"))
+            exact, n_pairs = settle_counted(each.groupBy("a", "b").agg(F.sum("d").alias("_total"), F.count(F.lit(1)).alias("_m")))
+            measured.append(exact.agg(F.coalesce(F.sum("_m"), F.lit(0))).first()[0])
+            edges = edges.join(exact.drop("_m"), ["a", "b"], "left").withColumn("known", F.when(F.col("_total").isNull(), F.col("known")).otherwise(pairs))
+            edges = edges.withColumn("total", F.coalesce("_total", "total")).drop("_total")
+            edges = settle(edges.select(*group, "a", "b", "size_a", "size_b", "total", "known"))
+        merged, n_merged = settle_counted(first.where(sure).drop("known"))
+        if n_merged == 0 and n_open == 0:
+            return rounds
+        if n_merged == 0:
+            continue
+        rounds.append(merged.withColumn("_round", F.lit(number)))
+        number += 1
+        moved = _merge_edges(edges, merged, group)
+        edges = settle(moved.groupBy(*group, "a", "b", "size_a", "size_b").agg(F.sum("total").alias("total"), F.sum("known").alias("known")))
+        to = merged.select(F.col("b").alias("cluster"), F.col("a").alias("_to"))
+        members = attach(members, to, ["cluster"], distinct.rows)
+        members = settle(members.withColumn("cluster", F.coalesce("_to", "cluster")).drop("_to"))
+
+
+def merges_below(distinct: Distinct, df: DataFrame, thres: float, linkage: str) -> DataFrame:
+    """Merge table of the distinct sequences below ``thres`` by any linkage, copies as weights."""
+    if linkage not in LINKAGES:
+        raise ValueError(f"linkage must be one of {LINKAGES}, not {linkage!r}")
+    if linkage == "single":
+        forest = mst_edges(distinct.table.select(*distinct.group, "id", "seq"), distinct.group, distinct.metric, thres)
+        return tree_merges(forest, distinct.group)
+    if linkage == "complete":
+        return agglomerate(close_pairs(distinct, thres=thres, carry=("copies",)), distinct.group, "complete", thres)
+    return average_below(distinct, thres) if distinct.metric == "hamming" else average_edit_below(distinct, thres)
 
 
 def linkage_clusters(
@@ -330,24 +485,15 @@ def linkage_clusters(
     """Cluster of every record by hierarchical clustering cut at ``thres``.
 
     Single and complete linkage need the close pairs only, average linkage under
-    Hamming the close pairs and letter counts. Average linkage under the edit
-    metric needs the distances within each component of the close pairs.
+    Hamming the close pairs and letter counts, and under the edit metric those
+    distances that bounds do not settle.
     """
     if linkage not in LINKAGES:
         raise ValueError(f"linkage must be one of {LINKAGES}, not {linkage!r}")
     if linkage == "single" or thres <= 0:
         return single_linkage(df, group, metric, thres, on_unequal)
     distinct = distinct_sequences(df, group, metric, on_unequal)
-    if linkage == "complete":
-        pairs = close_pairs(distinct, thres=thres, carry=("copies",))
-        merges = agglomerate(pairs, group, "complete", thres)
-    elif metric == "hamming":
-        merges = average_below(distinct, thres)
-    else:
-        linked = linked_components(distinct, thres).withColumnRenamed("cluster_id", "comp")
-        placed = join_keys(distinct.table, linked, ["id"], "inner")
-        pairs = _weighted_pairs(placed, metric)
-        merges = agglomerate(pairs, ["comp"], "average", thres)
+    merges = merges_below(distinct, df, thres, linkage)
     roots = components(merges.select(F.col("left_id").alias("src"), F.col("right_id").alias("dst")))
     return restore(df, distinct, roots.withColumnRenamed("root", "cluster_id"))
 

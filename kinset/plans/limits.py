@@ -16,6 +16,11 @@ class Limits:
     pairs_per_row: int = 1_000
     # Rows below which a join is left to Spark's own skew handling.
     plain_join_rows: int = 2_000_000
+    # Edges of a tree, and cells of a distance matrix, that one task works on as a whole.
+    tree_edges: int = 20_000
+    matrix_cells: int = 1_000_000
+    # Sequences of a component whose distances are all measured, without bounds.
+    measured_whole: int = 200
     # A key is hot above 1/hot_share of the rows, so at most hot_share are.
     hot_share: int = 1_000
 
