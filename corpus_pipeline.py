@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinset.llm.anchors import id_filter, rows_in
+from kinset.llm.anchors import id_filter, matching, rows_in
 from kinset.llm.mixing import mixed_rows
 from kinset.llm.ngram_join import ngram_jaccard_join, with_set_key
 from kinset.llm.pieces import encode_texts
@@ -55,7 +55,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     # Only rows that may go, or that repeat an id, are moved.
     bits = id_filter(gone.select("doc_id").unionByName(again))
-    moved = with_set_key(rows_in(docs, "doc_id", bits), "text", WORDS, name)
+    shared = spark.sparkContext.broadcast(bits)  # fixed size
+    moved = with_set_key(docs, "text", WORDS, name, lambda part: matching(part, "doc_id", shared.value))
     moved = moved.join(gone, ["doc_id", name], "left").where(F.col(first).isNull()).drop(first)
     # An empty set says nothing about its text.
     moved = moved.withColumn(name, F.when(F.col(name) != 0, F.col(name)).otherwise(F.xxhash64("text")))

@@ -22,7 +22,7 @@ pair puts out one row for each row of it that is linked, never its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -381,14 +381,17 @@ def product(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, root long, links long")
 
 
-def with_set_key(df: DataFrame, text: str, words: int, name: str) -> DataFrame:
-    """``df`` with the number of each text's n-gram set (0: empty) as a new column ``name``."""
+def with_set_key(
+    df: DataFrame, text: str, words: int, name: str, keep: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda part: part
+) -> DataFrame:
+    """The rows of ``df`` that ``keep`` leaves, with the number of each text's n-gram set (0: empty) as a
+    new column ``name``."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (keep(part) for whole in batches for part in slices(whole)):
             for a, b, data, offsets in each_text(batch.column(at)):
                 keys = [set_key(s) for s in shingler.sets(data, offsets)]
                 part = batch.slice(a, b - a)

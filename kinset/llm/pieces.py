@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from kinset.llm.text import process_store
+from kinset.llm.text import process_store, trim
 
 MARK = "▁"
 UNKNOWN = -1
@@ -296,7 +296,8 @@ def _utf8(run: bytearray) -> str:
 
 
 class UnitCoder:
-    """Encodes texts unit by unit, keeping ids (as bytes) and texts of recent units.
+    """Encodes texts unit by unit, keeping the ids (as bytes) of recent units, and the decoded text of
+    those few that do not decode to themselves.
 
     A line without neighbouring spaces is cut at its spaces; its first unit has no
     mark unless it begins the text. Other lines are cut by pattern.
@@ -305,47 +306,60 @@ class UnitCoder:
     def __init__(self, path: str):
         self.model = PieceModel(path)
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
-        self.young: tuple[dict, dict] = ({}, {})
-        self.old: tuple[dict, dict] = ({}, {})
-        self.line_feed = self.unit("\n", 0)
-
-    def unit(self, unit: str, marked: int) -> tuple[bytes, str]:
-        if (found := self.old[marked].get(unit)) is None:
-            ids = self.model.encode_unit(MARK + unit if marked else unit)
-            found = array("i", ids).tobytes(), self.model.decode_unit(ids)
+        #: Ids and odd texts of units, without and with a mark: of late, and from before.
+        self.young, self.old = [{}, {}], [{}, {}]
+        self.odd, self.old_odd = [{}, {}], [{}, {}]
+
+    def unit(self, unit: str, marked: int) -> bytes:
+        if (ids := self.old[marked].get(unit)) is None:
+            numbers = self.model.encode_unit(MARK + unit if marked else unit)
+            ids = array("i", numbers).tobytes()
+            if (text := self.model.decode_unit(numbers)) != self.plain([unit], marked):
+                self.odd[marked][unit] = text
+        elif unit in self.old_odd[marked]:
+            self.odd[marked][unit] = self.old_odd[marked][unit]
         if len(unit) <= CACHED_LENGTH:
-            self.young[marked][unit] = found
-        return found
+            self.young[marked][unit] = ids
+        return ids
+
+    def plain(self, units: list[str], marked: int) -> str:
+        """What units decode to unless one of them is odd."""
+        return " " + " ".join(units) if marked else "".join(units).replace(MARK, " ")
 
-    def units(self, units: list[str], marked: int) -> list[tuple[bytes, str]]:
+    def units(self, units: list[str], marked: int) -> tuple[bytes, str]:
         table = self.young[marked]
         try:
-            return [table[u] for u in units]
+            ids = [table[u] for u in units]
         except KeyError:
-            return [table.get(u) or self.unit(u, marked) for u in units]
+            ids = [table.get(u) or self.unit(u, marked) for u in units]
+        odd = self.odd[marked]
+        if not odd or odd.keys().isdisjoint(units):
+            return b"".join(ids), self.plain(units, marked)
+        texts = [odd[u] if u in odd else self.plain([u], marked) for u in units]
+        return b"".join(ids), "".join(texts)
 
     def text(self, text: str) -> tuple[bytes, str]:
         if not text:
             return b"", ""
         for marked in (0, 1):
-            if len(self.young[marked]) >= CACHE:
-                pair = [list(self.old), list(self.young)]
-                pair[0][marked], pair[1][marked] = self.young[marked], {}
-                self.old, self.young = tuple(pair[0]), tuple(pair[1])
+            if max(len(self.young[marked]), len(self.odd[marked])) >= CACHE:
+                self.old[marked], self.young[marked] = self.young[marked], {}
+                self.old_odd[marked], self.odd[marked] = self.odd[marked], {}
         parts, plain = [], MARK not in text
         for i, line in enumerate(text.split("\n")):
             if i:
-                parts.append(self.line_feed)
+                parts.append(self.units(["\n"], 0))
             if plain and "  " not in line and line[-1:] != " " and line[:1] != " ":
                 units = line.split(" ")
                 if i == 0:
-                    parts += self.units(units, 1)
+                    parts.append(self.units(units, 1))
                 elif line:
-                    parts += self.units(units[:1], 0)
-                    parts += self.units(units[1:], 1)
+                    parts.append(self.units(units[:1], 0))
+                    if len(units) > 1:
+                        parts.append(self.units(units[1:], 1))
             else:
                 line = line.replace(" ", MARK)
-                parts += self.units(self.cut(line if i else MARK + line), 0)
+                parts.append(self.units(self.cut(line if i else MARK + line), 0))
         return b"".join([p[0] for p in parts]), "".join([p[1] for p in parts])[1:]
 
 
@@ -365,6 +379,7 @@ def encode_texts(
     assert text in kinds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         coder = process_store(("pieces", model_path), lambda: UnitCoder(model_path))
         for batch in batches:
             where = batch.schema.get_field_index(text)

@@ -7,6 +7,8 @@ Memory is a fixed multiple of ``PIECE`` bytes or of the longest single text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -82,6 +84,15 @@ def forget() -> None:
     """Gives back what an earlier stage's operator has kept in this worker; called by operators that
     keep nothing themselves, before they start."""
     _STORE.clear()
+    trim()
+
+
+def trim() -> None:
+    """Returns memory that is free, but held for reuse by Arrow and the C library, to the system:
+    workers live through many stages beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -39,6 +39,8 @@ WIDTHS = (1, 2, 3)
 STEMS = (4, 6)
 #: The common cut; scores are scaled so that it is the best one on the calibration rows.
 CUT = 0.3
+#: Bytes of text scored at once.
+PART = 1 << 17
 #: Bins of the scores for each unit of their logits, from which the cuts are taken.
 BINS = 256
 
@@ -252,7 +254,7 @@ def calibrate(
         buckets = WordBuckets(len(model.embed))
         for batch in (part for whole in batches for part in slices(whole)):
             found = [np.zeros(0)]
-            for _, _, data, offsets in each_text(batch.column(1)):
+            for _, _, data, offsets in each_text(batch.column(1), PART):
                 found.append(_logit(model.raw(*buckets.of(data, offsets))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(np.concatenate(found))], names=["_key", "_lang", "_z"]
@@ -375,7 +377,7 @@ def score(
         buckets = WordBuckets(len(model.embed))
         n = len(others)
         for batch in (part for whole in batches for part in slices(whole)):
-            for a, b, data, offsets in each_text(batch.column(n + 1)):
+            for a, b, data, offsets in each_text(batch.column(n + 1), PART):
                 part = batch.slice(a, b - a)
                 found = model.scores(*buckets.of(data, offsets))
                 rejected = found >= part.column(n).to_numpy()
