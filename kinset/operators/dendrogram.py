@@ -25,8 +25,8 @@ from kinset.plans.session import is_empty, settle, settle_counted
 
 
 def _name_merges(rows: DataFrame) -> DataFrame:
-    """``rows`` (piece, rank, a, b, size_a, size_b and others) with the names and sizes of the
-    clusters that each edge joins, all edges of a piece being taken in the order of rank."""
+    """``rows`` (piece, a, b, size_a, size_b, dist, src, dst and others) with the names and sizes of
+    the clusters that each edge joins, all edges of a piece being taken in order."""
 
     names = [*rows.columns, "left_id", "right_id", "left_size", "right_size"]
     place = {c: names.index(c) for c in ("piece", "a", "b", "size_a", "size_b")}
@@ -58,7 +58,7 @@ def _name_merges(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in out]], names=names)
 
     columns = ", ".join(f"{c} long" for c in ("left_id", "right_id", "left_size", "right_size"))
-    ordered = rows.repartition("piece").sortWithinPartitions("piece", "rank")
+    ordered = rows.repartition("piece").sortWithinPartitions("piece", "dist", "src", "dst")
     return ordered.mapInArrow(run, f"{', '.join(f'`{c}` {t}' for c, t in rows.dtypes)}, {columns}")
 
 
@@ -93,29 +93,36 @@ def tree_merges(edges: DataFrame, group: Sequence[str]) -> DataFrame:
     """Merge table ``(group, step, left_id, right_id, height, size)`` of single linkage from the
     edges ``(group, src, dst, dist)`` of a spanning forest, as ``mst_edges`` gives them.
 
-    Edges merge in the order of (dist, src, dst). Trees of up to ``LIMITS.tree_edges`` edges are
-    merged in one task each. A larger tree is cut in two by order: what its first half joins
-    does not depend on the second half, and for the second half it is single vertices. So the
-    largest tree halves each time, and what a task holds is bounded.
+    Edges merge in the order of (dist, src, dst). Groups, and trees, of up to ``LIMITS.tree_edges``
+    edges are merged in one task each. A larger tree is cut in two by order: what its first half
+    joins does not depend on the second half, and for the second half it is single vertices. So
+    the largest tree halves each time, and what a task holds is bounded.
     """
-    columns = edges.select(*group, "src", "dst", F.col("dist").cast("double").alias("dist"))
-    ranked, n = settle_counted(with_ordinal(columns, ["dist", "src", "dst"], (), "rank"))
-    roots = components(ranked.select("src", "dst")).select(F.col("id").alias("src"), F.col("root").alias("_root"))
-    rows = attach(ranked, settle(roots), ["src"], n, "inner")
-    rows = rows.select(
-        F.col("_root").cast("string").alias("piece"), F.col("src").alias("a"), F.col("dst").alias("b"),
-        *[F.lit(1).cast("long").alias(c) for c in ("size_a", "size_b")], "rank", "dist", *group,
-    )
-    done, rows = [], settle(rows)
-    while True:
-        large = settle(rows.groupBy("piece").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LIMITS.tree_edges).select("piece"))
-        if is_empty(large):
-            done.append(_name_merges(rows))
+    one = F.lit(1).cast("long")
+    rows, n = settle_counted(edges.select(
+        *group, F.lit(0).alias("_all"), "src", "dst", F.col("dist").cast("double").alias("dist"),
+        F.col("src").alias("a"), F.col("dst").alias("b"), one.alias("size_a"), one.alias("size_b"),
+    ))
+    sizes = rows.groupBy(*group, "_all").agg(F.count(F.lit(1)).alias("_n"), F.min("src").alias("_first"))
+    rows = settle(attach(rows, settle(sizes), [*group, "_all"], n, "inner"))
+    few = F.col("_n") <= LIMITS.tree_edges
+    columns = [F.col("_first").cast("string").alias("piece"), "a", "b", "size_a", "size_b", "dist", "src", "dst", *group]
+    done = [_name_merges(rows.where(few).select(*columns))]
+    large, n = settle_counted(rows.where(~few))
+    if n:
+        roots = components(large.select("src", "dst")).select(F.col("id").alias("src"), F.col("root").alias("_root"))
+        large = attach(large.drop("_first"), settle(roots), ["src"], n, "inner").withColumnRenamed("_root", "_first")
+        large = settle(with_ordinal(large.select(*columns), ["dist", "src", "dst"], (), "rank"))
+    while n:
+        many = large.groupBy("piece").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LIMITS.tree_edges)
+        many = settle(many.select("piece"))
+        if is_empty(many):
+            done.append(_name_merges(large))
             break
-        done.append(_name_merges(rows.join(large, "piece", "left_anti")))
-        rows, n = settle_counted(_halves(attach(rows, large, ["piece"], n, "inner"), n))
-    merges = settle(union_all([d.select(*group, "rank", "dist", "left_id", "right_id", (F.col("left_size") + F.col("right_size")).alias("size")) for d in done]))
-    merges = with_ordinal(merges, ["rank"], group, "step")
+        done.append(_name_merges(large.join(many, "piece", "left_anti")))
+        large, n = settle_counted(_halves(attach(large, many, ["piece"], n, "inner"), n))
+    kept = [*group, "dist", "src", "dst", "left_id", "right_id", (F.col("left_size") + F.col("right_size")).alias("size")]
+    merges = with_ordinal(union_all([d.select(*kept) for d in done]), ["dist", "src", "dst"], group, "step")
     return merges.select(*group, "step", "left_id", "right_id", F.col("dist").alias("height"), "size")
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from kinset.operators.components import components
 from kinset.operators.copies import Distinct, distinct_sequences
 from kinset.operators.joins import attach, join_keys
 from kinset.operators.near import close_pairs, is_dense, union_all
+from kinset.plans.limits import LIMITS
 from kinset.plans.session import is_empty, settle, settle_counted
 
 
@@ -19,18 +21,22 @@ def spanning_forest(edges: DataFrame, group: Sequence[str]) -> DataFrame:
     """Minimum spanning forest of ``edges(group, src, dst, dist, src_comp,
     dst_comp)``, which joins components.
 
-    Edges are ordered by (dist, src, dst), so the forest is unique. In rounds,
-    every component takes its first outgoing edge, and the components those
-    edges join become one; of the edges between two components only the first
-    can ever be taken, so the others are dropped.
+    Edges are ordered by (dist, src, dst), so the forest is unique. The edges of
+    a group that has few go through one task in this order. For the others, in
+    rounds, every component takes its first outgoing edge, and the components
+    those edges join become one; of the edges between two components only the
+    first can ever be taken, so the others are dropped.
     """
+    chosen, edges = _small_forests(edges, group)
+    if edges is None:
+        return chosen
     entry = F.struct("dist", "src", "dst", *group, "src_comp", "dst_comp")
     left = edges.select(
         F.least("src_comp", "dst_comp").alias("_a"),
         F.greatest("src_comp", "dst_comp").alias("_b"),
         entry.alias("_edge"),
     )
-    chosen = []
+    chosen = [chosen]
     left, n = settle_counted(left.groupBy("_a", "_b").agg(F.min("_edge").alias("_edge")))
     while n > 0:
         ends = left.select(F.col("_a").alias("_c"), "_edge", "_a", "_b").unionByName(
@@ -49,7 +55,41 @@ def spanning_forest(edges: DataFrame, group: Sequence[str]) -> DataFrame:
         )
         left, n = settle_counted(left.groupBy("_a", "_b").agg(F.min("_edge").alias("_edge")))
     columns = [*group, "src", "dst", "dist", "src_comp", "dst_comp"]
-    return union_all(chosen).select(*columns) if chosen else edges.select(*columns).limit(0)
+    return union_all([c.select(*columns) for c in chosen])
+
+
+def _small_forests(edges: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The forests of groups with few edges, and the edges of the others (None without any)."""
+    edges, n = settle_counted(edges.withColumn("_all", F.lit(0)))
+    keys = [*group, "_all"]
+    sizes = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("src").alias("_piece"))
+    placed = attach(edges, settle(sizes), keys, n, "inner")
+    fits = F.col("_n") <= LIMITS.matrix_cells
+    columns = ["_piece", "dist", "src", "dst", "src_comp", "dst_comp", *group]
+    rows = placed.where(fits).select(*columns).repartition("_piece").sortWithinPartitions("_piece", "dist", "src", "dst")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+        now = None
+
+        def find(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            keep = []
+            for piece, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 4, 5)), strict=True):
+                if piece != now:
+                    up, now = {}, piece
+                a, b = find(a), find(b)
+                keep.append(a != b)
+                up[a] = b
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    forests = settle(rows.mapInArrow(run, rows.schema).drop("_piece"))
+    large, n = settle_counted(placed.where(~fits).drop("_all", "_n", "_piece"))
+    return forests, large if n else None
 
 
 def _rungs(distinct: Distinct, thres: float | None) -> list[dict]:
@@ -92,9 +132,12 @@ def mst_edges(
     distinct = distinct_sequences(df, group, metric, on_unequal)
     table = distinct.table.withColumn("comp", F.col("id"))
     trees = []
-    for radius in [] if thres is not None and thres <= 0 else _rungs(distinct, thres):
+    rungs = [] if thres is not None and thres <= 0 else _rungs(distinct, thres)
+    for number, radius in enumerate(rungs):
         edges = close_pairs(distinct, table, **radius, carry=("comp",), comp=True)
         trees.append(settle(spanning_forest(edges, group)))
+        if number == len(rungs) - 1:
+            break
         roots = components(
             trees[-1].select(F.col("src_comp").alias("src"), F.col("dst_comp").alias("dst"))
         ).withColumnRenamed("id", "comp")
