@@ -73,3 +73,78 @@ def test_merges_of_records(spark):
     assert as_map(cut_merges(df, ["g"], merges, k=3)) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
     with pytest.raises(ValueError):
         linkage_clusters(df, ["g"], "hamming", 0.3, "ward")
+
+
+@pytest.mark.parametrize(
+    "metric,linkage,thres", [("hamming", "average", 0.35), ("edit", "average", 3.0), ("edit", "average", 2.5), ("hamming", "complete", 0.5)]
+)
+def test_large_pieces_merge_alike(spark, monkeypatch, metric, linkage, thres):
+    """Limits so low that every component takes the ways for large ones."""
+    from kinset.plans.limits import LIMITS
+
+    df = spark.createDataFrame(models.random_rows(32, n=30, groups=2), SCHEMA)
+    want = as_map(linkage_clusters(df, ["g"], metric, thres, linkage))
+    monkeypatch.setattr(LIMITS, "matrix_cells", 3)
+    monkeypatch.setattr(LIMITS, "measured_whole", 1)
+    assert as_map(linkage_clusters(df, ["g"], metric, thres, linkage)) == want
+
+
+@pytest.mark.parametrize("cells", [20, 1_000_000])
+def test_whole_similarity_tables(spark, monkeypatch, cells):
+    """Similarities with many ties, none missing."""
+    from kinset.plans.limits import LIMITS
+
+    monkeypatch.setattr(LIMITS, "matrix_cells", cells)
+    rng = random.Random(9)
+    n = 12
+    sim = {(i, j): rng.randrange(1, 9) / 8 for i in range(n) for j in range(i + 1, n)}
+    pairs = spark.createDataFrame([(0, i, j, s) for (i, j), s in sim.items()], "g int, src long, dst long, dist double")
+    merges = agglomerate(pairs, ["g"], "average", None, "similarity").orderBy("step").collect()
+    want = similar_rounds(n, sim)
+    assert sorted((r.left_id, r.right_id, round(r.height, 9)) for r in merges) == sorted(want)
+    assert [r.height for r in merges] == sorted((r.height for r in merges), reverse=True)
+    ids = spark.createDataFrame([(0, i, "x") for i in range(n)], SCHEMA)
+    kept = [(r.left_id, r.right_id) for r in merges[: n - 4]]
+    got = as_map(cut_merges(ids, ["g"], agglomerate(pairs, ["g"], "average", None, "similarity"), k=4))
+    assert got == models.components(range(n), kept) and len(set(got.values())) == 4
+
+
+def similar_rounds(n, sim):
+    """Rounds of mutual first choices by (higher similarity, larger id, smaller id), clusters called by
+    their smallest ids."""
+    clusters, out = {i: [i] for i in range(n)}, []
+    while len(clusters) > 1:
+        mean = lambda a, b: sum(sim[min(x, y), max(x, y)] for x in clusters[a] for y in clusters[b]) / len(clusters[a]) / len(clusters[b])  # noqa: E731, B023
+        scored = sorted((-round(mean(a, b), 12), -b, -a) for a in clusters for b in clusters if a < b)
+        first = {}
+        for e in reversed(scored):
+            first[-e[1]] = first[-e[2]] = e
+        for e in {e for e in first.values() if first[-e[1]] == e == first[-e[2]]}:
+            out.append((-e[2], -e[1], round(-e[0], 9)))
+            clusters[-e[2]] += clusters.pop(-e[1])
+    return out
+
+
+def test_bounds_save_measuring(spark, monkeypatch):
+    """A chain of families: far fewer pairs are measured than there are."""
+    from kinset.operators.copies import distinct_sequences
+    from kinset.operators.linkage import average_edit_below
+    from kinset.plans.limits import LIMITS
+
+    rng = random.Random(12)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(14))]
+    while len(seqs) < 60:
+        s = list(rng.choice(seqs[-12:]))
+        for _ in range(rng.choice([1, 1, 2])):
+            s[rng.randrange(len(s))] = rng.choice("ACGT")
+        if (s := "".join(s)) not in seqs:
+            seqs.append(s)
+    rows = [(0, i, s) for i, s in enumerate(seqs)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(LIMITS, "measured_whole", 5)
+    measured = []
+    merges = average_edit_below(distinct_sequences(df, ["g"], "edit"), 3.0, measured).collect()
+    dist = {(i, j): d for (_, i, j), d in models.pairs(rows, "edit").items()}
+    want = models.mutual_rounds(range(60), dist, "average", None, 3.0)
+    assert sorted((r.left_id, r.right_id, round(r.height, 9)) for r in merges) == sorted((a, b, round(h, 9)) for a, b, h in want)
+    assert sum(measured) < 60 * 59 / 2 / 3
