@@ -37,6 +37,7 @@ if LLM_QUERIES:
 LG = ["v_call", "j_call", "junction_length"]
 BRAND = ["p_brand"]
 TIGHT, WIDE = 0.06, 0.14
+LEVELS = (TIGHT, WIDE, 0.25)
 LABEL_CUTS = (0.03, 0.06, 0.09, 0.12, 0.15)
 
 
@@ -206,6 +207,11 @@ def _to_ten(spark, sf):
     return k.cut_merges(df, LG, k.linkage_merges(df, LG, "hamming", "average"), k=10)
 
 
+def _summary_levels(spark, sf):
+    """Summaries of the junctions at three levels."""
+    return k.summary_levels(junctions(spark, sf), LG, "hamming", LEVELS).withColumn("radius", F.round("radius", 9))
+
+
 def _similarities(spark, sf):
     """The whole similarity table of each group."""
     pairs = k.distance_pairs(junctions(spark, sf), LG, "hamming")
@@ -364,6 +370,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "linkage_average": _linkage("average"),
         "agglomerate_average": _agglomerate,
         "similar_to_ten": _similar_to_ten,
+        "summary_levels": _summary_levels,
         "dendrogram": _dendrogram,
         "node_leaves": _node_leaves,
         "sweep_labels_average": _sweep_labels("average"),
@@ -582,6 +589,25 @@ def _sql_similar(thres: float | None, k: int | None = None) -> str:
       select {_G}, id, min(root) as cluster_id from up join j using (id) group by all"""
 
 
+def _sql_levels(cuts: tuple[float, ...]) -> str:
+    """Leaders of the leaders before: weights add up, radii by the triangle inequality."""
+    ctes, parts = ["c0 as (select * from j)", f"s0 as (select {_G}, id, 1 as weight, 0::double as radius from j)"], []
+    for i, t in enumerate(cuts, 1):
+        far = _dist("hamming", "c.seq", "x.seq")
+        ctes += [
+            _leader_cte("hamming", t, f"c{i - 1}", f"l{i}"), _centres(f"l{i}", f"c{i}", f"c{i - 1}"),
+            f"""s{i} as (select {_G}, l{i}.cluster_id as id, sum(s.weight) as weight, max({far} + s.radius) as radius
+                from l{i} join s{i - 1} s using ({_G}, id) join j c using ({_G}, id) join j x on x.id = l{i}.cluster_id
+                group by {_G}, l{i}.cluster_id)""",
+        ]
+        up = f"left join l{i + 1} p on p.id = s.id" if i < len(cuts) else ""
+        parent = "p.cluster_id" if i < len(cuts) else "null::bigint"
+        g = ", ".join("s." + c for c in _G.split(", "))
+        parts.append(f"""select {g}, {i - 1} as level, {t}::double as thres, s.id as center_id, {parent} as parent_id,
+            s.weight::bigint as weight, round(s.radius, 9) as radius from s{i} s {up}""")
+    return f"with recursive {_J}, {', '.join(ctes)} " + " union all ".join(parts)
+
+
 def _tree_cte(metric: str, t: float) -> str:
     """Single-linkage merges one at a time in each group, by (distance, smaller id, larger id): table mg
     (step, left_id, right_id, h, size, off), off being the size of the left side before."""
@@ -694,6 +720,7 @@ def oracle_sql() -> dict[str, str]:
             select 0 as g, id, c as cluster_id from lab where it = (select max(it) from lab)""",
         "agglomerate_average": _sql_similar(0.5),
         "similar_to_ten": _sql_similar(None, 10),
+        "summary_levels": _sql_levels(LEVELS),
         "dendrogram": f"""with recursive {_tree_cte('hamming', 0.25)}
             select {_G}, step as node, left_id, right_id,
               (select max(x.step) from mg x where x.left_id = mg.left_id and x.it < mg.it) as left_node,

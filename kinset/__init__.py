@@ -15,7 +15,7 @@ from kinset.functions.records import (
     with_record,
 )
 from kinset.operators.components import components, single_linkage
-from kinset.operators.condense import condense, summaries, two_stage
+from kinset.operators.condense import condense, summaries, summary_levels, two_stage
 from kinset.operators.dendrogram import (
     dendrogram,
     labels_at,

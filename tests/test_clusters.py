@@ -16,6 +16,7 @@ from kinset import (
     mst_edges,
     single_linkage,
     summaries,
+    summary_levels,
     two_stage,
 )
 
@@ -224,3 +225,24 @@ def test_condense_without_inner(spark):
     assert as_map(condense(df, ["g"], "hamming", 0.0, 0.2)) == models.leader(rows, "hamming", 0.2)
     got = as_map(two_stage(df, ["g"], "hamming", 0.15, inner=0.0, cut=0.2))
     assert got == models.leader(rows, "hamming", 0.2)
+
+
+@pytest.mark.parametrize("metric,cuts", [("hamming", (0.2, 0.4, 0.7)), ("edit", (1.0, 2.5, 5.0))])
+def test_summary_levels(spark, metric, cuts):
+    rows = [*models.random_rows(61, n=50), (1, 9001, None)]
+    df = table(spark, rows)
+    levels = summary_levels(df, ["g"], metric, cuts).collect()
+    by_level = [{r.center_id: r for r in levels if r.level == i} for i in range(len(cuts))]
+    sizes = [len(x) for x in by_level]
+    assert sizes == sorted(sizes, reverse=True) and all(sum(r.weight for r in x.values()) == len(rows) for x in by_level)
+    seqs = {i: s for _, i, s in rows}
+    at = models.leader([r for r in rows if r[2] is not None], metric, cuts[0]) | {9001: 9001}
+    for i, found in enumerate(by_level):
+        assert {c: sum(x == c for x in at.values()) for c in at.values()} == {c: r.weight for c, r in found.items()}
+        for x, c in at.items():
+            assert x == c or models.DIST[metric](seqs[x], seqs[c]) <= found[c].radius + 1e-9
+        if i == 0:
+            assert all(r.radius == max([models.DIST[metric](seqs[x], seqs[c]) for x, y in at.items() if y == c and x != c], default=0.0) for c, r in found.items())
+        at = {x: found[c].parent_id for x, c in at.items()}
+    with pytest.raises(ValueError):
+        summary_levels(df, ["g"], metric, (0.4, 0.2))
