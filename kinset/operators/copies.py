@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,8 @@ class Distinct:
     # Some group holds sequences of different lengths.
     uneven: bool
     longest: int
+    # Tables worked out once for this one, by name.
+    known: dict = field(default_factory=dict, compare=False)
 
     def attach_to(self, df: DataFrame, dim: DataFrame, how: str = "left") -> DataFrame:
         """Join records with a table of one row per group and sequence; the

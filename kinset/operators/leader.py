@@ -30,7 +30,7 @@ def first_leaders(edges: DataFrame) -> DataFrame:
 
     Few vertices wait for long, but chains of them would take a round a link: after
     ``ROUNDS`` rounds the small components that are left are gone through in
-    order, each in one row, and only larger ones go on.
+    order, each in one row, and in larger ones whole chains are decided at once.
     """
     edges, n = settle_counted(edges.select("src", "dst"))
     left, covered, turn = edges, [], 0
@@ -40,20 +40,60 @@ def first_leaders(edges: DataFrame) -> DataFrame:
             done, left = _in_order(left)
             covered.append(done)
             left, n = settle_counted(left)
+            if n == 0:
+                break
+            now = _along_chains(left, n)
+            covered.append(now)
+            left, n = settle_counted(_without(left, now))
             continue
         preceded = left.select(F.col("dst").alias("src")).distinct().withColumn("_wait", F.lit(1))
         marked = settle(left.join(preceded, "src", "left"))
         now = settle(marked.where("_wait is null").select("dst").distinct())
         covered.append(now)
-        left = marked.drop("_wait").join(now, "dst", "left_anti")
-        left = left.join(now.withColumnRenamed("dst", "src"), "src", "left_anti")
-        left, n = settle_counted(left)
+        left, n = settle_counted(_without(marked.drop("_wait"), now))
     if covered:
         followers = union_all(covered).distinct().withColumnRenamed("dst", "src")
         edges = edges.join(followers, "src", "left_anti")
     return edges.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("cluster_id"))
 
 
+def _without(left: DataFrame, covered: DataFrame) -> DataFrame:
+    """Edges of ``left`` at whose ends no vertex is covered."""
+    left = left.join(covered, "dst", "left_anti")
+    return left.join(covered.withColumnRenamed("dst", "src"), "src", "left_anti")
+
+
+def _along_chains(left: DataFrame, n: int) -> DataFrame:
+    """Covered vertices of the chains of ``left`` that start at a leader.
+
+    A vertex with one smaller neighbour leads exactly if that one does not. Such
+    vertices point to it; pointers are followed twice as far each time, counting
+    links, until they reach a vertex that waits for none (it leads, so an odd
+    number of links away all are covered) or for several (not decided yet).
+    """
+    waiting = settle(left.groupBy("dst").agg(F.count(F.lit(1)).alias("_n"), F.min("src").alias("_up")))
+    point = settle(
+        waiting.where("_n = 1").select(F.col("dst").alias("id"), "_up", F.lit(True).alias("_odd"))
+    )
+    while True:
+        onward = point.select(F.col("id").alias("_up"), F.col("_up").alias("_far"), F.col("_odd").alias("_more"))
+        hop = attach(point, onward, ["_up"], n)
+        moved = F.col("_far").isNotNull()
+        point, moving = settle_counted(
+            hop.select(
+                "id", F.coalesce("_far", "_up").alias("_up"),
+                (F.col("_odd") != F.coalesce("_more", F.lit(False))).alias("_odd"), moved.alias("_moved"),
+            ),
+            F.col("_moved"),
+        )
+        point = point.drop("_moved")
+        if moving == 0:
+            break
+    several = waiting.where("_n > 1").select(F.col("dst").alias("_up"), F.lit(True).alias("_open"))
+    ended = attach(point.where("_odd"), several, ["_up"], n)
+    return settle(ended.where("_open is null").select(F.col("id").alias("dst")))
+
+
 def _in_order(left: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Covered vertices of the small components of ``left``, and the edges of the others."""
     roots = settle(components(left))

@@ -115,7 +115,7 @@ def close_pairs(
     two_sided = right is not None
     right = spread(right) if two_sided else None
     columns = [*group, "id", *carry, *(["comp"] if comp and "comp" not in carry else [])]
-    sig = signature(metric, thres, within)
+    sig = signature(metric, thres, within, distinct)
     carried = [*carry, *(["comp"] if comp and "comp" not in carry else [])]
     different = F.col("a.comp") != F.col("b.comp") if comp else F.lit(True)
 
@@ -232,7 +232,7 @@ def _stars(rows: DataFrame, group: Sequence[str], carried: Sequence[str]) -> Dat
 
 def candidate_load(distinct: Distinct, table: DataFrame, thres: float) -> int:
     """Pairs the key join would look at, counted from bucket sizes alone."""
-    sig = signature(distinct.metric, thres)
+    sig = signature(distinct.metric, thres, distinct=distinct)
     columns = [*distinct.group, "id"]
     bucket = _bucket(distinct.group, sig.keys).alias("_bucket")
     a = sig.index(table, columns).select(bucket)

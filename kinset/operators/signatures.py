@@ -8,6 +8,8 @@ conserved end) is spread over all blocks and none of them is the same for all.
 ``EditSegments``: cut the shorter string into d+1 segments; a string within
 edit distance d holds one of them unchanged, at a place shifted by no more than
 the edits and the length difference allow (Li et al., Pass-Join, VLDB 2011).
+Any cuts will do. In a large group ``segment_cuts`` puts them where the strings
+vary, so that a beginning or end which all share is not a segment of its own.
 """
 
 from __future__ import annotations
@@ -18,6 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinset.functions.distance import edit_radius, hamming_count
+from kinset.operators.copies import Distinct
+from kinset.operators.groups import group_sizes
+from kinset.operators.joins import attach
+from kinset.plans.limits import LIMITS
+from kinset.plans.session import settle
 
 _SEP = "\x1f"
 
@@ -115,17 +122,25 @@ class EditSegments:
     repeats = True
     refine = None
 
-    def __init__(self, thres: float | None = None, within: int | None = None):
+    def __init__(
+        self, thres: float | None = None, within: int | None = None, distinct: Distinct | None = None
+    ):
         self.radius = edit_radius(thres) if within is None else within
+        self.distinct = distinct
+        self.cuts = None if distinct is None else segment_cuts(distinct, self.radius)
 
-    def _segment(self, length: Column, i: Column) -> tuple[Column, Column]:
-        """Start (from 0) and length of segment i of a string: even lengths,
-        the longer ones last."""
+    def _segment(self, length: Column, i: Column, cuts: Column | None) -> tuple[Column, Column]:
+        """Start (from 0) and length of segment i of a string: between its group's
+        cuts, or of even lengths, the longer ones last."""
         parts = self.radius + 1
         short = F.floor(length / F.lit(parts))
         n_short = F.lit(parts) - length % parts
         longer = F.greatest(i - n_short, F.lit(0))
-        return i * short + longer, short + F.when(i >= n_short, 1).otherwise(0)
+        start, size = i * short + longer, short + F.when(i >= n_short, 1).otherwise(0)
+        if cuts is None:
+            return start, size
+        at, end = F.get(cuts, i.cast("int")), F.get(cuts, (i + 1).cast("int"))
+        return F.coalesce(at.cast("bigint"), start), F.coalesce((end - at).cast("bigint"), size)
 
     @staticmethod
     def _key(length: Column, i: Column, text: Column) -> Column:
@@ -139,12 +154,27 @@ class EditSegments:
             F.explode(F.array_distinct(keys)).alias("_key"),
         )
 
+    def _with_cuts(self, table: DataFrame, reach: int) -> tuple[DataFrame, Column | None]:
+        """Attach the cuts of all lengths from ``reach`` below a string's own to it."""
+        if self.cuts is None:
+            return table, None
+        group, rows = self.distinct.group, self.distinct.rows
+        near = self.cuts.select(
+            *group, F.explode(F.sequence(F.col("_n"), F.col("_n") + reach)).alias("_of"),
+            F.struct("_n", "_cuts").alias("_entry"),
+        )
+        near = near.groupBy(*group, "_of").agg(F.map_from_entries(F.collect_list("_entry")).alias("_by"))
+        table = attach(table.withColumn("_of", F.length("seq")), near, [*group, "_of"], rows)
+        return table, F.col("_by")
+
     def index(self, table: DataFrame, carry: Sequence[str]) -> DataFrame:
         """Segments of each string, under its own length."""
         n = F.length("seq")
+        table, by = self._with_cuts(table, 0)
+        cuts = None if by is None else by[n]
 
         def key(i: Column) -> Column:
-            start, size = self._segment(n, i)
+            start, size = self._segment(n, i, cuts)
             return self._key(n, i, F.substring("seq", (start + 1).cast("int"), size.cast("int")))
 
         return self._rows(
@@ -156,12 +186,14 @@ class EditSegments:
         may lie in this one."""
         n, d = F.length("seq"), self.radius
         segments = F.sequence(F.lit(0), F.lit(d))
+        table, by = self._with_cuts(table, d)
 
         def at_length(shorter: Column) -> Column:
             gap = n - shorter
+            cuts = None if by is None else by[shorter]
 
             def at_segment(i: Column) -> Column:
-                start, size = self._segment(shorter, i)
+                start, size = self._segment(shorter, i, cuts)
                 first = F.greatest(start - F.floor((F.lit(d) - gap) / 2), F.lit(0))
                 last = F.least(start + F.floor((F.lit(d) + gap) / 2), n - size)
                 return F.transform(
@@ -186,6 +218,81 @@ class EditSegments:
         return (F.col(f"{a}._len") < F.col(f"{b}._len")) | (F.col(f"{a}.id") < F.col(f"{b}.id"))
 
 
-def signature(metric: str, thres: float | None = None, within: int | None = None):
-    kind = HammingBlocks if metric == "hamming" else EditSegments
-    return kind(thres=thres, within=within)
+def signature(
+    metric: str,
+    thres: float | None = None,
+    within: int | None = None,
+    distinct: Distinct | None = None,
+):
+    """Keys for a metric; ``distinct`` lets those for edit distance fit its groups."""
+    if metric == "hamming":
+        return HammingBlocks(thres=thres, within=within)
+    return EditSegments(thres=thres, within=within, distinct=distinct)
+
+
+def segment_cuts(distinct: Distinct, d: int) -> DataFrame | None:
+    """Where to cut the strings of each large group into d+1 segments, by length:
+    ``(group, _n, _cuts)`` with ``_cuts`` from 0 to the length ``_n``.
+
+    Two strings of a group agree at a place with the sum of the squared shares of
+    the letters there. If places are independent, the rows under one segment are
+    the group's rows times the product of these over the segment; cuts are put so
+    that the products are about equal. They steer cost only.
+    """
+    if distinct.metric != "edit" or d < 1 or distinct.widest <= LIMITS.bucket_rows:
+        return None
+    name = ("cuts", d)
+    if name in distinct.known:
+        return distinct.known[name]
+    group = list(distinct.group)
+    table = distinct.table.select(*group, "seq").withColumn("_all", F.lit(0))
+    keys = [*group, "_all"]
+    sizes = settle(group_sizes(table, keys).withColumnRenamed("n", "_rows"))
+    wide = sizes.where(F.col("_rows") > LIMITS.bucket_rows)
+    counts = sizes.withColumnRenamed("_rows", "_n")
+    table = attach(table, wide.select(*keys, "_rows"), keys, distinct.rows, "inner", counts)
+    n = F.length("seq")
+    # A string needs a letter for each segment.
+    letters = table.where(n > d + 1).select(
+        *group, n.alias("_n"), F.posexplode(F.split("seq", "")).alias("_at", "_letter")
+    )
+    place = [*group, "_n", "_at"]
+    shares = letters.groupBy(*place, "_letter").agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    per_place = shares.groupBy(*place).agg(
+        # A little weight for every place keeps segments from growing far beyond the rest.
+        (F.lit(0.01) - F.log(F.sum(F.col("_c") * F.col("_c")) / F.sum("_c") / F.sum("_c"))).alias("_w")
+    )
+    per_length = per_place.groupBy(*group, "_n").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_w"))), lambda x: x["_w"]).alias("_w")
+    )
+    zero = F.lit(0.0)
+    # Weight before the middle of each place.
+    before = F.aggregate(
+        "_w",
+        F.struct(zero.alias("sum"), F.array().cast("array<double>").alias("mids")),
+        lambda s, w: F.struct(
+            (s["sum"] + w).alias("sum"),
+            F.concat(s["mids"], F.array(s["sum"] + w / 2)).alias("mids"),
+        ),
+    )
+    cuts = F.aggregate(
+        F.sequence(F.lit(1), F.lit(d)),
+        F.array(F.lit(0)),
+        lambda done, j: F.concat(
+            done,
+            F.array(
+                F.least(
+                    F.greatest(
+                        F.size(F.filter("_before.mids", lambda m: m < F.col("_before.sum") * j / (d + 1))),
+                        F.element_at(done, -1) + 1,
+                    ),
+                    F.col("_n") - (F.lit(d + 1) - j),
+                )
+            ),
+        ),
+    )
+    found = per_length.select(*group, "_n", before.alias("_before")).select(
+        *group, "_n", F.concat(cuts, F.array(F.col("_n"))).alias("_cuts")
+    )
+    distinct.known[name] = settle(found)
+    return distinct.known[name]

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import models
 from kinset import (
@@ -205,6 +206,39 @@ def test_leaders_of_a_long_path(spark, monkeypatch):
     assert got == {i: i - 1 for i in range(1, 31, 2)} | {101: 100, 102: 100}
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    import kinset.operators.leader as leader
+
+    steps = []
+    count = leader.settle_counted
+    monkeypatch.setattr(leader, "settle_counted", lambda *a: steps.append(1) or count(*a))
+    n = 30_000
+    path = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = leader.first_leaders(path)
+    wrong = got.where("id % 2 = 0 or cluster_id <> id - 1")
+    assert got.count() == n // 2 and wrong.count() == 0
+    assert len(steps) < 40
+
+
+def test_leaders_of_chains_that_meet(spark, monkeypatch):
+    """Chains that end in vertices waiting for several."""
+    import kinset.operators.leader as leader
+
+    monkeypatch.setattr(leader, "CHAIN", 2)
+    monkeypatch.setattr(leader, "ROUNDS", 2)
+    rng = random.Random(1)
+    edges = {(rng.randrange(max(0, i - 4), i), i) for i in range(1, 60)}
+    edges |= {(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(12)) if a < b}
+    edges |= {(60, i) for i in range(61, 90)} | {(i, i + 40) for i in range(61, 90)}
+    followers = {}
+    for v in range(200):
+        first = [a for a, b in sorted(edges) if b == v and a not in followers]
+        if first:
+            followers[v] = first[0]
+    df = spark.createDataFrame(sorted(edges), "src long, dst long")
+    assert {r.id: r.cluster_id for r in leader.first_leaders(df).collect()} == followers
+
+
 @pytest.mark.parametrize("dense", [False, True])
 def test_distance_at_the_threshold(spark, request, dense):
     """Whole products of length and threshold: pairs at just the threshold are not linked."""

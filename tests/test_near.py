@@ -1,8 +1,12 @@
+import random
+
 import pytest
 
 import models
 from kinset import distance_pairs, near_pairs, nearest, sequence_members
-from kinset.operators.near import both_ways, expand_copies
+from kinset.operators.copies import distinct_sequences
+from kinset.operators.near import both_ways, candidate_load, expand_copies
+from kinset.operators.signatures import segment_cuts
 
 SCHEMA = "g int, id long, seq string"
 
@@ -57,6 +61,31 @@ def test_edit_crowded(spark, tight, strategy):
     assert as_map(got) == expected(rows, "edit", 3)
 
 
+def test_edit_segments_follow_what_varies(spark, tight):
+    """Shared beginnings and ends: cuts fall where the strings differ, results stay the same."""
+    rng = random.Random(7)
+    rows = [
+        (i % 2 or None, i, "CASSLG" * (i % 2 + 1) + "".join(rng.choices("ACDE", k=rng.randrange(9, 12))) + "YEQYF")
+        for i in range(70)
+    ]
+    rows += [(1, 100, ""), (1, 101, "CA"), (1, 102, "CAS"), (1, 103, rows[1][2] + "A"), (1, 104, rows[1][2][1:])]
+    for i in range(2, 12):
+        at = rng.randrange(4, 16)
+        rows.append((rows[i][0], 200 + i, rows[i][2][:at] + rng.choice(["", "A", "DD"]) + rows[i][2][at + 1 :]))
+    df = table(spark, rows)
+    assert as_map(near_pairs(df, ["g"], "edit", 3)) == expected(rows, "edit", 3)
+    distinct = distinct_sequences(df, ["g"], "edit")
+    for r in segment_cuts(distinct, 2).collect():
+        assert len(r._cuts) == 4 and r._cuts[0] == 0 and r._cuts[-1] == r._n
+        assert sorted(set(r._cuts)) == r._cuts
+        # Lengths that only one string has tell nothing; they are cut evenly.
+        if r._n in ((26, 27, 28) if r.g else (20, 21, 22)):
+            assert r._cuts[1] > 6 * (2 if r.g else 1) - 1 and r._cuts[2] < r._n - 4
+    fitted = candidate_load(distinct, distinct.table, 3)
+    distinct.known["cuts", 2] = None
+    assert fitted < candidate_load(distinct, distinct.table, 3) / 2
+
+
 def test_threshold_is_strict_and_zero_joins_nothing(spark):
     rows = [(0, 1, "AAAA"), (0, 2, "AAAT"), (0, 3, "AAAT")]
     df = table(spark, rows)
