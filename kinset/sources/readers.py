@@ -74,10 +74,14 @@ def read_grouped(
     partitions, as far as the files' bytes can be cut.
     """
     lines = spark.read.text(path)
-    first = lines.first()
+    # Spark takes large files first, so the first row is not that of the first file.
+    place = F.struct(
+        "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"), "value"
+    )
+    first = lines.select(place.alias("_line")).agg(F.min("_line")["value"]).first()[0]
     if p is not None:
         lines = lines.repartition(p)
-    return parse_grouped(lines.where("value <> ''"), None if first is None else first["value"], on_error)
+    return parse_grouped(lines.where("value <> ''"), first, on_error)
 
 
 def parse_fasta(

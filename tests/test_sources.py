@@ -183,3 +183,9 @@ def test_attach_splits_hot_keys(spark, skewed, how):
     assert sorted(map(str, got.select("k", "v", "d").collect())) == sorted(
         map(str, want.select("k", "v", "d").collect())
     )
+
+
+def test_grouped_header_is_in_the_first_file_not_the_largest(spark, tmp_path):
+    put(tmp_path / "a.txt", 'gid\trecord\n1\t"0,a,ACGT"\n')
+    put(tmp_path / "b.txt", "".join(f'2\t"{i},b,ACGA"\n' for i in range(1, 40)))
+    assert sorted(r.id for r in read_grouped(spark, str(tmp_path), p=4).collect()) == list(range(40))
