@@ -25,7 +25,7 @@ from kinset.operators.copies import Distinct, distinct_sequences, restore
 from kinset.operators.dendrogram import tree_merges
 from kinset.operators.groups import group_sizes, with_ordinal
 from kinset.operators.joins import attach, join_keys
-from kinset.operators.matrix import DIGITS, merge_pieces, solve_edges, solve_strings
+from kinset.operators.matrix import DIGITS, merge_pieces, solve_edges, solve_profiles, solve_strings
 from kinset.operators.mst import mst_edges
 from kinset.operators.near import close_pairs, distance_pairs, union_all
 from kinset.plans.limits import LIMITS
@@ -221,12 +221,28 @@ def linkage_merges(
 ) -> DataFrame:
     """Complete merge table of the records of each group.
 
-    Needs the distance table of each group; copies are merged first, at height
-    0. Large groups are a case for ``two_stage`` or a threshold.
+    Copies are merged first, at height 0. Average linkage under the Hamming metric works by letter
+    counts in groups that one task holds. The others need the distance table; large ones are a
+    case for ``two_stage`` or a threshold.
     """
-    pairs = distance_pairs(df, group, metric)
-    merges = agglomerate(pairs, group, linkage)
-    distinct = distinct_sequences(df, group, metric)
+    if linkage == "average" and metric == "hamming":
+        distinct = distinct_sequences(df, group, metric)
+        table = distinct.table.withColumn("_all", F.lit(0))
+        keys = [*group, "_all"]
+        sizes = settle(table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("piece")))
+        placed = settle(attach(table, sizes, keys, distinct.rows, "inner"))
+        rounds, large = _pieces_by_letters(distinct, placed, None)
+        merges = _merge_table(rounds, group)
+        large = settle(large.select(*group, "id", "seq", "copies"))
+        if not is_empty(large):
+            pairs = distance_pairs(large, group, metric).drop("src_copies", "dst_copies")
+            for end in ("src", "dst"):
+                weight = large.select(F.col("id").alias(end), F.col("copies").alias(f"{end}_copies"))
+                pairs = pairs.join(weight, end)
+            merges = merges.unionByName(agglomerate(pairs, group, linkage))
+    else:
+        merges = agglomerate(distance_pairs(df, group, metric), group, linkage)
+        distinct = distinct_sequences(df, group, metric)
     own = distinct.table.select(*group, "seq", F.col("id").alias("left_id"))
     copies = distinct.attach_to(df.select(*group, "id", "seq"), own, "inner")
     copies = copies.where("id <> left_id")
@@ -312,15 +328,36 @@ def average_below(distinct: Distinct, thres: float) -> DataFrame:
     their means from letter counts, so its distance table is never needed.
     """
     placed = _components_of(distinct, thres)
-    fits = F.col("_n") * F.col("_n") <= LIMITS.matrix_cells
-    mine = placed.where(fits).select("piece", "id", "copies", "seq")
-    rounds = [_with_groups(merge_pieces(mine, solve_strings(thres)), placed, distinct.group, distinct.rows)]
-    large, n = settle_counted(placed.where(~fits).select(*distinct.table.columns))
+    rounds, large = _pieces_by_letters(distinct, placed, thres)
+    large, n = settle_counted(large)
     if n:
         rounds += _average_rounds(replace(distinct, table=large, rows=n), thres)
     return _merge_table(rounds, distinct.group)
 
 
+def _pieces_by_letters(distinct: Distinct, placed: DataFrame, limit: float | None) -> tuple[list[DataFrame], DataFrame]:
+    """Average-linkage merges of pieces of strings of one length, and the sequences of those too large.
+
+    ``placed`` is the table of distinct sequences with ``piece``, its smallest id, and ``_n``, its
+    size. A few sequences are one matrix of mismatches, more are merged by letter counts.
+    """
+    columns = ["piece", "id", "copies", "seq"]
+    small = F.col("_n") * F.col("_n") <= LIMITS.matrix_cells
+    rounds = [merge_pieces(placed.where(small).select(*columns), solve_strings(limit))]
+    rest, n = settle_counted(placed.where(~small))
+    if n:
+        letters = rest.where(F.col("_n") <= LIMITS.profile_rows).select(
+            "piece", "_n", F.posexplode(F.split("seq", "")).alias("_at", "_letter")
+        ).distinct()
+        cells = letters.groupBy("piece").agg((F.first("_n") * F.count(F.lit(1))).alias("_cells"))
+        fits = settle(cells.where(F.col("_cells") <= LIMITS.profile_cells).select("piece", F.lit(True).alias("_fits")))
+        rest = settle(attach(rest, fits, ["piece"], n))
+        rounds.append(merge_pieces(rest.where("_fits").select(*columns), solve_profiles(limit)))
+        rest = rest.where("_fits is null")
+    found = [_with_groups(r, placed, distinct.group, distinct.rows) for r in rounds]
+    return found, rest.select(*distinct.table.columns)
+
+
 def _average_rounds(distinct: Distinct, thres: float) -> list[DataFrame]:
     """Rounds of average linkage below ``thres`` by letter counts."""
     group = distinct.group

@@ -99,7 +99,9 @@ def merge_pieces(rows: DataFrame, solve: Callable[[pa.Table], Sequence[tuple]])
                 columns = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, MERGES)
+    # A fixed number of tasks: adaptive execution would size them by bytes, which tell little of the work.
+    tasks = 16 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks, "piece").sortWithinPartitions("piece").mapInArrow(run, MERGES)
 
 
 def solve_edges(linkage: str, limit: float | None, similarity: bool) -> Callable[[pa.Table], list[tuple]]:
@@ -122,17 +124,100 @@ def solve_edges(linkage: str, limit: float | None, similarity: bool) -> Callable
     return solve
 
 
+def _strings(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order, copies and code points of rows (piece, id, copies, seq) with strings of one length."""
+    ids, copies = (table.column(i).to_numpy() for i in (1, 2))
+    order = np.argsort(ids)
+    letters = np.array([np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in table.column(3).to_pylist()])[order]
+    return ids[order], copies[order], letters
+
+
 def solve_strings(limit: float) -> Callable[[pa.Table], list[tuple]]:
     """For rows (piece, id, copies, seq) with strings of one length: average linkage by mismatches."""
 
     def solve(table: pa.Table) -> list[tuple]:
-        ids, copies = (table.column(i).to_numpy() for i in (1, 2))
-        order = np.argsort(ids)
-        letters = np.array([np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in table.column(3).to_pylist()])[order]
-        ids, copies = ids[order], copies[order]
+        ids, copies, letters = _strings(table)
         mismatches = np.zeros((len(ids), len(ids)))
         for column in letters.T:
             mismatches += column[:, None] != column[None]
         return merge_rounds(ids, copies, mismatches * np.outer(copies, copies), "average", limit, unit=letters.shape[1])
 
     return solve
+
+
+#: Distances that are worked out at a time.
+CELLS = 2_000_000
+
+
+def profile_rounds(
+    ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, length: int, limit: float | None = None
+) -> list[tuple[int, int, float, int, int, int]]:
+    """``merge_rounds`` of average linkage by mismatches, from letter counts and without a matrix.
+
+    ``counts[i]`` has the letters of cluster i by place: two clusters agree as often as the
+    products of their counts add up to. A cluster keeps its first choice as long as neither that nor
+    itself is merged: the mean of two distances is never below both. Where the choice took in another
+    cluster under its own name, it stays if it is as near as before. A cluster whose first choice
+    is not below ``limit`` can never merge, and goes.
+    """
+    sizes, counts = sizes.astype(np.float64), counts.astype(np.float64)
+    out: list[tuple[int, int, float, int, int, int]] = []
+    gone = np.zeros(len(ids), bool)
+    low, best = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
+    ask = np.arange(len(ids))
+    number = 0
+    while len(ids) - gone.sum() > 1:
+        step = max(1, CELLS // len(ids))
+        for at in (ask[i : i + step] for i in range(0, len(ask), step)):
+            pairs = sizes[at][:, None] * sizes * length
+            score = np.round((pairs - counts[at] @ counts.T) / pairs, DIGITS)
+            score[:, gone] = np.inf
+            score[np.arange(len(at)), at] = np.inf
+            best[at] = score.argmin(1)
+            low[at] = score[np.arange(len(at)), best[at]]
+        fits = ~gone & np.isfinite(low) & ((low < limit) if limit is not None else True)
+        gone = ~fits
+        rows = np.flatnonzero(fits)
+        a = rows[(best[best[rows]] == rows) & (rows < best[rows])]
+        if not len(a):
+            break
+        b = best[a]
+        merged = np.rint(sizes).astype(np.int64)
+        out += zip(ids[a].tolist(), ids[b].tolist(), low[a].tolist(), merged[a].tolist(), merged[b].tolist(), [number] * len(a), strict=True)
+        number += 1
+        counts[a] += counts[b]
+        sizes[a] += sizes[b]
+        gone[b] = True
+        grown, lost = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        grown[a], lost[b] = True, True
+        rows = np.flatnonzero(~gone)
+        beside = rows[grown[best[rows]] & ~grown[rows]]
+        far = low[beside]
+        for i in range(0, len(beside), step):
+            x = beside[i : i + step]
+            y = best[x]
+            pairs = sizes[x] * sizes[y] * length
+            far[i : i + step] = np.round((pairs - np.einsum("ij,ij->i", counts[x], counts[y])) / pairs, DIGITS)
+        again = grown | lost[best]
+        again[beside[far != low[beside]]] = True
+        if gone.sum() * 4 > len(ids):
+            stay = ~gone
+            new = np.cumsum(stay) - 1
+            ids, sizes, counts, low, again = ids[stay], sizes[stay], counts[stay], low[stay], again[stay]
+            best, gone = new[best[stay]], np.zeros(len(ids), bool)
+        ask = np.flatnonzero(again & ~gone)
+    return out
+
+
+def solve_profiles(limit: float | None) -> Callable[[pa.Table], list[tuple]]:
+    """``solve_strings`` for pieces too large for a matrix; ``limit`` None merges all."""
+
+    def solve(table: pa.Table) -> list[tuple]:
+        ids, copies, letters = _strings(table)
+        columns = []
+        for column in letters.T:
+            kinds = np.unique(column)
+            columns.append((column[:, None] == kinds) * copies[:, None])
+        return profile_rounds(ids, copies, np.concatenate(columns, 1), letters.shape[1], limit)
+
+    return solve

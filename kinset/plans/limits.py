@@ -19,6 +19,9 @@ class Limits:
     # Edges of a tree, and cells of a distance matrix, that one task works on as a whole.
     tree_edges: int = 20_000
     matrix_cells: int = 1_000_000
+    # Sequences, and letter counts, of a piece that one task merges without a matrix.
+    profile_rows: int = 50_000
+    profile_cells: int = 16_000_000
     # Sequences of a component whose distances are all measured, without bounds.
     measured_whole: int = 200
     # A key is hot above 1/hot_share of the rows, so at most hot_share are.

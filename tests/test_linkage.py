@@ -1,10 +1,14 @@
 import random
 
+import numpy as np
 import pytest
 
 import models
 from kinset import agglomerate, cut_merges, linkage_clusters
+from kinset.operators import linkage
 from kinset.operators.linkage import linkage_merges
+from kinset.operators.matrix import merge_rounds, profile_rounds
+from kinset.plans.limits import LIMITS
 
 SCHEMA = "g int, id long, seq string"
 
@@ -148,3 +152,27 @@ def test_bounds_save_measuring(spark, monkeypatch):
     want = models.mutual_rounds(range(60), dist, "average", None, 3.0)
     assert sorted((r.left_id, r.right_id, round(r.height, 9)) for r in merges) == sorted((a, b, round(h, 9)) for a, b, h in want)
     assert sum(measured) < 60 * 59 / 2 / 3
+
+
+def test_merges_by_letter_counts_are_those_of_the_matrix():
+    for seed, n, length, letters, limit in ((1, 60, 4, 3, None), (2, 200, 5, 4, 0.35), (3, 200, 6, 10, None), (4, 80, 1, 80, None)):
+        rng = np.random.default_rng(seed)
+        strings = np.unique(rng.integers(0, letters, (n, length)), axis=0)
+        rng.shuffle(strings)
+        ids, copies = np.arange(len(strings)) * 3, rng.integers(1, 4, len(strings))
+        mismatches = (strings[:, None] != strings[None]).sum(2).astype(float)
+        want = merge_rounds(ids, copies, mismatches * np.outer(copies, copies), "average", limit, unit=length)
+        counts = np.concatenate([(c[:, None] == np.unique(c)) * copies[:, None] for c in strings.T], 1)
+        assert profile_rounds(ids, copies, counts, length, limit) == want
+
+
+@pytest.mark.parametrize("cells", [0, 10**9])
+def test_average_merges_need_no_distance_table(spark, monkeypatch, cells):
+    rows = models.random_rows(33, n=40, groups=2)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(tuple, linkage_merges(df, ["g"], "hamming").collect()))
+    monkeypatch.setattr(LIMITS, "matrix_cells", 4)
+    monkeypatch.setattr(LIMITS, "profile_cells", cells)
+    if cells:
+        monkeypatch.setattr(linkage, "distance_pairs", None)
+    assert sorted(map(tuple, linkage_merges(df, ["g"], "hamming").collect())) == want
