@@ -4,6 +4,7 @@ import pytest
 
 import models
 from kinset import distance_pairs, near_pairs, nearest, sequence_members
+from kinset.functions.distance import packed, packed_count
 from kinset.operators.copies import distinct_sequences
 from kinset.operators.near import both_ways, candidate_load, expand_copies
 from kinset.operators.signatures import segment_cuts
@@ -155,3 +156,25 @@ def test_nearest(spark, metric, k):
             if near:
                 want[i] = [(n + 1, d, j) for n, (d, j) in enumerate(near[:k])]
     assert {i: sorted(v) for i, v in got.items()} == want
+
+
+def test_packed_letters_count_mismatches(spark):
+    rng = random.Random(5)
+    rows = []
+    for n in (1, 7, 8, 9, 17, 24):
+        for letters in ("AC", "ACGT~\x00", "Aé漢😀"):
+            rows += [tuple("".join(rng.choice(letters) for _ in range(n)) for _ in range(2)) for _ in range(8)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", "b", packed_count(packed("a", 24), packed("b", 24), 24).alias("n"), packed("a", 24).alias("w")).collect()
+    for r in got:
+        if (r.a + r.b).isascii():
+            assert r.n == sum(x != y for x, y in zip(r.a, r.b, strict=True))
+        assert (r.w is None) == (not r.a.isascii())
+
+
+def test_blocks_of_letters_outside_ascii(spark, tight):
+    rng = random.Random(6)
+    rows = [(0, i, "".join(rng.choice("Aé😀\n") for _ in range(6))) for i in range(80)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.src, r.dst): r.dist for r in near_pairs(df, ["g"], "hamming", 0.4).collect()}
+    assert got == {(i, j): d for (_, i, j), d in models.pairs(rows, "hamming").items() if d < 0.4}
