@@ -141,7 +141,7 @@ def close_pairs(
         keys = list(sig.keys)
         first = True
         while True:
-            if first and distinct.widest <= LIMITS.bucket_rows:
+            if first and (sig.calm or distinct.widest <= LIMITS.bucket_rows):
                 found.append(pairs(a, a if b is None else b, keys, swapped))
                 return
             first = False

@@ -5,6 +5,10 @@ of any d+1 disjoint sets of positions. Block j holds the positions p with
 p mod (d+1) = j, so that a stretch shared by a whole group (a common prefix, a
 conserved end) is spread over all blocks and none of them is the same for all.
 
+``HammingMasks``: two strings have at most d mismatches exactly if they are equal
+once some d places are hidden. Only places that vary within a group need hiding;
+where these are few, so are the masks, and all strings under one key are close.
+
 ``EditSegments``: cut the shorter string into d+1 segments; a string within
 edit distance d holds one of them unchanged, at a place shifted by no more than
 the edits and the length difference allow (Li et al., Pass-Join, VLDB 2011).
@@ -14,7 +18,10 @@ vary, so that a beginning or end which all share is not a segment of its own.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +50,7 @@ class HammingBlocks:
     keys = ("_len", "_key")
     # One pair is reported under the first agreeing block only.
     repeats = False
+    calm = False
 
     def __init__(self, thres: float | None = None, within: int | None = None, distinct: Distinct | None = None):
         self.thres, self.within = thres, within
@@ -128,12 +136,153 @@ class HammingBlocks:
         return F.col(f"{a}.id") < F.col(f"{b}.id")
 
 
+@dataclass(frozen=True)
+class Masks:
+    """By length: the places (from 0) that vary within a group, and the sets of those to hide, as
+    indexes into them. ``wide`` is the largest number of strings that can be equal under a mask."""
+
+    places: dict[int, tuple[int, ...]]
+    hidden: dict[int, tuple[tuple[int, ...], ...]]
+    wide: int
+
+    @property
+    def most(self) -> int:
+        return max((len(h) for h in self.hidden.values()), default=0)
+
+    def _by_length(self, of: Callable[[int], Column], otherwise: Column) -> Column:
+        found = None
+        for n in self.places:
+            is_n = F.col("_len") == n
+            found = F.when(is_n, of(n)) if found is None else found.when(is_n, of(n))
+        return otherwise if found is None else found.otherwise(otherwise)
+
+    def varying(self, seq: str) -> Column:
+        """The letters of a string of length ``_len`` at the places that vary."""
+        return self._by_length(lambda n: _letters(seq, self.places[n]), F.lit(""))
+
+    def shown(self, slot: int, text: str) -> Column:
+        """What mask ``slot`` leaves of ``varying``; the whole if there are fewer masks."""
+
+        def of(n: int) -> Column:
+            hide = self.hidden[n][slot] if slot < len(self.hidden[n]) else ()
+            return _letters(text, [i for i in range(len(self.places[n])) if i not in hide])
+
+        return self._by_length(of, F.col(text))
+
+    def slots(self, text: str) -> Column:
+        """For each mask a struct of its number, what it leaves, what it hides, and which
+        patterns of mismatches among the hidden letters are reported under it.
+
+        The pairs whose mismatches are a set S meet under each mask that holds S. They are
+        reported under the one in which the other places are the smallest ones outside S.
+        """
+
+        def one(n: int, slot: int, hide: tuple[int, ...]) -> Column:
+            whole = range(len(self.places[n]))
+            mine = 0
+            for pattern in range(1 << len(hide)):
+                differ = {p for i, p in enumerate(hide) if pattern >> i & 1}
+                rest = [p for p in hide if p not in differ]
+                if rest == [p for p in whole if p not in differ][: len(rest)]:
+                    mine |= 1 << pattern
+            shown = _letters(text, [i for i in whole if i not in hide])
+            return F.struct(
+                F.lit(slot).alias("_slot"), shown.alias("_key"), _letters(text, hide).alias("_hidden"),
+                F.lit(mine).cast("bigint").alias("_mine"),
+            )
+
+        kind = "array<struct<_slot:int,_key:string,_hidden:string,_mine:bigint>>"
+        return self._by_length(
+            lambda n: F.array(*[one(n, i, h) for i, h in enumerate(self.hidden[n])]).cast(kind), F.array().cast(kind)
+        )
+
+
+def _letters(text: str, places: Sequence[int]) -> Column:
+    """The letters of a string at some places, in order."""
+    runs: list[list[int]] = []
+    for p in places:
+        if runs and runs[-1][0] + runs[-1][1] == p:
+            runs[-1][1] += 1
+        else:
+            runs.append([p, 1])
+    return F.concat(F.lit(""), *[F.substring(text, p + 1, n) for p, n in runs])
+
+
+def _spans(distinct: Distinct) -> dict[int, list[int]]:
+    """By length and place, how far the code points there reach within a group; 0 where none varies."""
+    if "spans" not in distinct.known:
+        n = F.length("seq").alias("_len")
+        places = range(distinct.longest)
+        code = lambda p: F.ascii(F.substring("seq", p + 1, 1))
+        reach = [(F.max(code(p)) - F.min(code(p))).alias(f"_{p}") for p in places]
+        per_group = distinct.table.groupBy(*distinct.group, n).agg(*reach)
+        rows = per_group.groupBy("_len").agg(*[F.max(f"_{p}").alias(f"_{p}") for p in places]).collect()
+        # At most one row for each length up to PACKED.
+        distinct.known["spans"] = {r["_len"]: [r[f"_{p}"] for p in range(r["_len"])] for r in rows}
+    return distinct.known["spans"]
+
+
+def masks_for(distinct: Distinct | None, thres: float | None = None, within: int | None = None) -> Masks | None:
+    """The masks for pairs of ``distinct`` in groups large enough to be worth it; None where they are too many."""
+    if distinct is None or distinct.metric != "hamming" or distinct.widest <= LIMITS.bucket_rows:
+        return None
+    if not 0 < distinct.longest <= PACKED:
+        return None
+    places, hidden, wide = {}, {}, 1
+    for n, spans in sorted(_spans(distinct).items()):
+        vary = tuple(p for p, span in enumerate(spans) if span)
+        # The most mismatches that stay strictly below the threshold.
+        most = max(d for d in range(n + 1) if d == 0 or (d <= within if thres is None else d / n < thres))
+        hide = min(most, len(vary))
+        # A pattern of the hidden letters is a bit of a whole number.
+        if comb(len(vary), hide) > LIMITS.masks or hide > 5:
+            return None
+        places[n] = vary
+        # Places with many letters first: they join most, so later masks find fewer names.
+        order = sorted(range(len(vary)), key=lambda i: -spans[vary[i]])
+        hidden[n] = tuple(tuple(sorted(h)) for h in combinations(order, hide))
+        wide = max(wide, (1 + max(spans, default=0)) ** hide)
+    return Masks(places, hidden, wide)
+
+
+class HammingMasks(HammingBlocks):
+    """Keys for Hamming pairs where few places vary: what each of ``masks`` leaves of a string."""
+
+    keys = ("_len", "_slot", "_key")
+    refine = None
+
+    def __init__(self, masks: Masks, thres: float | None = None, within: int | None = None):
+        super().__init__(thres, within)
+        self.masks = masks
+        # No key can be crowded.
+        self.calm = masks.wide <= LIMITS.bucket_rows
+
+    def index(self, table: DataFrame, carry: Sequence[str]) -> DataFrame:
+        text = table.select(*carry, F.length("seq").alias("_len"), "seq").withColumn("_text", self.masks.varying("seq"))
+        return text.select(*carry, "_len", F.inline(self.masks.slots("_text")))
+
+    probe = index
+
+    def _differ(self, a: str, b: str) -> list[Column]:
+        most = max((len(h) for hides in self.masks.hidden.values() for h in hides), default=0)
+        letter = lambda side, i: F.substring(f"{side}._hidden", i + 1, 1)
+        return [(letter(a, i) != letter(b, i)).cast("int") for i in range(most)]
+
+    def _count(self, a: str, b: str) -> Column:
+        return sum(self._differ(a, b), F.lit(0))
+
+    def close(self, a: str, b: str) -> Column:
+        pattern = sum((d * (1 << i) for i, d in enumerate(self._differ(a, b))), F.lit(0))
+        return F.call_function("shiftright", F.col(f"{a}._mine"), pattern).bitwiseAND(F.lit(1)) == 1
+
+
 class EditSegments:
     """Keys for edit pairs: distance < ``thres``, or <= ``within``."""
 
     keys = ("_key",)
     # A pair can meet under several segments.
     repeats = True
+    calm = False
     refine = None
 
     def __init__(
@@ -240,6 +389,9 @@ def signature(
 ):
     """Keys for a metric; ``distinct`` lets those for edit distance fit its groups."""
     if metric == "hamming":
+        masks = masks_for(distinct, thres, within)
+        if masks is not None:
+            return HammingMasks(masks, thres, within)
         return HammingBlocks(thres=thres, within=within, distinct=distinct)
     return EditSegments(thres=thres, within=within, distinct=distinct)
 

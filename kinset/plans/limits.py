@@ -12,6 +12,8 @@ from dataclasses import dataclass
 class Limits:
     # Distinct sequences that may meet under one join key before it is refined.
     bucket_rows: int = 2_000
+    # Masks that hide the places of mismatches, up to which they are used as keys.
+    masks: int = 64
     # Candidate pairs per row before dense regions are condensed first.
     pairs_per_row: int = 1_000
     # Rows below which a join is left to Spark's own skew handling.
