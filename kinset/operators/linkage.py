@@ -7,7 +7,8 @@ merging one closest pair at a time would make (Murtagh, 1983). Equal heights
 are ordered by (height, smaller id, larger id).
 
 Groups, and components of what is close, that have few clusters are gathered as matrices in one
-task each (``matrix``); only larger ones take distributed rounds.
+task each, those that have few close pairs as lists of these (``matrix``); only larger ones take
+distributed rounds.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from kinset.operators.copies import Distinct, distinct_sequences, restore
 from kinset.operators.dendrogram import tree_merges
 from kinset.operators.groups import group_sizes, with_ordinal
 from kinset.operators.joins import attach, join_keys
-from kinset.operators.matrix import DIGITS, merge_pieces, solve_edges, solve_profiles, solve_strings
+from kinset.operators.matrix import DIGITS, merge_pieces, solve_edges, solve_profiles, solve_sparse, solve_strings
 from kinset.operators.mst import mst_edges
 from kinset.operators.near import close_pairs, distance_pairs, union_all
 from kinset.plans.limits import LIMITS
@@ -161,23 +162,31 @@ def _small_pieces(
 ) -> tuple[list[DataFrame], DataFrame]:
     """The merges of small pieces, and the edges of the others.
 
-    A group with few clusters is a piece; of one with many, its components are.
+    A group with few clusters is a piece, as is one with few distances; of others, the components are.
     """
     value = {"average": "total", "complete": "most", "single": "least"}[linkage]
     placed, n = settle_counted(edges.withColumn("_all", F.lit(0)))
-    found, pieces = [], None
+    nothing = edges.where(F.lit(False)).withColumns({"score": F.lit(0.0), "_round": F.lit(0)})
+    found, pieces = [nothing.select(*group, "a", "b", "score", "size_a", "size_b", "_round")], None
     for by in ("group", "component"):
         keys = [*group, "_all"] if by == "group" else [*group, "_all", "piece"]
         ends = placed.select(*keys, F.col("a").alias("_v")).unionByName(placed.select(*keys, F.col("b").alias("_v")))
-        sizes = ends.groupBy(*keys, "_v").count().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_first"))
+        sizes = ends.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_first"), (F.sum("_c") / 2).alias("_edges")
+        )
         sizes = settle(sizes)
         fits = F.col("_n") * F.col("_n") <= LIMITS.matrix_cells
-        small = sizes.where(fits).select(*keys, "_first")
-        mine = attach(placed, small, keys, n, "inner").select(F.col("_first").alias("piece"), "a", "b", "size_a", "size_b", F.col(value).alias("value"))
-        merges = merge_pieces(mine, solve_edges(linkage, limit, sign < 0))
+        few = ~fits & (F.col("_edges") <= LIMITS.piece_edges) if sign > 0 else F.lit(False)
         named = settle(sizes.select(*group, F.col("_first").alias("piece")))
-        found.append(settle(attach(merges, named, ["piece"], n, "inner").drop("piece")))
-        large = settle(sizes.where(~fits).select(*keys))
+        for which, solve in ((fits, solve_edges(linkage, limit, sign < 0)), (few, solve_sparse(linkage, limit))):
+            some = settle(sizes.where(which).select(*keys, "_first"))
+            if is_empty(some):
+                continue
+            mine = attach(placed, some, keys, n, "inner").select(F.col("_first").alias("piece"), "a", "b", "size_a", "size_b", F.col(value).alias("value"))
+            # Settled first, as a join by hot keys reads its rows more than once.
+            merges = settle(merge_pieces(mine, solve))
+            found.append(settle(attach(merges, named, ["piece"], n, "inner").drop("piece")))
+        large = settle(sizes.where(~fits & ~few).select(*keys))
         if is_empty(large):
             placed = placed.where(F.lit(False))
             break
@@ -316,7 +325,7 @@ def _components_of(distinct: Distinct, thres: float) -> DataFrame:
 def _with_groups(merges: DataFrame, placed: DataFrame, group: Sequence[str], rows: int) -> DataFrame:
     """Merges of pieces with the group columns, which a piece's first sequence has."""
     named = placed.where("id = piece").select("piece", *group)
-    return settle(attach(merges, settle(named), ["piece"], rows, "inner").drop("piece"))
+    return settle(attach(settle(merges), settle(named), ["piece"], rows, "inner").drop("piece"))
 
 
 def average_below(distinct: Distinct, thres: float) -> DataFrame:

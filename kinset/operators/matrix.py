@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Digits of a score that count, so that sums taken in another order do not change the order.
@@ -221,3 +222,139 @@ def solve_profiles(limit: float | None) -> Callable[[pa.Table], list[tuple]]:
         return profile_rounds(ids, copies, np.concatenate(columns, 1), letters.shape[1], limit)
 
     return solve
+
+
+def _first_choices(a: np.ndarray, b: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    """The edges, by number, that are the first choice of both their ends: of n clusters each takes
+    the edge with the smallest (score, a, b)."""
+    order = np.lexsort((b, a, score))
+    back = np.arange(len(order))[::-1]
+    first = np.full(n, len(order))
+    for end in (a, b):
+        mine = np.full(n, len(order))
+        # The last one written, which is the first in order, stays.
+        mine[end[order][::-1]] = back
+        first = np.minimum(first, mine)
+    at = np.arange(len(order))
+    return order[(first[a[order]] == at) & (first[b[order]] == at)]
+
+
+def _renamed(a: np.ndarray, b: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges after merges in order of their ends, and where they were; loops are left out."""
+    a, b = np.minimum(to[a], to[b]), np.maximum(to[a], to[b])
+    order = np.lexsort((b, a))
+    order = order[a[order] != b[order]]
+    return a[order], b[order], order
+
+
+def edge_rounds(
+    ids: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, value: np.ndarray, linkage: str, limit: float | None = None
+) -> list[tuple[int, int, float, int, int, int]]:
+    """``merge_rounds`` from the pairs a < b (indexes into ``ids``) that may merge, without a matrix.
+
+    A pair without an edge is too far. Two clusters have an edge as long as all their member pairs
+    do (single linkage: any).
+    """
+    sizes, known = sizes.copy(), sizes[a] * sizes[b]
+    out: list[tuple[int, int, float, int, int, int]] = []
+    number = 0
+    while len(a):
+        score = np.round(value / (sizes[a] * sizes[b]) if linkage == "average" else value, DIGITS)
+        fits = np.isfinite(score) & ((score < limit) if limit is not None else True)
+        if linkage != "average":
+            # What is too far stays so; a mean can still fall.
+            a, b, value, known, score = a[fits], b[fits], value[fits], known[fits], score[fits]
+            fits = np.ones(len(a), bool)
+        at = np.flatnonzero(fits)
+        chosen = at[_first_choices(a[at], b[at], score[at], len(ids))]
+        if not len(chosen):
+            break
+        x, y = a[chosen], b[chosen]
+        out += zip(ids[x].tolist(), ids[y].tolist(), score[chosen].tolist(), sizes[x].tolist(), sizes[y].tolist(), [number] * len(x), strict=True)
+        number += 1
+        to = np.arange(len(ids))
+        to[y] = x
+        sizes[x] += sizes[y]
+        a, b, order = _renamed(a, b, to)
+        if not len(a):
+            break
+        start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        value, known = COMBINE[linkage].reduceat(value[order], start), np.add.reduceat(known[order], start)
+        a, b = a[start], b[start]
+        if linkage != "single":
+            whole = known == sizes[a] * sizes[b]
+            a, b, value, known = a[whole], b[whole], value[whole], known[whole]
+    return out
+
+
+def solve_sparse(linkage: str, limit: float | None) -> Callable[[pa.Table], list[tuple]]:
+    """``solve_edges`` of distances for pieces of many clusters and few edges."""
+
+    def solve(table: pa.Table) -> list[tuple]:
+        a, b, size_a, size_b, given = (table.column(i).to_numpy() for i in range(1, 6))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        sizes = np.zeros(len(ids), np.int64)
+        sizes[at] = np.concatenate([size_a, size_b])
+        return edge_rounds(ids, sizes, at[: len(a)], at[len(a) :], given, linkage, limit)
+
+    return solve
+
+
+def letter_rounds(
+    ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, length: int, a: np.ndarray, b: np.ndarray, limit: float
+) -> list[tuple[int, int, float, int, int, int]]:
+    """``profile_rounds`` that looks at the pairs a < b (indexes into ``ids``) and what becomes of them only.
+
+    These must be all pairs below ``limit``. A mean over two merged clusters is below it only if one
+    of their own means was, so pairs of clusters that reach it are dropped for good.
+    """
+    sizes, counts = sizes.astype(np.float64), counts.astype(np.float64)
+    step = max(1, CELLS // counts.shape[1])
+
+    def means(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        found = np.empty(len(a))
+        for i in range(0, len(a), step):
+            x, y = a[i : i + step], b[i : i + step]
+            pairs = sizes[x] * sizes[y] * length
+            found[i : i + step] = np.round((pairs - np.einsum("ij,ij->i", counts[x], counts[y])) / pairs, DIGITS)
+        return found
+
+    out: list[tuple[int, int, float, int, int, int]] = []
+    score, number = means(a, b), 0
+    while True:
+        fits = score < limit
+        a, b, score = a[fits], b[fits], score[fits]
+        if not len(a):
+            return out
+        chosen = _first_choices(a, b, score, len(ids))
+        x, y = a[chosen], b[chosen]
+        merged = np.rint(sizes).astype(np.int64)
+        out += zip(ids[x].tolist(), ids[y].tolist(), score[chosen].tolist(), merged[x].tolist(), merged[y].tolist(), [number] * len(x), strict=True)
+        number += 1
+        counts[x] += counts[y]
+        sizes[x] += sizes[y]
+        to, grown = np.arange(len(ids)), np.zeros(len(ids), bool)
+        to[y], grown[x] = x, True
+        a, b, order = _renamed(a, b, to)
+        start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+        a, b, score = a[start], b[start], score[order][start]
+        again = grown[a] | grown[b]
+        score[again] = means(a[again], b[again])
+
+
+def solve_letters(limit: float) -> Callable[[pa.Table], list[tuple]]:
+    """For rows (piece, a, b, copies, seq): strings of one length (a = b, their id) and the pairs
+    a < b of them below ``limit`` (no seq). Average linkage by letter counts."""
+
+    def solve(table: pa.Table) -> list[tuple]:
+        own = pc.equal(table.column(1), table.column(2))
+        ids, copies, letters = _strings(table.filter(own).select([0, 1, 3, 4]))
+        pairs = table.filter(pc.invert(own))
+        a, b = (np.searchsorted(ids, pairs.column(i).to_numpy()) for i in (1, 2))
+        columns = []
+        for column in letters.T:
+            kinds = np.unique(column)
+            columns.append((column[:, None] == kinds) * copies[:, None])
+        return letter_rounds(ids, copies, np.concatenate(columns, 1), letters.shape[1], a, b, limit)
+
+    return solve

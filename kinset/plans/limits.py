@@ -24,6 +24,8 @@ class Limits:
     # Sequences, and letter counts, of a piece that one task merges without a matrix.
     profile_rows: int = 50_000
     profile_cells: int = 16_000_000
+    # Close pairs of a piece that one task merges without a matrix.
+    piece_edges: int = 2_000_000
     # Sequences of a component whose distances are all measured, without bounds.
     measured_whole: int = 200
     # A key is hot above 1/hot_share of the rows, so at most hot_share are.
