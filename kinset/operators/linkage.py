@@ -26,9 +26,9 @@ from kinset.operators.copies import Distinct, distinct_sequences, restore
 from kinset.operators.dendrogram import tree_merges
 from kinset.operators.groups import group_sizes, with_ordinal
 from kinset.operators.joins import attach, join_keys
-from kinset.operators.matrix import DIGITS, merge_pieces, solve_edges, solve_profiles, solve_sparse, solve_strings
+from kinset.operators.matrix import DIGITS, merge_pieces, solve_edges, solve_letters, solve_profiles, solve_sparse, solve_strings
 from kinset.operators.mst import mst_edges
-from kinset.operators.near import close_pairs, distance_pairs, union_all
+from kinset.operators.near import close_pairs, distance_pairs, is_dense, union_all
 from kinset.plans.limits import LIMITS
 from kinset.plans.session import is_empty, settle, settle_counted
 
@@ -334,16 +334,58 @@ def average_below(distinct: Distinct, thres: float) -> DataFrame:
     The mean over member pairs is below ``thres`` only if some member pair is, so clusters merge
     within the components of the close pairs. A component of few sequences is one matrix of
     mismatches. In a larger one the pairs of clusters to consider come from the close pairs and
-    their means from letter counts, so its distance table is never needed.
+    their means from letter counts, so its distance table is never needed. A large group in which few
+    pairs are close is one piece, without looking for its components.
     """
+    rounds = []
+    if distinct.widest > LIMITS.bucket_rows and not is_dense(distinct, distinct.table, thres):
+        rounds, rest = _groups_by_links(distinct, thres)
+        rest, n = settle_counted(rest)
+        if n == 0:
+            return _merge_table(rounds, distinct.group)
+        distinct = replace(distinct, table=rest, rows=n)
     placed = _components_of(distinct, thres)
-    rounds, large = _pieces_by_letters(distinct, placed, thres)
+    found, large = _pieces_by_letters(distinct, placed, thres)
+    rounds += found
     large, n = settle_counted(large)
     if n:
         rounds += _average_rounds(replace(distinct, table=large, rows=n), thres)
     return _merge_table(rounds, distinct.group)
 
 
+def _groups_by_links(distinct: Distinct, thres: float) -> tuple[list[DataFrame], DataFrame]:
+    """Average-linkage merges of the groups with few close pairs, and the sequences of the other groups.
+
+    The strings of a group that have company and its close pairs go to one task. Strings of several
+    lengths are several pieces.
+    """
+    keys = [*distinct.group, "_len"]
+    near = close_pairs(distinct, distinct.table.withColumn("len", F.length("seq")), thres=thres, carry=("len",))
+    near, n = settle_counted(near.select(*distinct.group, F.col("src_len").alias("_len"), "src", "dst"))
+    ends = near.select(F.col("src").alias("id")).unionByName(near.select(F.col("dst").alias("id"))).distinct()
+    strings, rows = settle_counted(join_keys(distinct.table.withColumn("_len", F.length("seq")), ends, ["id"], "left_semi"))
+    letters = strings.select(*keys, F.posexplode(F.split("seq", "")).alias("_at", "_letter")).distinct()
+    pieces = join_keys(
+        join_keys(
+            strings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("piece")),
+            letters.groupBy(*keys).agg(F.count(F.lit(1)).alias("_kinds")), keys, "inner",
+        ),
+        near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_edges")), keys, "inner",
+    )
+    fits = (F.col("_edges") <= LIMITS.piece_edges) & (F.col("_n") * F.col("_kinds") <= LIMITS.profile_cells)
+    pieces = settle(pieces.select(*keys, "piece", fits.alias("_fits")))
+    mine = pieces.where("_fits").select(*keys, "piece")
+    linked = attach(strings, mine, keys, rows, "inner").select("piece", F.col("id").alias("a"), F.col("id").alias("b"), "copies", "seq")
+    pairs = attach(near, mine, keys, n, "inner").select(
+        "piece", F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0).cast("bigint").alias("copies"), F.lit(None).cast("string").alias("seq")
+    )
+    merges = settle(merge_pieces(linked.unionByName(pairs), solve_letters(thres)))
+    found = settle(attach(merges, mine.select("piece", *distinct.group), ["piece"], rows, "inner").drop("piece"))
+    others = pieces.where("not _fits").select(*keys)
+    rest = attach(strings, others, keys, rows, "inner").select(*distinct.table.columns)
+    return [found], rest
+
+
 def _pieces_by_letters(distinct: Distinct, placed: DataFrame, limit: float | None) -> tuple[list[DataFrame], DataFrame]:
     """Average-linkage merges of pieces of strings of one length, and the sequences of those too large.
 
