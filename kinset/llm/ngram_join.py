@@ -10,7 +10,8 @@ that can hold a linked pair are multiplied:
   at beyond these: of the first e + 1 + e/2 at least 1 + e/2 are shared, whichever of the
   two sets ends sooner in the order. Rows below this bound link with nothing.
 * A row belongs to the block of its shared first n-gram that most rows have chosen;
-  large blocks are split by set size and hash. Two blocks meet if they share one of the
+  large blocks are split by set size and hash, small ones around the same large one are put
+  together, as each of them would meet all of it anew. Two blocks meet if they share one of the
   first n-grams and their set sizes allow a link.
 * Inside a pair of blocks, rows whose n-grams are too rarely shared for the bound of
   their size are dropped, overlaps are accumulated over slices of columns, and pairs
@@ -51,6 +52,8 @@ from kinset.plans.session import settle, settle_counted
 CELLS, CELL_PARTS = 1 << 20, 16
 #: Weight of a block; a row weighs its set's size and ROW_WEIGHT.
 BLOCK, ROW_WEIGHT = 400_000, 200
+#: A home below 1/RIM of a block's weight joins others around a heavier one.
+RIM = 8
 #: Columns multiplied at once.
 COLUMNS = 4096
 
@@ -213,11 +216,20 @@ def blocks_of(shared: DataFrame, num: int, den: int) -> DataFrame:
     home = settle(best(shared.join(chosen, "gram"), "votes", "df"))
     home = home.withColumn("level", F.floor(F.log("n") / float(np.log(den / num))))
     weight = F.sum(F.col("n") + ROW_WEIGHT)
+    weights = settle(home.groupBy("home").agg(weight.alias("w")))
+    # The heaviest home that a home shares an n-gram with.
+    at = shared.join(home.select("key", "home"), "key").select("gram", "home").distinct().join(weights, "home")
+    top = at.groupBy("gram").agg(F.max(F.struct("w", "home")).alias("top"))
+    hubs = at.where(F.col("w") < BLOCK / RIM).join(top, "gram").groupBy("home").agg(F.max("top").alias("hub"))
+    hubs = hubs.where(F.col("hub.w") >= BLOCK / RIM).select("home", F.xxhash64("hub.home", F.lit("rim")).alias("rim"))
+    home = settle(home.join(hubs, "home", "left").withColumn("unit", F.when(F.col("rim").isNull(), F.col("key")).otherwise(F.col("home"))))
+    # Small homes around a heavy one are put together, each of them whole.
+    home = home.withColumn("home", F.coalesce("rim", "home"))
     by_level = settle(home.groupBy("home", "level").agg(weight.alias("w")))
     heavy = by_level.groupBy("home").agg(F.sum("w").alias("all")).where(F.col("all") > BLOCK)
     split = heavy.join(by_level, "home").select("home", "level", F.ceil(F.col("w") / BLOCK).alias("parts"))
     parts = F.when(F.col("parts").isNull(), F.xxhash64("home")).otherwise(
-        F.xxhash64("home", "level", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")))
+        F.xxhash64("home", "level", F.pmod(F.xxhash64("unit", F.lit(1)), F.col("parts")))
     )
     return home.join(split, ["home", "level"], "left").select("key", "n", parts.alias("block"))
 

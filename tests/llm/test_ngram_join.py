@@ -86,3 +86,24 @@ def test_product_of_blocks():
         assert (full == allowed).all()
         label = forest(a, b, links, 30)
         assert ((label >= 0) == (full | full.T).any(1)).all()
+
+
+def test_small_blocks_around_a_large_one_are_put_together(spark, monkeypatch):
+    """400 rows share an n-gram, and 300 more rows one each with one of these: the large blocks must
+    not be moved once for each small one, and all rows that share an n-gram must still meet."""
+    import kinset.llm.ngram_join as m
+
+    monkeypatch.setattr(m, "BLOCK", 20_000)
+    entries = [(0, k) for k in range(400)] + [(100 + i, k) for i in range(300) for k in (i, 1000 + i)]
+    shared = spark.createDataFrame(entries, "gram long, key long").selectExpr(
+        "gram", "key", "60L as n", "count(1) over (partition by gram) as df"
+    )
+    placed = m.settle(m.blocks_of(shared, 80, 100))
+    block = {r["key"]: r["block"] for r in placed.collect()}
+    met = {(r.a, r.b) for r in m.block_pairs(shared, placed, 80, 100).collect()}
+    sizes = {b: list(block.values()).count(b) for b in block.values()}
+    assert len(block) == 700 and max(sizes.values()) < 200
+    assert sum(sizes[a] + (sizes[b] if a != b else 0) for a, b in met) < 10_000
+    for i in range(300):
+        a, b = sorted((block[i], block[1000 + i]))
+        assert (a, b) in met
