@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
             for step in ("_next", "_last"):
                 at = "root" if step == "_next" else "_next"
                 onward = point.select(F.col("id").alias(at), F.col("root").alias(step))
-                hop = attach(point if step == "_next" else hop, onward, [at], 2 * n, "inner")
+                hop = attach(point if step == "_next" else hop, onward, [at], 2 * n, "inner", dim_rows=n)
             hop, moving = settle_counted(hop, F.col("_next") != F.col("_last"))
             point = hop.select("id", F.col("_last").alias("root"))
             if moving == 0:
@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         rounds.append(point)
         for end in ("src", "dst"):
             to = point.select(F.col("id").alias(end), F.col("root").alias("_to"))
-            left = attach(left, to, [end], n, "inner").drop(end).withColumnRenamed("_to", end)
+            left = attach(left, to, [end], n, "inner", dim_rows=n).drop(end).withColumnRenamed("_to", end)
             if n > LIMITS.plain_join_rows:
                 left = settle(left)
         left, n = settle_counted(left.where("src <> dst").distinct())
@@ -48,7 +48,8 @@ def components(edges: DataFrame) -> DataFrame:
     while rounds:
         here = rounds.pop()
         later = final.select(F.col("id").alias("root"), F.col("root").alias("_last"))
-        final = attach(here, later, ["root"], here.count()).select(
+        n = here.count()
+        final = attach(here, later, ["root"], n, dim_rows=n).select(
             "id", F.coalesce("_last", "root").alias("root")
         )
     return final

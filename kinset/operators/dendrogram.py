@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kinset.operators.components import components
 from kinset.operators.copies import distinct_sequences
 from kinset.operators.groups import with_ordinal
-from kinset.operators.joins import attach, join_keys
+from kinset.operators.joins import attach, join_keys, unsent
 from kinset.operators.near import union_all
 from kinset.plans.limits import LIMITS
 from kinset.plans.session import is_empty, settle, settle_counted
@@ -78,11 +78,11 @@ def _halves(rows: DataFrame, n: int) -> DataFrame:
         rows.select("piece", F.col("b").alias("at"), F.col("size_b").alias("_size"))
     )
     vertices = vertices.groupBy("piece", "at").agg(F.max("_size").alias("_size"))
-    weights = vertices.join(roots, ["piece", "at"]).groupBy("piece", "_root").agg(F.sum("_size").alias("_sum"))
-    known = settle(roots.join(weights, ["piece", "_root"]))
+    weights = vertices.join(unsent(roots, n), ["piece", "at"]).groupBy("piece", "_root").agg(F.sum("_size").alias("_sum"))
+    known = settle(roots.join(unsent(weights, n), ["piece", "_root"]))
     for end in ("a", "b"):
         named = known.withColumnsRenamed({"at": end, "_root": f"_{end}", "_sum": f"_size_{end}"})
-        rows = attach(rows, named, ["piece", end], n)
+        rows = attach(rows, named, ["piece", end], n, dim_rows=n)
     first = F.col("rank") <= F.col("_middle")
     later = [F.when(first, F.col(c)).otherwise(F.coalesce(f"_{c}", c)).alias(c) for c in ("a", "b", "size_a", "size_b")]
     piece = F.when(first, F.concat("piece", F.lit(" "), F.col("_a").cast("string"))).otherwise(F.concat("piece", F.lit(" -")))
@@ -111,7 +111,7 @@ def tree_merges(edges: DataFrame, group: Sequence[str]) -> DataFrame:
     large, n = settle_counted(rows.where(~few))
     if n:
         roots = components(large.select("src", "dst")).select(F.col("id").alias("src"), F.col("root").alias("_root"))
-        large = attach(large.drop("_first"), settle(roots), ["src"], n, "inner").withColumnRenamed("_root", "_first")
+        large = attach(large.drop("_first"), settle(roots), ["src"], n, "inner", dim_rows=n).withColumnRenamed("_root", "_first")
         large = settle(with_ordinal(large.select(*columns), ["dist", "src", "dst"], (), "rank"))
     while n:
         many = large.groupBy("piece").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LIMITS.tree_edges)
@@ -134,16 +134,17 @@ def leaf_order(merges: DataFrame) -> DataFrame:
     size further on; the place of a leaf is the sum of these along its path to the root.
     """
     sizes = merges.groupBy(F.col("left_id").alias("right_id")).agg(F.max("size").alias("_own"))
-    steps, n = settle_counted(attach(merges.select("left_id", "right_id", "size"), settle(sizes), ["right_id"], merges.count()))
+    n = merges.count()
+    steps = settle(attach(merges.select("left_id", "right_id", "size"), settle(sizes), ["right_id"], n, dim_rows=n))
     point = steps.select(
         F.col("right_id").alias("id"), F.col("left_id").alias("up"),
         (F.col("size") - F.coalesce("_own", F.lit(1))).alias("pos"),
     )
-    roots = merges.select(F.col("left_id").alias("id")).distinct().join(point, "id", "left_anti")
+    roots = merges.select(F.col("left_id").alias("id")).distinct().join(unsent(point, n), "id", "left_anti")
     point = settle(point.unionByName(roots.select("id", F.col("id").alias("up"), F.lit(0).cast("long").alias("pos"))))
     while True:
         onward = point.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("pos").alias("_pos"))
-        hop = attach(point, onward, ["up"], 2 * n, "inner")
+        hop = attach(point, onward, ["up"], 2 * n, "inner", dim_rows=n)
         hop, moving = settle_counted(hop, F.col("up") != F.col("_up"))
         point = hop.select("id", F.col("_up").alias("up"), (F.col("pos") + F.col("_pos")).alias("pos"))
         if moving == 0:
@@ -161,11 +162,11 @@ def dendrogram(merges: DataFrame, group: Sequence[str]) -> DataFrame:
     merges, n = settle_counted(merges.select(*group, "step", "left_id", "right_id", "height", "size"))
     last = merges.groupBy(F.col("left_id").alias("right_id")).agg(F.max("step").alias("right_node"))
     # The node before, by the left name: the row before in the order of (name, step).
-    ordered = settle(with_ordinal(attach(merges, settle(last), ["right_id"], n), ["left_id", "step"], (), "_n"))
+    ordered = settle(with_ordinal(attach(merges, settle(last), ["right_id"], n, dim_rows=n), ["left_id", "step"], (), "_n"))
     before = ordered.select((F.col("_n") + 1).alias("_n"), F.col("left_id").alias("_left"), F.col("step").alias("_step"))
-    nodes = join_keys(ordered, before, ["_n"], "left")
+    nodes = join_keys(ordered, unsent(before, n), ["_n"], "left")
     nodes = nodes.withColumn("left_node", F.when(F.col("_left") == F.col("left_id"), F.col("_step")))
-    nodes = attach(nodes, leaf_order(merges).withColumnRenamed("id", "left_id"), ["left_id"], n, "inner")
+    nodes = attach(nodes, leaf_order(merges).withColumnRenamed("id", "left_id"), ["left_id"], n, "inner", dim_rows=n)
     return nodes.select(
         *group, F.col("step").alias("node"), "left_id", "right_id", "left_node", "right_node", "height", "size",
         "tree", F.col("pos").alias("lo"), (F.col("pos") + F.col("size") - 1).alias("hi"),
@@ -175,7 +176,8 @@ def dendrogram(merges: DataFrame, group: Sequence[str]) -> DataFrame:
 def leaves(df: DataFrame, group: Sequence[str], merges: DataFrame) -> DataFrame:
     """(group, id, tree, pos) of every record; one without a merge is a tree of its own."""
     records = df.select(*group, F.col("id").cast("bigint").alias("id"))
-    placed = attach(records, settle(leaf_order(merges)), ["id"], records.count())
+    n = records.count()
+    placed = attach(records, settle(leaf_order(merges)), ["id"], n, dim_rows=n)
     return placed.select(
         *group, "id", F.coalesce("tree", "id").alias("tree"), F.coalesce("pos", F.lit(0).cast("bigint")).alias("pos")
     )
@@ -210,15 +212,15 @@ def labels_at(ids: DataFrame, merges: DataFrame, cuts: Sequence[float]) -> DataF
         jump, n = settle_counted(jump)
         if n == 0:
             break
-        jumps.append(jump)
+        jumps.append((jump, n))
         onward = jump.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"))
-        jump = attach(jump, onward, ["up"], n, "inner").select("id", F.col("_up").alias("up"), F.col("_top").alias("top"))
+        jump = attach(jump, onward, ["up"], n, "inner", dim_rows=n).select("id", F.col("_up").alias("up"), F.col("_top").alias("top"))
     heights = F.array(*[F.lit(float(t)) for t in cuts])
     at = ids.select(F.col("id").cast("bigint").alias("id"), F.explode(heights).alias("thres"))
     at, n = settle_counted(at.withColumn("cluster_id", F.col("id")))
-    for jump in reversed(jumps):
+    for jump, far in reversed(jumps):
         step = jump.withColumnRenamed("id", "cluster_id")
-        at = attach(at, step, ["cluster_id"], n)
+        at = attach(at, step, ["cluster_id"], n, dim_rows=far)
         at = at.withColumn("cluster_id", F.when(F.col("top") < F.col("thres"), F.col("up")).otherwise(F.col("cluster_id")))
         at = at.drop("up", "top")
         if n > LIMITS.plain_join_rows:

@@ -36,6 +36,12 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return joined.drop(*[f"_right_{k}" for k in keys])
 
 
+def unsent(table: DataFrame, rows: int) -> DataFrame:
+    """``table`` (about ``rows`` rows), not to be broadcast if these are many. Numbers in order take
+    so little room in files that Spark would send millions of them through the driver."""
+    return table.hint("merge") if rows > LIMITS.broadcast_rows else table
+
+
 def attach(
     fact: DataFrame,
     dim: DataFrame,
@@ -43,14 +49,17 @@ def attach(
     rows: int,
     how: str = "left",
     counts: DataFrame | None = None,
+    dim_rows: int = 0,
 ) -> DataFrame:
     """Join ``fact`` (about ``rows`` rows) with ``dim`` (one row per key).
 
     Keys that hold more than 1/``hot_share`` of the fact rows are joined apart
     by broadcast: there are at most ``hot_share`` of them, so that table is small
     whatever the data, and their fact rows are not moved at all. ``counts`` (keys
-    and ``_n``) saves counting the fact rows where that has been done already.
+    and ``_n``) saves counting the fact rows where that has been done already. ``dim_rows``
+    is for tables that grow with the records: above ``broadcast_rows`` they are not broadcast.
     """
+    whole, dim = dim, unsent(dim, dim_rows)
     if rows <= LIMITS.plain_join_rows:
         return join_keys(fact, dim, keys, how)
     if counts is None:
@@ -63,7 +72,7 @@ def attach(
     )
     if is_empty(hot):
         return join_keys(fact, dim, keys, how)
-    hot_dim = settle(join_keys(dim, F.broadcast(hot), keys, "left_semi"))
+    hot_dim = settle(join_keys(whole, F.broadcast(hot), keys, "left_semi"))
     hot_rows = join_keys(
         join_keys(fact, F.broadcast(hot), keys, "left_semi"), F.broadcast(hot_dim), keys, how
     )

@@ -28,6 +28,8 @@ class Limits:
     piece_edges: int = 2_000_000
     # Sequences of a component whose distances are all measured, without bounds.
     measured_whole: int = 200
+    # Rows above which a table is not broadcast, whatever the size of its files.
+    broadcast_rows: int = 100_000
     # A key is hot above 1/hot_share of the rows, so at most hot_share are.
     hot_share: int = 1_000
 

@@ -15,6 +15,7 @@ from kinset import (
     sweep_members,
     tree_merges,
 )
+from kinset.plans.limits import LIMITS
 
 SCHEMA = "g int, id long, seq string"
 
@@ -156,3 +157,17 @@ def test_cuts_of_a_long_chain(spark):
         first = next(i for i in range(n + 1) if n - i < t)  # the edge at its right end counts
         assert all(got[i, t] == (i if i <= first else first) for i in range(n + 1))
     assert [cut_merges(ids.withColumnRenamed("id", "id").selectExpr("0 as g", "id"), ["g"], merges, thres=100.0).where("id <> cluster_id").count()] == [99]
+
+
+def test_tables_that_grow_with_the_records_are_not_broadcast(spark, monkeypatch):
+    """Ids in order take little room in files, so file sizes must not decide."""
+    monkeypatch.setattr(LIMITS, "broadcast_rows", 10, raising=False)
+    rows = [(0, i, 20 + i, 10 + i, 2.0, 2) for i in range(10)] + [(0, 10 + i, 0, i + 1, 3.0, 2 * i + 4) for i in range(9)]
+    merges = spark.createDataFrame(
+        [(g, step, a, b, h, n) for step, (g, _, a, b, h, n) in enumerate(rows)],
+        "g int, step long, left_id long, right_id long, height double, size long",
+    )
+    nodes = dendrogram(merges, ["g"])
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert nodes.count() == 19
