@@ -133,16 +133,11 @@ def threshold_sweep(
     leaves = Leaves(df, group, metric, inner)
     # Records outside any leaf (no sequence) are clusters of their own.
     alone = df.count() - leaves.distinct.records
-    counts = []
-    for t in cuts:
-        centres = leaves.coarsen(t) if t > inner else leaves.centres
-        kept = centres.where("id = cluster_id") if t > inner else centres
-        counts.append(
-            kept.agg((F.count(F.lit(1)) + alone).alias("clusters")).select(
-                F.lit(float(t)).alias("thres"), "clusters"
-            )
-        )
-    return union_all(counts)
+    counts, n = [], leaves.centres.count()
+    led = leaves.followers_at([t for t in cuts if t > inner])
+    for t in map(float, cuts):
+        counts.append((t, n + alone - (led[t].count() if t > max(inner, 0) else 0)))
+    return spark.createDataFrame(counts, "thres double, clusters bigint")
 
 
 def _sweep_counts(distinct: Distinct, records: int, cuts: Sequence[float]) -> DataFrame:

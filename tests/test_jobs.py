@@ -67,3 +67,28 @@ def test_compare_methods(spark):
     assert {r.id: r.cluster_id for r in got if r.method == "leader"} == models.leader(
         top, "hamming", 0.3
     )
+
+
+def test_condense_sweep_searches_the_centres_once(spark, monkeypatch):
+    import random
+
+    import kinset.operators.leader as leader
+    from kinset.operators.condense import Leaves
+
+    rng = random.Random(11)
+    rows = [(i % 3, i, "".join(rng.choice("ab") for _ in range(18))) for i in range(150)]
+    rows += [(0, 500, None), (1, 501, rows[1][2])]
+    df = spark.createDataFrame(rows, "g int, id long, seq string")
+    cuts = (-1.0, 0.03, 0.06, 0.12, 0.15, 0.2)
+    leaves = Leaves(df, ["g"], "hamming", 0.06)
+    want = []
+    for t in cuts:
+        centres = leaves.coarsen(t).where("id = cluster_id") if t > 0.06 else leaves.centres
+        want.append((t, centres.count() + 1))
+    calls = []
+    search = leader.close_pairs
+    monkeypatch.setattr(leader, "close_pairs", lambda *a, **b: calls.append(b) or search(*a, **b))
+    got = threshold_sweep(df, ["g"], "hamming", cuts, "condense", 0.06)
+    assert sorted(map(tuple, got.collect())) == want
+    # Once for the leaves, once for the centres at all cuts.
+    assert len(calls) == 2
