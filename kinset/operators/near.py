@@ -100,6 +100,7 @@ def close_pairs(
     carry: Sequence[str] = (),
     comp: bool = False,
     links_only: bool = False,
+    only: Column | None = None,
 ) -> DataFrame:
     """Pairs of sequences closer than ``thres`` (or within a whole distance).
 
@@ -108,7 +109,9 @@ def close_pairs(
 
     ``comp`` keeps only pairs whose ``comp`` columns differ. ``links_only`` lets
     a bucket in which all are close be linked through its smallest id instead of
-    pair by pair, for callers that need connectivity and no distances.
+    pair by pair, for callers that need connectivity and no distances. ``only`` is
+    a condition on the carried columns of ``a`` and ``b`` that all close pairs meet;
+    other pairs are not measured.
     """
     group, metric = distinct.group, distinct.metric
     left = spread(distinct.table if left is None else left)
@@ -118,6 +121,7 @@ def close_pairs(
     sig = signature(metric, thres, within, distinct)
     carried = [*carry, *(["comp"] if comp and "comp" not in carry else [])]
     different = F.col("a.comp") != F.col("b.comp") if comp else F.lit(True)
+    different = different if only is None else different & only
 
     def pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], swapped: bool = False):
         if two_sided:
@@ -312,7 +316,10 @@ def _pivot_pairs(distinct: Distinct, thres: float, carry: Sequence[str]) -> Data
     third one that differ by at most d.
 
     Two pivots per group give whole distances; bands of width d+1 on both are
-    the join key, so close strings lie in the same or neighbouring bands.
+    the join key, so close strings lie in the same or neighbouring bands. Most strings
+    of a large group are about equally far from any pivot, so bands grow with the group:
+    there the strings meet on the keys of ``close_pairs``, and the distances to the pivots
+    decide which of them are compared.
     """
     group, metric = distinct.group, distinct.metric
     table = spread(distinct.table).withColumn("_all", F.lit(0))
@@ -336,6 +343,11 @@ def _pivot_pairs(distinct: Distinct, thres: float, carry: Sequence[str]) -> Data
         table = table.withColumn(f"_m{i}", measure("seq", f"_p{i}").cast("bigint"))
         table = table.withColumn(f"_b{i}", F.floor(F.col(f"_m{i}") / (F.col("_d") + 1)))
     table = table.drop("_p1", "_p2")
+    if distinct.widest > LIMITS.bucket_rows:
+        apart = [F.abs(F.col(f"a._m{i}") - F.col(f"b._m{i}")) <= F.col("a._d") for i in ("1", "2")]
+        seen = [*carry, "_m1", "_m2", "_d"]
+        found = close_pairs(distinct, table, thres=thres, carry=seen, only=all_of(apart))
+        return found.drop(*[f"{end}_{c}" for end in ("src", "dst") for c in ("_m1", "_m2", "_d")])
     wide = table
     for i in ("1", "2"):
         wide = wide.withColumn(
@@ -345,22 +357,7 @@ def _pivot_pairs(distinct: Distinct, thres: float, carry: Sequence[str]) -> Data
     for i in ("1", "2"):
         keep = keep & (F.abs(F.col(f"a._m{i}") - F.col(f"b._m{i}")) <= F.col("a._d"))
     dist = distance(metric, "a.seq", "b.seq")
-    band = ["_b1", "_b2"]
-    if distinct.widest > LIMITS.bucket_rows:
-        a, b = _tile_crowded(wide, table, [*group, *band], distinct.rows * 9)
-        band = [*band, "_ta", "_tb"]
-    else:
-        a, b = wide, table
-    return _meet(a, b, group, band, keep & (dist < thres), dist, carry)
-
-
-def _tile_crowded(a: DataFrame, b: DataFrame, keys: Sequence[str], rows: int):
-    """Tile both sides of a join by the size of each key's rows."""
-    sizes = group_sizes(a, keys).withColumnRenamed("n", "_na")
-    sizes = join_keys(sizes, group_sizes(b, keys).withColumnRenamed("n", "_nb"), keys, "inner")
-    sizes = settle(sizes)
-    a, b = (attach(side, sizes, keys, rows, "inner") for side in (a, b))
-    return _tiles(a, "_ta", "_na", "_tb", "_nb"), _tiles(b, "_tb", "_nb", "_ta", "_na")
+    return _meet(wide, table, group, ["_b1", "_b2"], keep & (dist < thres), dist, carry)
 
 
 def near_pairs(

@@ -178,3 +178,31 @@ def test_blocks_of_letters_outside_ascii(spark, tight):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {(r.src, r.dst): r.dist for r in near_pairs(df, ["g"], "hamming", 0.4).collect()}
     assert got == {(i, j): d for (_, i, j), d in models.pairs(rows, "hamming").items() if d < 0.4}
+
+
+@pytest.mark.parametrize("metric,thres", [("hamming", 0.26), ("edit", 2.0)])
+def test_pivots_do_not_meet_whole_large_groups(spark, monkeypatch, metric, thres):
+    """Random digits are about equally far from any pivot: bands alone leave most pairs."""
+    import random
+
+    import kinset.operators.near as near
+    from kinset.plans.limits import LIMITS
+
+    rng = random.Random(4)
+    rows = [(i % 2, i, "id" + "".join(rng.choice("0123456789") for _ in range(6))) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, id long, seq string")
+    want = sorted(map(tuple, near.near_pairs(df, ["g"], metric, thres, "allpairs").collect()))
+    monkeypatch.setattr(LIMITS, "bucket_rows", 40)
+    met = []
+    meet = near._meet
+
+    def counted(a, b, group, keys, keep, *rest):
+        on = near.all_of([*near.same_keys("a", "b", group), *[near.F.col(f"a.{k}") == near.F.col(f"b.{k}") for k in keys]])
+        met.append(a.alias("a").join(b.alias("b"), on).count())
+        return meet(a, b, group, keys, keep, *rest)
+
+    monkeypatch.setattr(near, "_meet", counted)
+    got = near.near_pairs(df, ["g"], metric, thres, "pivot")
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 0
+    # All pairs in both orders are 45,000.
+    assert sum(met) < 15_000, met
