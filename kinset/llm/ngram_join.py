@@ -135,16 +135,17 @@ def read_sketch(described: DataFrame) -> np.ndarray:
                 counts = np.frombuffer(zlib.decompress(blob), np.int32)
                 sums[cell] = sums[cell] + counts if cell in sums else counts.astype(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
+            [pa.array(list(sums), pa.int32()),
+             pa.array([np.minimum(v, (1 << 20) - 1).astype(np.uint32).tobytes() for v in sums.values()], pa.binary())],
             names=["cell", "counts"],
         )
 
     parts = described.where("cell is not null").select("cell", "counts")
     rows = parts.repartition(CELL_PARTS, "cell").mapInArrow(run, "cell int, counts binary").collect()
-    sketch = np.zeros((CELL_PARTS, CELLS // CELL_PARTS), np.int64)
+    sketch = np.zeros((CELL_PARTS, CELLS // CELL_PARTS), np.uint32)
     for r in rows:
-        sketch[r["cell"]] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(sketch.ravel(), (1 << 20) - 1).astype(np.uint32)
+        sketch[r["cell"]] = np.frombuffer(r["counts"], np.uint32)
+    return sketch.ravel()
 
 
 def first_grams(docs: DataFrame, words: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
@@ -218,7 +219,7 @@ def blocks_of(shared: DataFrame, num: int, den: int) -> DataFrame:
     weight = F.sum(F.col("n") + ROW_WEIGHT)
     weights = settle(home.groupBy("home").agg(weight.alias("w")))
     # The heaviest home that a home shares an n-gram with.
-    at = shared.join(home.select("key", "home"), "key").select("gram", "home").distinct().join(weights, "home")
+    at = settle(shared.join(home.select("key", "home"), "key").select("gram", "home").distinct().join(weights, "home"))
     top = at.groupBy("gram").agg(F.max(F.struct("w", "home")).alias("top"))
     hubs = at.where(F.col("w") < BLOCK / RIM).join(top, "gram").groupBy("home").agg(F.max("top").alias("hub"))
     hubs = hubs.where(F.col("hub.w") >= BLOCK / RIM).select("home", F.xxhash64("hub.home", F.lit("rim")).alias("rim"))
@@ -239,7 +240,7 @@ def block_pairs(shared: DataFrame, placed: DataFrame, num: int, den: int) -> Dat
     at = shared.join(placed.select("key", "block"), "key")
     met = at.groupBy("gram", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     gram = "min(block) over (partition by gram) <> max(block) over (partition by gram)"
-    met = met.withColumn("_many", F.expr(gram)).where("_many").drop("_many")
+    met = settle(met.withColumn("_many", F.expr(gram)).where("_many").drop("_many"))
     a, b = met.alias("a"), met.alias("b")
     fits = (F.col("b.hi") * den >= F.col("a.lo") * num) & (F.col("a.hi") * den >= F.col("b.lo") * num)
     across = (
@@ -442,9 +443,9 @@ def ngram_jaccard_join(
     shared = shared_grams(first_grams(docs, words, num, den, sketch), num, den)
     placed = settle(blocks_of(shared, num, den))
     pairs = block_pairs(shared, placed, num, den).withColumn("pair", F.xxhash64("a", "b"))
-    ends = pairs.select("pair", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(
-        pairs.where("a <> b").select("pair", F.col("b").alias("block"), F.lit(1).alias("side"))
-    )
+    # Both ends from one pass: a union would find the pairs twice.
+    end = lambda block, side: F.struct(F.col(block).alias("block"), F.lit(side).alias("side"))
+    ends = pairs.select("pair", F.inline(F.when(F.col("a") == F.col("b"), F.array(end("a", 0))).otherwise(F.array(end("a", 0), end("b", 1)))))
     members = placed.join(classes.where("rep is not null").drop("n"), "key")
     wanted = settle(members.join(ends, "block").select("key", "rep", "copies", "pair", "side"))
     # Only texts that a block needs are moved.

@@ -30,6 +30,7 @@ from kinset.llm.text import (
     pieces,
     slices,
     text_buffers,
+    trim,
     word_spans,
     word_table,
 )
@@ -323,6 +324,9 @@ def train(
     picked = docs.select(F.col(key), F.col(text).alias("_text"), languages.cast("string").alias("_lang"))
     rows = labelled_sample(picked, labels.select(key, label), allowed, o, key, label)
 
+    # The sample comes to the driver in as few bytes as hold a bucket.
+    kind = np.uint16 if o.buckets < 1 << 16 else np.int32
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = WordBuckets(o.buckets)
         for batch in batches:
@@ -331,6 +335,7 @@ def train(
             for a, b in pieces(offsets):
                 own = offsets[a : b + 1] - offsets[a]
                 ids, first = buckets.of(data[offsets[a] : offsets[b]], own)
+                ids = ids.astype(kind)
                 words += [ids[first[i] : first[i + 1]].tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(words, pa.binary()), batch.column(2), batch.column(3)],
@@ -338,11 +343,16 @@ def train(
             )
 
     wanted = rows.select(F.col(key).cast("string"), "_text", "_lang", F.col("_label").cast("int"))
-    got = wanted.mapInArrow(run, "k string, words binary, lang string, label int").collect()
-    got.sort(key=lambda r: (r["k"], r["words"]))
-    texts = [np.frombuffer(r["words"], np.int32).reshape(-1, 1 + len(STEMS)) for r in got]
-    y = np.array([r["label"] for r in got])
-    net = fit(texts, y, [r["lang"] for r in got], o)
+    got = wanted.mapInArrow(run, "k string, words binary, lang string, label int").toArrow()
+    keys, words, langs, given = (got.column(i).to_pylist() for i in range(4))
+    del got
+    order = sorted(range(len(keys)), key=lambda i: (keys[i], words[i]))
+    texts = [np.frombuffer(words[i], kind).reshape(-1, 1 + len(STEMS)) for i in order]
+    y = np.array([given[i] for i in order])
+    net = fit(texts, y, [langs[i] for i in order], o)
+    # The driver stays beside its JVM.
+    del texts, words
+    trim()
     if len(y) == 0 or y.min() == y.max():
         return net
     known = known_labels(labels.select(key, label), allowed, key, label)

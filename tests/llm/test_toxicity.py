@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinset.llm.toxicity import CUT, FitOptions, fit, score, train
+from kinset.llm import toxicity
+from kinset.llm.toxicity import CUT, FitOptions, WordBuckets, fit, score, train
 
 BAD = ["awful", "rotten", "nasty"]
 
@@ -73,3 +74,17 @@ def test_cuts_come_from_all_labelled_rows(spark):
 
     for some, cut in [(got, CUT), *[([r for r in got if r.lang == x], net.cuts[x]) for x in ("en", "de")]]:
         assert f1(some, cut) >= max(f1(some, r.score) for r in some[::3]) - 0.005
+
+
+@pytest.mark.parametrize("buckets, kind", [(1 << 15, np.uint16), (1 << 16, np.int32)])
+def test_sample_takes_few_bytes_in_the_driver(spark, labelled, monkeypatch, buckets, kind):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, *rest: seen.append(texts) or fit(texts, *rest))
+    some = labelled.where("doc_id < 60")
+    train(some.drop("toxic"), some.select("doc_id", "toxic"), options=FitOptions(epochs=1, buckets=buckets))
+    rows = sorted(some.collect(), key=lambda r: str(r.doc_id))
+    raw = [r.text.encode() for r in rows]
+    ids, first = WordBuckets(buckets).of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(t) for t in raw]))
+    assert len(seen[0]) == 60 and all(t.dtype == kind for t in seen[0])
+    # Buckets go up to their number, so 1 << 16 of them need more than two bytes.
+    assert (np.concatenate(seen[0]) == np.concatenate([ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)])).all()
