@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from kinset.functions.distance import edit_radius
 from kinset.operators.components import components
 from kinset.operators.copies import Distinct, distinct_sequences
 from kinset.operators.joins import attach, join_keys
+from kinset.operators.matrix import each_piece
 from kinset.operators.near import close_pairs, is_dense, union_all
 from kinset.plans.limits import LIMITS
 from kinset.plans.session import is_empty, settle, settle_counted
@@ -19,7 +21,8 @@ from kinset.plans.session import is_empty, settle, settle_counted
 
 def spanning_forest(edges: DataFrame, group: Sequence[str]) -> DataFrame:
     """Minimum spanning forest of ``edges(group, src, dst, dist, src_comp,
-    dst_comp)``, which joins components.
+    dst_comp)``, which joins components; ``_root`` is the smallest component that an edge
+    reaches, where that is known already.
 
     Edges are ordered by (dist, src, dst), so the forest is unique. The edges of
     a group that has few go through one task in this order. For the others, in
@@ -55,7 +58,19 @@ def spanning_forest(edges: DataFrame, group: Sequence[str]) -> DataFrame:
         )
         left, n = settle_counted(left.groupBy("_a", "_b").agg(F.min("_edge").alias("_edge")))
     columns = [*group, "src", "dst", "dist", "src_comp", "dst_comp"]
-    return union_all([c.select(*columns) for c in chosen])
+    found = [c.select(*columns, F.lit(None).cast("bigint").alias("_root")) for c in chosen[1:]]
+    return union_all([chosen[0].select(*columns, "_root"), *found])
+
+
+def _forest_roots(forest: DataFrame) -> DataFrame:
+    """(comp, root) of the components that a forest of ``spanning_forest`` joins."""
+    ends = [forest.where("_root is not null").select(F.col(c).alias("comp"), F.col("_root").alias("root")) for c in ("src_comp", "dst_comp")]
+    known = union_all(ends).distinct()
+    others = forest.where("_root is null")
+    if is_empty(others):
+        return known
+    found = components(others.select(F.col("src_comp").alias("src"), F.col("dst_comp").alias("dst")))
+    return known.unionByName(found.withColumnRenamed("id", "comp"))
 
 
 def _small_forests(edges: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
@@ -69,36 +84,59 @@ def _small_forests(edges: DataFrame, group: Sequence[str]) -> tuple[DataFrame, D
     rows = placed.where(fits).select(*columns).repartition("_piece").sortWithinPartitions("_piece", "dist", "src", "dst")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[int, int] = {}
-        now = None
-
-        def find(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        for batch in batches:
-            keep = []
-            for piece, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 4, 5)), strict=True):
-                if piece != now:
-                    up, now = {}, piece
-                a, b = find(a), find(b)
-                keep.append(a != b)
-                up[a] = b
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    forests = settle(rows.mapInArrow(run, rows.schema).drop("_piece"))
+        for table in each_piece(batches):
+            kept, root = _ordered_forest(*(table.column(i).to_numpy() for i in (4, 5)))
+            table = table.append_column("_root", pa.array(root)).filter(pa.array(kept))
+            yield from table.combine_chunks().to_batches()
+
+    schema = rows.withColumn("_root", F.lit(0).cast("bigint")).schema
+    forests = settle(rows.mapInArrow(run, schema).drop("_piece"))
     large, n = settle_counted(placed.where(~fits).drop("_all", "_n", "_piece"))
     return forests, large if n else None
 
 
+def _ordered_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the edges (a, b), best first, are in the spanning forest, and the smallest vertex
+    that each of them reaches. In rounds every component takes its first outgoing edge."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n, m = len(ids), len(a)
+    a, b = at[:m], at[m:]
+    comp, kept, live = np.arange(n), np.zeros(m, bool), np.arange(m)
+    while True:
+        x, y = comp[a[live]], comp[b[live]]
+        across = x != y
+        live, x, y = live[across], x[across], y[across]
+        if not len(live):
+            break
+        first = np.full(n, m)
+        for end in (x, y):
+            mine = np.full(n, m)
+            # The last one written, which is the first in order, stays.
+            mine[end[::-1]] = live[::-1]
+            first = np.minimum(first, mine)
+        roots = np.flatnonzero(first < m)
+        taken = first[roots]
+        kept[taken] = True
+        up = np.arange(n)
+        up[roots] = comp[a[taken]] + comp[b[taken]] - roots
+        # Two components that took the same edge point to each other.
+        top = roots[(up[up[roots]] == roots) & (roots < up[roots])]
+        up[top] = top
+        while (up[up] != up).any():
+            up = up[up]
+        comp = up[comp]
+    smallest = np.empty(n, np.int64)
+    smallest[comp[::-1]] = ids[::-1]
+    return kept, smallest[comp[a]]
+
+
 def _rungs(distinct: Distinct, thres: float | None) -> list[dict]:
     """Radii at which edges are searched, smallest first.
 
     Close edges join most sequences before wide radii are searched, where then
     only pairs of different components count.
     """
-    if thres is not None and not is_dense(distinct, distinct.table, thres):
+    if thres is not None and not is_dense(distinct, distinct.table, thres, LIMITS.edges_per_row):
         return [{"thres": thres}]
     if thres is None:
         reach = distinct.longest
@@ -114,6 +152,21 @@ def _rungs(distinct: Distinct, thres: float | None) -> list[dict]:
     return rungs
 
 
+def _across(distinct: Distinct, table: DataFrame, radius: dict) -> DataFrame:
+    """Close pairs of different components of ``table``, in which ``_main`` is the largest component
+    of each group: one end of every such pair lies outside it, and those rows only are searched for."""
+    rest = settle(table.where("comp <> _main").drop("_main"))
+    main = table.where("comp = _main").drop("_main")
+    inside = close_pairs(distinct, rest, **radius, carry=("comp",), comp=True)
+    out = close_pairs(distinct, rest, main, **radius, carry=("comp",), comp=True)
+    turn = F.col("src") > F.col("dst")
+    ends = [
+        F.when(turn, F.col(there)).otherwise(F.col(here)).alias(here)
+        for x, y in (("src", "dst"), ("src_comp", "dst_comp")) for here, there in ((x, y), (y, x))
+    ]
+    return inside.unionByName(out.select(*distinct.group, *ends, "dist"))
+
+
 def mst_edges(
     df: DataFrame,
     group: Sequence[str],
@@ -134,22 +187,24 @@ def mst_edges(
     trees = []
     rungs = [] if thres is not None and thres <= 0 else _rungs(distinct, thres)
     for number, radius in enumerate(rungs):
-        edges = close_pairs(distinct, table, **radius, carry=("comp",), comp=True)
+        if number == 0:
+            edges = close_pairs(distinct, table, **radius, carry=("comp",), comp=True)
+        else:
+            edges = _across(distinct, table, radius)
         trees.append(settle(spanning_forest(edges, group)))
         if number == len(rungs) - 1:
             break
-        roots = components(
-            trees[-1].select(F.col("src_comp").alias("src"), F.col("dst_comp").alias("dst"))
-        ).withColumnRenamed("id", "comp")
-        table = attach(table, roots, ["comp"], distinct.rows)
+        roots = settle(_forest_roots(trees[-1]))
+        table = attach(table, roots, ["comp"], distinct.rows, dim_rows=distinct.rows)
         table = table.withColumn("comp", F.coalesce("root", "comp")).drop("root")
         # Groups that are one tree already need no wider radius.
-        table = settle(table.withColumn("_all", F.lit(0)))
+        table = settle(table.drop("_main").withColumn("_all", F.lit(0)))
+        counted = table.groupBy(*group, "_all", "comp").agg(F.count(F.lit(1)).alias("_n"))
         open_groups = (
-            table.groupBy(*group, "_all")
-            .agg((F.min("comp") != F.max("comp")).alias("_open"))
-            .where("_open")
-            .drop("_open")
+            counted.groupBy(*group, "_all")
+            .agg(F.max(F.struct("_n", "comp"))["comp"].alias("_main"), F.count(F.lit(1)).alias("_comps"))
+            .where("_comps > 1")
+            .drop("_comps")
         )
         table = attach(table, settle(open_groups), [*group, "_all"], distinct.rows, "inner")
         table = settle(table.drop("_all"))

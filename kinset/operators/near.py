@@ -37,10 +37,13 @@ def _meet(
     carry: Sequence[str],
     flip: Column | None = None,
 ) -> DataFrame:
-    """Join two sides on group and keys, and keep the pairs that pass ``keep``."""
+    """Join two sides on group and keys, and keep the pairs that pass ``keep``.
+
+    Rows are sorted by the keys in the order given, so a hash had better come first.
+    """
     on = [
-        *same_keys("a", "b", group),
         *[F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys],
+        *same_keys("a", "b", group),
         keep,
     ]
     flip = F.lit(False) if flip is None else flip
@@ -145,9 +148,14 @@ def close_pairs(
         keys = list(sig.keys)
         first = True
         while True:
-            if first and (sig.calm or distinct.widest <= LIMITS.bucket_rows):
+            if first and distinct.widest <= LIMITS.bucket_rows:
                 found.append(pairs(a, unsent(a, distinct.rows) if b is None else b, keys, swapped))
                 return
+            hashed = ["_bucket", *keys]
+            if first and sig.calm:
+                a, b = (s if s is None else s.withColumn("_bucket", _bucket(group, keys)) for s in (a, b))
+                found.append(pairs(a, unsent(a, distinct.rows) if b is None else b, hashed, swapped))
+                return
             first = False
             marked = [
                 s.withColumn("_bucket", _bucket(group, keys)).withColumn(
@@ -167,7 +175,7 @@ def close_pairs(
                 )
             )
             if is_empty(crowded):
-                found.append(pairs(ma, mb, keys, swapped))
+                found.append(pairs(ma, mb, hashed, swapped))
                 return
             rows = distinct.rows * 8
             flagged = [
@@ -176,7 +184,7 @@ def close_pairs(
             ]
             fa, fb = flagged[0], flagged[-1]
             calm = F.col("_na").isNull()
-            found.append(pairs(fa.where(calm), fb.where(calm), keys, swapped))
+            found.append(pairs(fa.where(calm), fb.where(calm), hashed, swapped))
             live = F.col("_na").isNotNull() & ~F.col("_single")
             # Crowded buckets that cannot be split any further.
             final = live & F.col("_all_close") if sig.refine else live
@@ -185,7 +193,7 @@ def close_pairs(
             else:
                 ta = _tiles(fa.where(final), "_ta", "_na", "_tb", "_nb")
                 tb = _tiles(fb.where(final), "_tb", "_nb", "_ta", "_na")
-                found.append(pairs(ta, tb, [*keys, "_ta", "_tb"], swapped))
+                found.append(pairs(ta, tb, [*hashed, "_ta", "_tb"], swapped))
             if not sig.refine:
                 return
             deeper = live & ~F.col("_all_close")
@@ -247,11 +255,13 @@ def candidate_load(distinct: Distinct, table: DataFrame, thres: float) -> int:
     return int(total / 2)
 
 
-def is_dense(distinct: Distinct, table: DataFrame, thres: float) -> bool:
-    """Whether meeting all key partners would cost far more than the rows."""
+def is_dense(distinct: Distinct, table: DataFrame, thres: float, per_row: int | None = None) -> bool:
+    """Whether meeting all key partners would cost far more than the rows: more than ``pairs_per_row``
+    for each, or ``per_row`` if that is less."""
     if distinct.widest <= LIMITS.bucket_rows:
         return False
-    return candidate_load(distinct, table, thres) > LIMITS.pairs_per_row * distinct.rows
+    limit = LIMITS.pairs_per_row if per_row is None else min(per_row, LIMITS.pairs_per_row)
+    return candidate_load(distinct, table, thres) > limit * distinct.rows
 
 
 def _every_pair(distinct: Distinct, carry: Sequence[str]) -> DataFrame:

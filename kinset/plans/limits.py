@@ -16,6 +16,8 @@ class Limits:
     masks: int = 64
     # Candidate pairs per row before dense regions are condensed first.
     pairs_per_row: int = 1_000
+    # Candidate pairs per row before a spanning tree is built from smaller radii first.
+    edges_per_row: int = 50
     # Rows below which a join is left to Spark's own skew handling.
     plain_join_rows: int = 2_000_000
     # Edges of a tree, and cells of a distance matrix, that one task works on as a whole.
