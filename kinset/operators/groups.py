@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinset.operators.joins import join_keys
-from kinset.plans.session import settle
+from kinset.operators.joins import join_keys, unsent
+from kinset.plans.session import settle, settle_counted
 
 def group_sizes(df: DataFrame, group: Sequence[str]) -> DataFrame:
     """Records per group."""
@@ -37,8 +37,8 @@ def with_ordinal(
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = settle(placed.withColumn("_slot", F.monotonically_increasing_id()))
     placed = placed.withColumn("_span", F.shiftright("_slot", 33))
-    spans = placed.groupBy("_span", *group).agg(
-        F.min("_slot").alias("_first"), F.count(F.lit(1)).alias("_rows")
+    spans, n = settle_counted(
+        placed.groupBy("_span", *group).agg(F.min("_slot").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     )
     earlier = Window.partitionBy(*group).orderBy("_span").rowsBetween(
         Window.unboundedPreceding, -1
@@ -48,6 +48,9 @@ def with_ordinal(
     if not group:
         # One row per partition.
         starts = F.broadcast(starts)
+    else:
+        # As many rows as groups, at least.
+        starts = unsent(starts, n)
     located = join_keys(placed, starts, ["_span", *group], "inner")
     number = F.col("_slot") - F.col("_first") + F.col("_before")
     return located.select(*df.columns, number.alias(name))

@@ -121,6 +121,12 @@ def close_pairs(
     two_sided = right is not None
     right = spread(right) if two_sided else None
     columns = [*group, "id", *carry, *(["comp"] if comp and "comp" not in carry else [])]
+    # The smaller side may be broadcast only if it has few rows; each of them has several keys.
+    fewest = left.count() if two_sided else distinct.rows
+
+    def held(side: DataFrame) -> DataFrame:
+        return unsent(side, 8 * fewest)
+
     sig = signature(metric, thres, within, distinct)
     carried = [*carry, *(["comp"] if comp and "comp" not in carry else [])]
     different = F.col("a.comp") != F.col("b.comp") if comp else F.lit(True)
@@ -149,12 +155,12 @@ def close_pairs(
         first = True
         while True:
             if first and distinct.widest <= LIMITS.bucket_rows:
-                found.append(pairs(a, unsent(a, distinct.rows) if b is None else b, keys, swapped))
+                found.append(pairs(a, held(a if b is None else b), keys, swapped))
                 return
             hashed = ["_bucket", *keys]
             if first and sig.calm:
                 a, b = (s if s is None else s.withColumn("_bucket", _bucket(group, keys)) for s in (a, b))
-                found.append(pairs(a, unsent(a, distinct.rows) if b is None else b, hashed, swapped))
+                found.append(pairs(a, held(a if b is None else b), hashed, swapped))
                 return
             first = False
             marked = [
@@ -175,7 +181,7 @@ def close_pairs(
                 )
             )
             if is_empty(crowded):
-                found.append(pairs(ma, mb, hashed, swapped))
+                found.append(pairs(ma, held(mb), hashed, swapped))
                 return
             rows = distinct.rows * 8
             flagged = [
@@ -184,7 +190,7 @@ def close_pairs(
             ]
             fa, fb = flagged[0], flagged[-1]
             calm = F.col("_na").isNull()
-            found.append(pairs(fa.where(calm), fb.where(calm), hashed, swapped))
+            found.append(pairs(fa.where(calm), held(fb.where(calm)), hashed, swapped))
             live = F.col("_na").isNotNull() & ~F.col("_single")
             # Crowded buckets that cannot be split any further.
             final = live & F.col("_all_close") if sig.refine else live
@@ -458,13 +464,11 @@ def nearest(
     copies = with_ordinal(
         records.where(F.col("seq").isNotNull()), ["id"], [*group, "seq"], "_copy"
     )
+    rows = distinct.rows
+    named = distinct.table.select(*group, "seq", F.col("id").alias("_seq_id"))
     firsts = settle(
-        join_keys(
-            copies.where(F.col("_copy") <= k),
-            distinct.table.select(*group, "seq", F.col("id").alias("_seq_id")),
-            [*group, "seq"],
-            "inner",
-        ).select("_seq_id", F.col("id").alias("_record"))
+        join_keys(copies.where(F.col("_copy") <= k), unsent(named, rows), [*group, "seq"], "inner")
+        .select("_seq_id", F.col("id").alias("_record"))
     )
     sizes = group_sizes(grouped.table.withColumn("_all", F.lit(0)), [*keys, "_all"])
     sizes = settle(sizes)
@@ -487,9 +491,10 @@ def nearest(
             found.append(ranked)
             break
         counts = ranked.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("_has"))
-        done = settle(
-            pending.select("id", "_want").join(counts, "id").where("_has >= _want").select("id")
+        done, n = settle_counted(
+            pending.select("id", "_want").join(unsent(counts, rows), "id").where("_has >= _want").select("id")
         )
+        done = unsent(done, n)
         found.append(ranked.join(done.withColumnRenamed("id", "src"), "src", "left_semi"))
         pending, waiting = settle_counted(pending.join(done, "id", "left_anti"))
         if waiting == 0:
@@ -499,6 +504,7 @@ def nearest(
         F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("dist")
     )
     others = union_all(found).unionByName(own)
+    firsts = unsent(firsts, rows)
     others = others.join(firsts, others["dst"] == firsts["_seq_id"]).select(
         "src", F.col("_record").alias("nearest"), "dist"
     )
@@ -507,9 +513,9 @@ def nearest(
         F.array_sort(F.collect_list(F.struct("dist", "nearest"))).alias("_near")
     )
     known = join_keys(
-        distinct.table.select(*group, "seq", F.col("id").alias("src")), lists, ["src"], "left"
+        distinct.table.select(*group, "seq", F.col("id").alias("src")), unsent(lists, rows), ["src"], "left"
     )
-    joined = distinct.attach_to(records, known, "inner")
+    joined = distinct.attach_to(records, unsent(known, rows), "inner")
     mine = F.slice(F.filter("_near", lambda x: x["nearest"] != F.col("id")), 1, k)
     out = joined.select(*group, "id", F.posexplode(mine).alias("_rank", "_hit"))
     return out.select(

@@ -8,6 +8,7 @@ from kinset.functions.distance import packed, packed_count
 from kinset.operators.copies import distinct_sequences
 from kinset.operators.near import both_ways, candidate_load, expand_copies
 from kinset.operators.signatures import segment_cuts
+from kinset.plans.limits import LIMITS
 
 SCHEMA = "g int, id long, seq string"
 
@@ -206,3 +207,14 @@ def test_pivots_do_not_meet_whole_large_groups(spark, monkeypatch, metric, thres
     assert sorted(map(tuple, got.collect())) == want and len(want) > 0
     # All pairs in both orders are 45,000.
     assert sum(met) < 15_000, met
+
+
+def test_nearest_sends_no_table_of_the_records(spark, monkeypatch):
+    monkeypatch.setattr(LIMITS, "broadcast_rows", 5)
+    rows = models.random_rows(12, n=40)
+    found = nearest(table(spark, rows), ["g"], "hamming", 1)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.dist for r in found.collect()} == {
+        i: min(models.hamming(s, t) for j, t in items if j != i)
+        for items in models.by_group(rows).values() for i, s in items if len(items) > 1
+    }
