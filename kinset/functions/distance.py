@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,9 +47,14 @@ def packed(s: Column | str, longest: int) -> Column:
 
 def packed_count(a: Column | str, b: Column | str, longest: int) -> Column:
     """``hamming_count`` of two strings of equal length by their ``packed`` words."""
+    return packed_letters([(F.get(_col(a), F.lit(i)), F.get(_col(b), F.lit(i))) for i in range(-(-longest // 7))])
+
+
+def packed_letters(words: Sequence[tuple[Column, Column]]) -> Column:
+    """``packed_count`` of the words themselves, in pairs."""
     total = F.lit(0)
-    for i in range(-(-longest // 7)):
-        x = F.get(_col(a), F.lit(i)).bitwiseXOR(F.get(_col(b), F.lit(i)))
+    for x, y in words:
+        x = x.bitwiseXOR(y)
         # Adding 0x7f sets the high bit of every byte that is not zero, and carries into no other.
         x = (x + F.lit(0x7F7F7F7F7F7F7F)).bitwiseAND(F.lit(0x80808080808080))
         total = total + F.coalesce(F.bit_count(x), F.lit(0))

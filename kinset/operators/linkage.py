@@ -13,10 +13,12 @@ distributed rounds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import replace
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,9 @@ from kinset.operators.copies import Distinct, distinct_sequences, restore
 from kinset.operators.dendrogram import tree_merges
 from kinset.operators.groups import group_sizes, with_ordinal
 from kinset.operators.joins import attach, join_keys
-from kinset.operators.matrix import DIGITS, merge_pieces, solve_edges, solve_letters, solve_profiles, solve_sparse, solve_strings
+from kinset.operators.matrix import (
+    DIGITS, PAIR, RUN, merge_pieces, pack_pairs, solve_edges, solve_letters, solve_packed, solve_profiles, solve_sparse, solve_strings, unpacked,
+)
 from kinset.operators.mst import mst_edges
 from kinset.operators.near import close_pairs, distance_pairs, is_dense, union_all
 from kinset.plans.limits import LIMITS
@@ -117,21 +121,25 @@ def agglomerate(
     swap = F.col("src") > F.col("dst")
     value = (F.col("dist") * sign).cast("double")
     n = weights[0] * weights[1]
-    edges = settle(
-        pairs.select(
-            *group,
-            F.least("src", "dst").cast("bigint").alias("a"),
-            F.greatest("src", "dst").cast("bigint").alias("b"),
-            F.when(swap, weights[1]).otherwise(weights[0]).alias("size_a"),
-            F.when(swap, weights[0]).otherwise(weights[1]).alias("size_b"),
-            (value * n).alias("total"),
-            value.alias("most"),
-            value.alias("least"),
-            n.alias("n"),
-        )
+    plain = pairs.select(
+        *group,
+        F.xxhash64(*group).alias("_key"),
+        F.least("src", "dst").cast("bigint").alias("a"),
+        F.greatest("src", "dst").cast("bigint").alias("b"),
+        F.when(swap, weights[1]).otherwise(weights[0]).alias("size_a"),
+        F.when(swap, weights[0]).otherwise(weights[1]).alias("size_b"),
+        ((value * n) if linkage == "average" else value).alias("value"),
     )
+    first, rest = [], plain
+    if sign < 0 or thres is None:
+        # Tables of all pairs. Distances below a threshold are lists of few pairs.
+        first, rest = _dense_groups(plain, group, linkage, None if thres is None else sign * thres, sign)
+    n, mean = F.col("size_a") * F.col("size_b"), F.col("value")
+    edges = settle(rest.select(
+        *group, "a", "b", "size_a", "size_b", mean.alias("total"), mean.alias("most"), mean.alias("least"), n.alias("n")
+    ))
     rounds, edges = _small_pieces(edges, group, linkage, None if thres is None else sign * thres, sign)
-    number = 0
+    rounds, number = [*first, *rounds], 0
     while not is_empty(edges):
         scored = edges.withColumn("score", F.round(_score(linkage), DIGITS))
         if thres is not None:
@@ -157,6 +165,49 @@ def agglomerate(
     return _merge_table(rounds, group, sign)
 
 
+def _dense_groups(
+    plain: DataFrame, group: Sequence[str], linkage: str, limit: float | None, sign: int
+) -> tuple[list[DataFrame], DataFrame]:
+    """The merges of the groups that have packed pairs and fit in a matrix, and the pairs of the others.
+
+    A table of all pairs grows with the square of a group. Its rows are packed where they arise, some
+    million to a row and about a byte each, so that only these are written and moved; a task then fills the matrix of a
+    group from them. Groups without packed pairs, and those above ``LIMITS.dense_cells``, stay rows.
+    """
+    most, least = LIMITS.packed_pairs, LIMITS.packed_least
+    fields = ", ".join(f"`{c}` {t}" for c, t in plain.dtypes)
+    runs, n = settle_counted(plain.mapInArrow(lambda batches: pack_pairs(batches, most, least), f"{fields}, {RUN}"))
+    runs = runs.withColumn("_all", F.lit(0))
+    keys, packed = [*group, "_all"], F.col("_pairs").isNotNull()
+    some = settle(runs.where(packed).select(*keys).distinct())
+    rows = runs.select(*plain.columns)
+    if is_empty(some):
+        return [], rows
+    mine = attach(runs, some, keys, n, "inner")
+    ends = mine.select(*keys, F.explode(F.coalesce("_ends", F.array("a", "b"))).alias("_v")).distinct()
+    sizes = ends.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("piece"))
+    sizes = settle(sizes.withColumn("_fits", F.col("_n") * F.col("_n") <= LIMITS.dense_cells))
+    fits = sizes.where("_fits").select(*keys, "piece")
+    solved = attach(runs, fits, keys, n, "inner").select("piece", *PAIR, "_pairs")
+    merges = settle(merge_pieces(solved, solve_packed(linkage, limit, sign < 0)))
+    found = attach(merges, fits.drop("_all"), ["piece"], n, "inner").drop("piece")
+    others = join_keys(runs, fits, keys, "left_anti")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                columns, row = unpacked(batch.column("_pairs")[i].as_buffer()), batch.slice(i, 1)
+                for at in range(0, len(columns[0]), 10_000):
+                    part = [pa.array(x[at : at + 10_000]) for x in columns]
+                    same = pa.array(np.zeros(len(part[0]), np.int32))
+                    yield pa.RecordBatch.from_arrays([*[row.column(c).take(same) for c in kept], *part], names=[*kept, *PAIR])
+
+    kept = [*group, "_key"]
+    loose = others.where(~packed).select(*plain.columns)
+    again = others.where(packed).select(*kept, "_pairs").mapInArrow(unpack, fields)
+    return [settle(found)], loose.unionByName(again)
+
+
 def _small_pieces(
     edges: DataFrame, group: Sequence[str], linkage: str, limit: float | None, sign: int
 ) -> tuple[list[DataFrame], DataFrame]:

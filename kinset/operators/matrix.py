@@ -358,3 +358,173 @@ def solve_letters(limit: float) -> Callable[[pa.Table], list[tuple]]:
         return letter_rounds(ids, copies, np.concatenate(columns, 1), letters.shape[1], a, b, limit)
 
     return solve
+
+
+def dense_rounds(
+    ids: np.ndarray,
+    sizes: np.ndarray,
+    value: np.ndarray,
+    linkage: str,
+    limit: float | None = None,
+    larger_first: bool = False,
+    linked: np.ndarray | None = None,
+) -> list[tuple[int, int, float, int, int, int]]:
+    """``merge_rounds`` within the memory of ``value``, which is overwritten, for large matrices.
+
+    A cluster keeps its first choice as long as neither that nor itself is merged: the value of a
+    union is never below both. So in each round only the others look for theirs again. With single linkage
+    it can be as low as one of them under a smaller name, so there all do.
+    """
+    combine, flat = COMBINE[linkage], [x if x is None else x.reshape(-1) for x in (value, linked)]
+    sizes = sizes.astype(np.float64)
+    out: list[tuple[int, int, float, int, int, int]] = []
+    gone = np.zeros(len(ids), bool)
+    low, best = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
+    ask, number = np.arange(len(ids)), 0
+    while len(ids):
+        step = max(1, CELLS // 4 // len(ids))
+        for at in (ask[i : i + step] for i in range(0, len(ask), step)):
+            score, rows = value[at], np.arange(len(at))
+            if linkage == "average":
+                score /= sizes[at][:, None] * sizes
+            np.round(score, DIGITS, out=score)
+            score[:, gone] = np.inf
+            if linked is not None:
+                score[~linked[at]] = np.inf
+            score[rows, at] = np.inf
+            best[at] = len(ids) - 1 - score[:, ::-1].argmin(1) if larger_first else score.argmin(1)
+            low[at] = score[rows, best[at]]
+        fits = ~gone & np.isfinite(low) & ((low < limit) if limit is not None else True)
+        rows = np.flatnonzero(fits)
+        a = rows[(best[best[rows]] == rows) & (rows < best[rows])]
+        if not len(a):
+            break
+        b = best[a]
+        whole = np.rint(sizes).astype(np.int64)
+        out += zip(ids[a].tolist(), ids[b].tolist(), low[a].tolist(), whole[a].tolist(), whole[b].tolist(), [number] * len(a), strict=True)
+        number += 1
+        for x, join in ((value, combine), (linked, np.logical_or)):
+            if x is None:
+                continue
+            for i in range(0, len(a), step):
+                x[a[i : i + step]] = join(x[a[i : i + step]], x[b[i : i + step]])
+            for i in range(0, len(ids), step):
+                part = x[i : i + step]
+                part[:, a] = join(part[:, a], part[:, b])
+        sizes[a] += sizes[b]
+        gone[b] = True
+        moved = gone.copy()
+        moved[a] = True
+        again = moved | moved[best] | (linkage == "single")
+        if gone.sum() * 4 > len(ids):
+            stay = np.flatnonzero(~gone)
+            new, n = np.cumsum(~gone) - 1, len(stay)
+            for k, x in enumerate((value, linked)):
+                if x is not None:
+                    # Each row moves up, onto rows that have been moved.
+                    for i, row in enumerate(stay.tolist()):
+                        flat[k][i * n : (i + 1) * n] = x[row, stay]
+            value, linked = (x if x is None else x[: n * n].reshape(n, n) for x in flat)
+            ids, sizes, low, again = ids[stay], sizes[stay], low[stay], again[stay]
+            best, gone = new[best[stay]], np.zeros(n, bool)
+        ask = np.flatnonzero(again & ~gone)
+    return out
+
+
+#: Columns of a pair that are packed, and those of a run of packed pairs beside the group columns.
+PAIR = ("a", "b", "size_a", "size_b", "value")
+RUN = "_n long, _ends array<long>, _pairs binary"
+
+
+def pack_pairs(batches: Iterator[pa.RecordBatch], most: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows (group columns, _key, then ``PAIR``) with runs of rows of one ``_key`` put into one row: its first row's
+    columns, the number of pairs, their ends and the pairs, compressed. Shorter runs than ``least`` stay rows
+    and have null for these three."""
+    held: list[pa.RecordBatch] = []
+
+    def packed() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        columns = {}
+        for name in PAIR:
+            code = table.column(name).combine_chunks().dictionary_encode()
+            code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
+            kind = next(k for k in (np.uint8, np.uint16, np.uint32) if len(code.dictionary) <= np.iinfo(k).max)
+            index = code.indices.to_numpy(zero_copy_only=False).astype(kind)
+            columns[name] = pa.DictionaryArray.from_arrays(pa.array(index), code.dictionary)
+        batch = pa.RecordBatch.from_pydict(columns)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+            out.write_batch(batch)
+        ends = np.unique(np.concatenate([columns[c].dictionary.to_numpy() for c in ("a", "b")]))
+        first = held[0].slice(0, 1)
+        new = [pa.array([len(table)], pa.int64()), pa.array([ends], pa.list_(pa.int64())), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays([*first.columns, *new], names=[*first.schema.names, "_n", "_ends", "_pairs"])
+
+    def loose(batch: pa.RecordBatch) -> pa.RecordBatch:
+        new = [pa.nulls(len(batch), k) for k in (pa.int64(), pa.list_(pa.int64()), pa.binary())]
+        return pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "_n", "_ends", "_pairs"])
+
+    for batch in batches:
+        key = batch.column("_key").to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        short: list[pa.RecordBatch] = []
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(first, last - first)
+            if held and held[0].column("_key")[0].as_py() != int(key[first] if last > first else 0):
+                yield packed()
+                held = []
+            if held or last - first >= least:
+                held.append(part)
+                if sum(map(len, held)) >= most:
+                    yield packed()
+                    held = []
+            elif last > first:
+                short.append(part)
+        if short:
+            yield loose(pa.Table.from_batches(short).combine_chunks().to_batches()[0])
+    if held:
+        yield packed()
+
+
+def _codes(run: pa.Buffer) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each column of ``PAIR`` of a run of packed pairs its values and which of them the pairs have."""
+    table = pa.ipc.open_stream(run).read_all()
+    columns = [table.column(c).combine_chunks() for c in PAIR]
+    columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    return [(c.dictionary.to_numpy(), c.indices.to_numpy()) for c in columns]
+
+
+def unpacked(run: pa.Buffer) -> list[np.ndarray]:
+    """The columns ``PAIR`` of a run of packed pairs."""
+    return [values[at] for values, at in _codes(run)]
+
+
+def solve_packed(linkage: str, limit: float | None, similarity: bool) -> Callable[[pa.Table], list[tuple]]:
+    """``solve_edges`` for rows (piece, ``PAIR``, _pairs) of runs of packed pairs and of pairs that are not packed."""
+    fill = np.inf if not similarity else {"average": 0.0, "complete": -np.inf, "single": np.inf}[linkage]
+
+    def solve(table: pa.Table) -> list[tuple]:
+        loose = table.filter(pc.is_null(table.column("_pairs")))
+        runs = table.column("_pairs").drop_null()
+
+        def parts() -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+            if len(loose):
+                yield [(x := loose.column(c).to_numpy(), np.arange(len(x))) for c in PAIR]
+            for run in runs:
+                yield _codes(run.as_buffer())
+
+        ids = np.unique(np.concatenate([np.unique(x) for a, b, *_ in parts() for x, _ in (a, b)]))
+        n = len(ids)
+        value, sizes = np.full((n, n), fill), np.zeros(n, np.int64)
+        linked = np.zeros((n, n), bool) if similarity else None
+        for a, b, *others in parts():
+            i, j = (np.searchsorted(ids, x)[at] for x, at in (a, b))
+            sizes[i], sizes[j], x = (x[at] for x, at in others)
+            value[i, j] = value[j, i] = x
+            if similarity:
+                linked[i, j] = linked[j, i] = True
+        if similarity and linked.sum() == n * (n - 1):
+            linked = None
+        return dense_rounds(ids, sizes, value, linkage, limit, similarity, linked)
+
+    return solve

@@ -12,11 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinset.functions.distance import check_metric, distance, hamming_count
+from kinset.functions.distance import check_metric, distance, hamming_count, packed, packed_letters
 from kinset.operators.copies import Distinct, distinct_sequences
 from kinset.operators.groups import group_sizes, with_ordinal
 from kinset.operators.joins import all_of, attach, join_keys, same_keys, unsent
-from kinset.operators.signatures import signature
+from kinset.operators.signatures import PACKED, signature
 from kinset.plans.limits import LIMITS
 from kinset.plans.session import is_empty, settle, settle_counted, spread
 
@@ -273,24 +273,53 @@ def is_dense(distinct: Distinct, table: DataFrame, thres: float, per_row: int |
 def _every_pair(distinct: Distinct, carry: Sequence[str]) -> DataFrame:
     """All pairs within groups, for results that are all pairs by definition.
 
-    Large groups are met tile by tile.
+    Where pairs are many, groups are met tile by tile, each two tiles once.
     """
-    group = distinct.group
-    table = spread(distinct.table).withColumn("_all", F.lit(0))
-    if distinct.widest > LIMITS.bucket_rows:
-        sizes = group_sizes(table, [*group, "_all"]).withColumnRenamed("n", "_na")
-        sizes = settle(sizes.withColumn("_nb", F.col("_na")))
-        counts = sizes.withColumn("_n", F.col("_na"))
-        table = attach(table, sizes, [*group, "_all"], distinct.rows, counts=counts)
-        a = _tiles(table, "_ta", "_na", "_tb", "_nb")
-        b = _tiles(table, "_tb", "_nb", "_ta", "_na")
-        keys = ["_all", "_ta", "_tb"]
-    else:
-        a, b, keys = table, table, ["_all"]
-    ordered = F.col("a.id") < F.col("b.id")
-    return _meet(
-        a, b, group, keys, ordered, distance(distinct.metric, "a.seq", "b.seq"), carry
-    )
+    group, metric, longest = distinct.group, distinct.metric, distinct.longest
+    table = spread(distinct.table)
+    fast = metric == "hamming" and 0 < longest <= PACKED
+    if fast:
+        # Lengths are equal within a group; letters outside ASCII are not packed.
+        table = table.withColumn("_words", packed("seq", longest)).withColumn("_n", F.length("seq").cast("double"))
+        words = [f"_w{i}" for i in range(-(-longest // 7))]
+        table = table.withColumns({
+            w: F.when(F.col("_words").isNotNull(), F.coalesce(F.get("_words", F.lit(i)), F.lit(0))) for i, w in enumerate(words)
+        }).drop("_words")
+
+    def dist() -> Column:
+        slow = distance(metric, "a.seq", "b.seq")
+        if not fast:
+            return slow
+        count = packed_letters([(F.col(f"a.{w}"), F.col(f"b.{w}")) for w in words])
+        known = F.col("a._w0").isNotNull() & F.col("b._w0").isNotNull()
+        return F.when(known, count.cast("double") / F.col("a._n")).otherwise(slow)
+
+    if distinct.widest <= LIMITS.bucket_rows and distinct.widest * distinct.rows <= LIMITS.bucket_rows**2:
+        table = table.withColumn("_all", F.lit(0))
+        return _meet(table, table, group, ["_all"], F.col("a.id") < F.col("b.id"), dist(), carry)
+    table = table.withColumn("_all", F.lit(0))
+    sizes = group_sizes(table, [*group, "_all"]).withColumnRenamed("n", "_rows")
+    # A number for each group, written down so that it stays the same.
+    sizes = settle(sizes.withColumn("_group", F.monotonically_increasing_id()))
+    counts = sizes.withColumn("_n", F.col("_rows"))
+    table = attach(table, sizes, [*group, "_all"], distinct.rows, "inner", counts=counts)
+    tiles = F.ceil(F.col("_rows") / F.lit(LIMITS.bucket_rows)).cast("bigint")
+    table = settle(table.withColumn("_tile", F.pmod(F.xxhash64("id"), tiles)).withColumn("_last", tiles - 1))
+    keys = ["_group", "_ta", "_tb"]
+    # A fixed number of partitions: adaptive execution would size them by bytes, which tell little of the work.
+    parts = 16 * table.sparkSession.sparkContext.defaultParallelism
+    from_tile = table.withColumn("_ta", F.col("_tile")).withColumn("_tb", F.explode(F.sequence("_tile", "_last")))
+    to_tile = table.withColumn("_tb", F.col("_tile")).withColumn("_ta", F.explode(F.sequence(F.lit(0).cast("bigint"), "_tile")))
+    a, b = (side.repartition(parts, *keys).alias(name) for name, side in (("a", from_tile), ("b", to_tile.hint("merge"))))
+    # A tile meets itself in one order, another tile in any.
+    once = (F.col("a._ta") != F.col("a._tb")) | (F.col("a.id") < F.col("b.id"))
+    met = a.join(b, all_of([*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], once]))
+    turn, ends = F.col("a.id") > F.col("b.id"), []
+    for c in ("id", *carry):
+        src, dst = ("src", "dst") if c == "id" else (f"src_{c}", f"dst_{c}")
+        ends.append(F.when(turn, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(src))
+        ends.append(F.when(turn, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(dst))
+    return met.select(*[F.col(f"a.{g}").alias(g) for g in group], *ends, dist().alias("dist"))
 
 
 def distance_pairs(

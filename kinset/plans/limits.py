@@ -23,6 +23,11 @@ class Limits:
     # Edges of a tree, and cells of a distance matrix, that one task works on as a whole.
     tree_edges: int = 20_000
     matrix_cells: int = 1_000_000
+    # Cells of a distance matrix that one task fills from packed pairs, and pairs that are packed together.
+    dense_cells: int = 64_000_000
+    packed_pairs: int = 2_000_000
+    # Fewest pairs of one group, side by side, that are packed.
+    packed_least: int = 2_000
     # Sequences, and letter counts, of a piece that one task merges without a matrix.
     profile_rows: int = 50_000
     profile_cells: int = 16_000_000
